@@ -189,7 +189,7 @@ def removal_intervals(docs: DataFrame, width: int = 20, id_col: str = "doc_id",
     A null id comes back as 2**63 - 1. Documents without such windows have no row.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    buckets = groups = 4 * parts
+    buckets = groups = parts
     blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_hash_blocks(width, buckets, groups), _BLOCK)
     found = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeats(groups), _BLOCK)
     return found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_intervals(width), _SPANS)
