@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, substring_dedup, warc
+from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, substring_dedup, warc
+
+#: A key for these queries only; real runs pass their own secret.
+PII_KEY = b"strandline demonstration key 001"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +47,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, with_spans=True).withColumn("n_found", F.coalesce(F.size("pii_spans"), F.lit(0)))
+
+
 def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.digest(_documents(spark, sf_dir))
 
