@@ -47,7 +47,7 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
     by_source = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_no"), F.lit(len(weights))) + 1).cast("int"))
     rows = (
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+        sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.ceil(F.count_if(F.col("size") > 0) / _CHUNK_DOCS), F.lit(1)).cast("long").alias("chunks"))
         .withColumn("source_no", F.row_number().over(by_source) - 1)
         .withColumn("weight", w.cast("double"))
         .withColumn("cap", F.col("source_size") * F.lit(most))
@@ -59,8 +59,8 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: flo
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     rows = rows.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
     # the first source, by cap over weight, that stays under its cap sets the level of all from there on
-    final = F.min(F.when(F.col("fits"), F.col("level"))).over(W.partitionBy())
-    return rows.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source_no", "source", "source_size", "weight", "target")
+    final = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), "source_no", "level"))).over(W.partitionBy())["level"]
+    return rows.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source_no", "source", "source_size", "chunks", "weight", "target")
 
 
 def _chunked_sum(rows: DataFrame, keys: list[str], chunk: str, order: list[Column | str], value: Column) -> DataFrame:
@@ -72,10 +72,10 @@ def _chunked_sum(rows: DataFrame, keys: list[str], chunk: str, order: list[Colum
     return rows.withColumn("_inner", inner).join(base, [*keys, chunk]).withColumn("before", F.col("_base") + F.col("_inner")).drop("_v", "_inner", "_base")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 256, seed: int = 17) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, text, source); see the module for the method."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 256, seed: int = 17, carry: tuple[str, ...] = ()) -> Mix:
+    """Plan the mix of ``docs`` (doc_id, text, source); see the module for the method. ``carry`` names columns to keep."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     documents = keep(sized.select(F.monotonically_increasing_id().alias("rid"), "*"), "mix-documents")
     b = F.lit(block_words)
     sources = keep(
@@ -83,11 +83,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
 
     # streams: every document once an epoch, by hash within the source
-    owner = documents.filter("size > 0").join(sources.select("source_no", "source", "source_size", "words"), documents["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    counts = owner.groupBy("source_no").agg(F.ceil(F.count("*") / _CHUNK_DOCS).cast("long").alias("chunks"))
+    owner = documents.select("rid", "doc_id", "source", "size").filter("size > 0")
+    owner = owner.join(sources.select("source_no", "source", "source_size", "chunks", "words"), owner["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = (
-        owner.join(counts, "source_no")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+        owner.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("key", F.xxhash64("doc_id", "epoch", F.lit(seed)))
         .withColumn("chunk", F.pmod("key", F.col("chunks")))
     )
