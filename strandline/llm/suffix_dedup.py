@@ -167,10 +167,11 @@ def _contexts(least: int, parts: int):
             # the first of equal surroundings stays; all runs around the others are repeats of runs around it
             odd = mix(np.arange(around.shape[1], dtype=np.uint64)) | np.uint64(1)
             name = mix((around.astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64))
-            _, first = np.unique(name, return_index=True)
+            _, first, which = np.unique(name, return_index=True, return_inverse=True)
             keep = np.zeros(len(docs), bool)
             keep[first] = True
-            later = np.flatnonzero(~keep)
+            head = first[which]
+            later = np.flatnonzero((docs[head] != docs) | (places[head] != places))  # rows that repeat a document just go
             out = []
             if len(later):
                 left, right = _windows(around[later], least)

@@ -1,0 +1,60 @@
+import itertools
+import re
+
+import pytest
+
+from strandline.llm import pii
+
+KEY = b"test key"
+
+
+@pytest.mark.parametrize("radices", [[7], [100], [10, 10], [26, 10, 3], [73049]])
+def test_permutations(radices):
+    values = list(itertools.islice(itertools.product(*map(range, radices)), 3000))
+    new = {tuple(pii.permute(list(v), radices, KEY, "t")) for v in values}
+    assert len(new) == len(values) and all(0 <= x < r for v in new for x, r in zip(v, radices))
+
+
+CASES = {
+    "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+    "email": ["jane.doe5@mail.example.com", "JANE.DOE5@MAIL.example.com"],
+    "phone": ["+1 (017) 555-7713", "017-555-7713", "(017) 555-7713"],
+    "ip": ["97.51.17.173"],
+    "date": ["2024-02-29"],
+    "ssn": ["123-45-6789"],
+}
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_formats_and_links(kind):
+    shape = lambda s: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", s)))
+    seen = set()
+    for value in CASES[kind]:
+        new, spans = pii.replace(f"x {value}, y", KEY)
+        assert spans == [(2, 2 + len(value), kind)] and value not in new
+        again = pii.find(new)
+        assert [s[2] for s in again] == [kind]
+        if kind != "ip":
+            assert shape(new) == shape(f"x {value}, y")
+        seen.add(re.sub(r"\W", "", new[2 : again[0][1]]).lower().removeprefix("1") if kind == "phone" else re.sub(r"\W", "", new[2 : again[0][1]]).lower())
+    assert len(seen) == 1
+
+
+def test_decoys_stay():
+    for text in ("card 4111 1111 1111 1112", "v1.2.3.4.5 300.1.1.1", "2024-13-45", "000-12-3456", "a@b", "order 1234567890123456789012345", "tokens: many", "a = b", ""):
+        assert pii.replace(text, KEY) == (text, [])
+
+
+def test_secrets():
+    new, spans = pii.replace('TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', KEY)
+    assert spans[0][2] == "secret" and re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', new)
+
+
+def test_query(make, prose):
+    texts = [*prose, "call +1 (017) 555-7713 or jane@example.org", "+1 (017) 555-7713"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(make(texts), KEY, with_spans=True).collect()}
+    for i, text in enumerate(prose):
+        assert got[i]["text"] == text and got[i]["pii_spans"] == []
+    assert [s["kind"] for s in got[len(prose)]["pii_spans"]] == ["phone", "email"]
+    assert got[len(prose) + 1]["text"] in got[len(prose)]["text"]
+    assert got[0]["key"] == "k" and pii.pseudonymise(make([]).limit(0), KEY).collect() == []
