@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.llm.scratch import keep
 from strandline.llm.tokens import span_hashes, utf8, word_spans
 
 SEQUENCE = 24
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 300_000
+BROADCAST_LANGS = 10_000
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -164,7 +166,10 @@ def sample(docs: DataFrame, per_lang: int = 400, sample_chars: int = 1500) -> Da
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.xxhash64(F.col("doc_id"), F.lit(11))
-    near = known.select("lang", "text", draw.alias("draw")).join(counts, "lang").filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < F.lit(3.0 * per_lang * (1 << 30)) / F.col("n") + 1)
+    # a few numbers a language; they are broadcast unless there are very many
+    counts = keep(counts, "lang-counts")
+    rates = F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts
+    near = known.select("lang", "text", draw.alias("draw")).join(rates, "lang").filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < F.lit(3.0 * per_lang * (1 << 30)) / F.col("n") + 1)
     begin = 1 + F.pmod(F.col("draw"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1)))
     ranked = near.select("lang", "draw", F.expr("text").substr(begin.cast("int"), F.lit(sample_chars)).alias("text")).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text")))
     return ranked.filter(F.col("nth") <= per_lang).select("lang", "text", "draw")
