@@ -1,0 +1 @@
+"""Log-timeline and artefact-triage analytics on Spark DataFrames."""
