@@ -451,7 +451,7 @@ def live_hourly_histogram(spark, d):
     import uuid
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"live_{uuid.uuid4().hex}"
     run = live.live_histogram(stream, "ts", "1 hour", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
