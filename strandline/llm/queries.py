@@ -64,5 +64,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+#: Removal of words under windows of ``width`` that also start earlier.
+_REPEATS = """WITH n AS (SELECT doc_id, coalesce({words}, []) AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {width} - 1], ' ')) AS h FROM n, unnest(range(1, len(ws) - {width} + 2)) AS t(i)),
+f AS (SELECT h, min((doc_id, i)) AS first FROM g GROUP BY h), r AS (SELECT doc_id, i FROM g JOIN f USING (h) WHERE (doc_id, i) <> first),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, unnest(range(0, {width})) AS t(k)), w AS (SELECT doc_id, i, ws[i] AS word FROM n, unnest(range(1, len(ws) + 1)) AS t(i)),
+k AS (SELECT doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT n.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)"""
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT digest, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY digest)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (digest)"""
+
+_LINKS = """WITH RECURSIVE n AS (SELECT doc_id, coalesce({words}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS h FROM n, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1) + 1))) AS t(i)),
+z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN z a ON x = a.doc_id JOIN z b ON y = b.doc_id WHERE 100 * common >= 85 * (a.size + b.size - common)),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
+SELECT r.doc_id, coalesce(any_value(z.size), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM r LEFT JOIN z ON r.doc_id = z.doc_id GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = _WORDS.format(text="text")
+    lower = _WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    return {
+        "op1_substring_dedup": _REPEATS.format(words=words, width=20),
+        "op2_warc": _WARC,
+        "op4_suffix_dedup": _REPEATS.format(words=words, width=50),
+        "op7_ngram_join": _LINKS.format(words=lower),
+    }
