@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as tx
 from strandline.functions.coerce import leading_number, number
 from strandline.functions.timeparse import chrome_time, time_millis
-from strandline.operators import decode, detect, extract, indicators, joins, merge, signatures, stats, timeline
+from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, signatures, stats, timeline
 from strandline.plans import query as q
 from strandline.streaming import live
 
@@ -442,6 +442,27 @@ def detection_tally(spark, d):
     return detect.severity_tally(detect.detections(detect.event_stats(e, "event", "user_id", "props", "event_id"), rules, "event"))
 
 
+@named("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'certutil.exe' ELSE 'rundll32.exe' END AS binary, CASE WHEN n_nationkey % 2 = 0 THEN 'T1140' ELSE 'T1218.011' END AS technique FROM nation""")
+def mentioned_binaries(spark, d):
+    n = table(spark, d, "nation").withColumn("cmd", F.concat(F.lit("C:\\x\\"), F.when(F.col("n_nationkey") % 2 == 0, "CertUtil.exe -decode certutil.exe").otherwise("RUNDLL32.EXE a.dll"), F.lit(" notmshta.exe"), F.col("n_name")))
+    return lookups.mentioned_binaries(n, "n_nationkey", "cmd")
+
+
+@named("SELECT c_custkey, 'User' AS type, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'IP', '10.0.' || (c_custkey % 256) || '.9' FROM customer WHERE c_custkey % 3 = 0")
+def event_log_indicators(spark, d):
+    c = table(spark, d, "customer").withColumn("data", F.concat(F.lit("TargetUserName="), "c_name", F.lit(" | LogonType=3 | SubjectUserName=- | IpAddress="), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("10.0."), F.col("c_custkey") % 256, F.lit(".9"))).otherwise(F.lit("::1"))))
+    return lookups.event_indicators(c, "c_custkey", "data")
+
+
+@named("SELECT count(*) FILTER (p % 2 = 0)::BIGINT AS kept, count(*) FILTER (p % 2 = 1)::BIGINT AS covered FROM (SELECT page_id AS p FROM pages)")
+def covered_hosts(spark, d):
+    """Hostnames go where a URL names them: those of odd pages here."""
+    p = table(spark, d, "pages").select("page_id")
+    host = F.concat(F.lit("h"), "page_id", F.lit(".example"))
+    iocs = p.select(F.lit("Hostname").alias("type"), F.upper(host).alias("value")).unionByName(p.filter("page_id % 2 = 1").select(F.lit("URL").alias("type"), F.concat(F.lit("http://u@"), host, F.lit(":8/x")).alias("value")))
+    return lookups.uncovered_hosts(iocs).agg(F.count_if(F.col("type") == "Hostname").alias("kept"), F.count_if(F.col("type") == "URL").alias("covered"))
+
+
 # ---- streams ----------------------------------------------------------------------------------------------------
 
 
