@@ -121,12 +121,11 @@ def filtered_hourly_histogram(spark, d):
     return timeline.histogram(kept, lo, hi, 3_600_000, "event_type")
 
 
-@named(_HIST.format(sus="contains(props, '7')", where="true", size=21600000))
+@named(_HIST.format(sus="contains(props, '7')", where="true", size=86400000))
 def histogram_auto_with_sus(spark, d):
     e = timeline.with_sus(events(spark, d), [("props", "7")])
     lo, hi = timeline.data_range(e)
-    size = 21_600_000 if (hi - lo) / 80 > 1 else 1
-    return timeline.histogram(e, lo, hi, size, "event_type")
+    return timeline.histogram(e, lo, hi, timeline.auto_bucket(hi - lo), "event_type")
 
 
 @named("SELECT event_id FROM events WHERE (epoch_us(ts) // 1000) BETWEEN 1704672000000 AND 1704758400000")
