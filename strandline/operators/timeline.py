@@ -110,7 +110,8 @@ def histogram(df: DataFrame, lo: float, hi: float, size: float, stack: str | Non
     key = text_of(df, stack) if stack else F.lit("")
     sus = F.count_if("_sus") if "_sus" in df.columns else F.lit(0)
     counts = clip(df, lo, hi).select(number.alias("bucket"), key.alias("key"), *(["_sus"] if "_sus" in df.columns else [])).groupBy("bucket", "key").agg(F.count("*").alias("n"), sus.cast("long").alias("sus"))
-    spine = df.sparkSession.range(count).select(F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(counts.select("key").distinct())) if stack else df.sparkSession.range(count).select(F.col("id").cast("int").alias("bucket"), F.lit("").alias("key"))
+    keys = counts.select("key").distinct() if stack else df.sparkSession.range(1).select(F.lit("").alias("key"))
+    spine = keys.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     filled = spine.join(counts, ["bucket", "key"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return filled.select("bucket", (F.lit(float(lo)) + F.col("bucket") * F.lit(float(size))).cast("long").alias("start"), "key", zero("n"), zero("sus"))
