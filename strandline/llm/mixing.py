@@ -29,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GOLDEN = 2654435769  # 2**32 over the golden ratio, rounded
 _CELLS = 4096
 _CHUNK_DOCS = 4096
-_CHUNK_SLOTS = 1 << 16
+_CHUNK_SLOTS = 1 << 13
 
 
 @dataclass
