@@ -98,3 +98,18 @@ def relative_millis(text: str) -> int | None:
     m = re.fullmatch(r"\s*(\d+)\s*([smhdw])\s*", text)
     unit = {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
     return int(m[1]) * unit[m[2]] if m and int(m[1]) > 0 else None
+
+
+def duration_text(millis: float) -> str:
+    """``3d 4h``, ``2h 5m``, ``1m 7s``, ``250ms``: the two largest units."""
+    left, parts = int(abs(millis)), []
+    for unit, size in (("w", 604_800_000), ("d", 86_400_000), ("h", 3_600_000), ("m", 60_000), ("s", 1000), ("ms", 1)):
+        n, left = divmod(left, size)
+        if n:
+            parts.append(f"{n}{unit}")
+    return ("-" if millis < 0 else "") + (" ".join(parts[:2]) or "0ms")
+
+
+def tick_pattern(span: float) -> str:
+    """The date pattern that tells the ticks of an axis of this length apart."""
+    return "HH:mm:ss.SSS" if span < 10_000 else "HH:mm:ss" if span < 3_600_000 else "HH:mm" if span < 86_400_000 else "MM-dd HH:mm" if span < 14 * 86_400_000 else "yyyy-MM-dd"

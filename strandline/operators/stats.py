@@ -19,6 +19,19 @@ def top_values(df: DataFrame, name: str, limit: int = 50, order: str | None = No
     return counts.orderBy(F.desc("n"), "first", "value").limit(limit).select("value", "n")
 
 
+def card_order(values: DataFrame, mode: str = "count_desc") -> DataFrame:
+    """``(value, n)`` rows in the order of a card: count_desc, count_asc, text_asc or text_desc."""
+    by, _, way = mode.rpartition("_")
+    key = F.col("n") if by == "count" else F.lower("value")
+    return values.orderBy(key.desc() if way == "desc" else key.asc(), "value")
+
+
+def quick_filter(df: DataFrame, needle: str) -> DataFrame:
+    """Rows whose cells, joined by spaces, hold the text (so it may span cells), letter case ignored."""
+    cells = F.concat_ws(" ", *[text_of(df, c) for c in df.columns if not c.startswith("_")])
+    return df.filter(F.contains(F.lower(cells), F.lit(needle.lower())))
+
+
 def distinct_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``(column, total, distinct, all_unique)`` of each column; empty texts count as a value.
 

@@ -117,6 +117,13 @@ def histogram(df: DataFrame, lo: float, hi: float, size: float, stack: str | Non
     return filled.select("bucket", (F.lit(float(lo)) + F.col("bucket") * F.lit(float(size))).cast("long").alias("start"), "key", zero("n"), zero("sus"))
 
 
+def histogram_table(hist: DataFrame, size: float) -> DataFrame:
+    """The histogram as it is exported: bucket start and end in UTC, and one column a key, zero buckets included."""
+    wide = hist.groupBy("bucket", "start").pivot("key").agg(F.sum("n"))
+    stamp = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd HH:mm:ss")
+    return wide.select("bucket", stamp(F.col("start")).alias("begin"), stamp(F.col("start") + F.lit(int(size))).alias("end"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in wide.columns[2:]])
+
+
 def stack_ranks(df: DataFrame, stack: str) -> DataFrame:
     """``(key, n, rank)`` of stack keys by their count over the unfiltered table, ties in text order."""
     from pyspark.sql import Window as W
