@@ -11,8 +11,9 @@ throughout, named by the hash of the set, so copies cost nothing after the first
 3. Candidates share a rare-first prefix shingle; before verification they must also share one in each other order.
    Verification counts common shingles exactly.
 4. Pairs within a list of classes that share a shingle are not all made. First each class meets a few pivots of the
-   list; then, of lists that still hold more than one component, the classes outside the list's largest component meet
-   all others that are not in theirs. Every pair that could link is either verified or already within one component.
+   list; then, of lists that still hold a few components, the classes outside the list's largest component meet the
+   members of the others, and lists that hold many are compared block by block, as products of incidence matrices. Every
+   pair that could link is either verified or already within one component.
 
 A shingle is a 56-bit hash and a class a 64-bit one; they are not compared with text.
 
@@ -31,10 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.scratch import keep, release, shuffle_partitions
+from strandline.llm.substring_dedup import _by_key
 from strandline.llm.tokens import Planes, gram_hashes, mix, span_hashes, utf8, word_spans
 
-BLOCK_TOKENS = 2_000_000
-PIVOTS = 8
+BLOCK_TOKENS = 750_000
+PIVOTS = 4
+#: Partners that are compared with one copy of a class's shingles.
+PARTNERS = 256
+#: Components in a list beyond which its classes are compared in blocks.
+CROWDED = 32
 _SALTS = (0x51ED2701, 0x2545F491)
 _BLOCK = "key long, n int, tokens binary, counts binary, classes binary, sizes binary, dfs binary, k int"
 _SCHEMA = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("dfs", pa.binary()), ("k", pa.int32())])
@@ -45,7 +51,7 @@ def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, offsets = utf8(texts)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 4_000_000, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 1_000_000, side="right")) - 1)
         part, at = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         s, e, first = word_spans(part, at)
         words = span_hashes(part, s, e, lower=True)
@@ -126,19 +132,6 @@ def _blocks(width: int, parts: int):
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    key, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["key"] != key and rows:
-                yield key, rows
-                rows = []
-            key = row["key"]
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
 def _shared(parts: int):
     """Of each bucket: the shingles that two or more classes have, with the number of classes, dealt by class."""
 
@@ -212,7 +205,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Classes that can have a partner, with their shared shingles and prefixes."""
     parts = shuffle_partitions(docs.sparkSession)
-    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, parts), _BLOCK)
+    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, 2 * parts), _BLOCK)
     shared = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared(parts), _BLOCK)
     return shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), _CLASSES)
 
@@ -222,18 +215,25 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _verify(percent: int):
+    """Rows come sorted: the shingles of ``a`` (no ``b``), then those of each ``b`` to compare with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, mine = None, 0, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
-            held = []
-            for i in range(len(a)):
-                p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
-                both = np.concatenate([p, q])
+            raw, offsets = utf8(batch.column(3))
+            found: list[tuple[int, int]] = []
+            for i, (a, b, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                tokens = np.frombuffer(raw[offsets[i] : offsets[i + 1]].tobytes(), np.uint64)
+                if b is None:
+                    name, size, mine = a, n, tokens
+                    continue
+                assert a == name, "the shingles of a class must come before its partners"
+                both = np.concatenate([mine, tokens])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (n[i] + m[i] - common):
-                    held.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in held], pa.int64()), pa.array([b[i] for i in held], pa.int64())], names=["a", "b"])
+                if 100 * common >= percent * (size + n - common):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -245,9 +245,14 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         pairs.join(light.toDF("a", "a2", "a3"), "a").join(light.toDF("b", "b2", "b3"), "b")
         .filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
     )
-    full = classes.select("class", "n", "tokens")
-    rows = passed.join(full.toDF("a", "n", "x"), "a").join(full.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    return rows.mapInArrow(_verify(percent), "a long, b long")
+    full = classes.select(F.col("class"), "n", "tokens")
+    # partners of one class come in groups of bounded size, each behind a copy of that class's shingles
+    counts = passed.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    grouped = passed.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    heads = grouped.select("a", "part").distinct().join(full.withColumnRenamed("class", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "n", "tokens")
+    partners = grouped.join(full.withColumnRenamed("class", "b"), "b").select("a", "part", "b", "n", "tokens")
+    rows = heads.unionByName(partners).repartition(shuffle_partitions(classes.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "n", "tokens").mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -295,26 +300,130 @@ def class_roots(classes: DataFrame, percent: int) -> DataFrame:
     lists = entries.groupBy("token").agg(F.count("*").alias("size"), *chosen).filter("size > 1")
     pivots = lists.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.class"), F.col(f"p{i}.n")) for i in range(PIVOTS)])).alias("pivots"))
     met = entries.join(pivots, "token").select("class", "n", F.explode("pivots").alias("p"))
-    pairs = met.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"), percent)).select(*_ordered("class", "p.class")).distinct()
+    near = met.filter((F.col("class") != F.col("p.class")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
+    pairs = keep(near.select(*_ordered("class", "p.class")).distinct(), "ngram-pairs")
     links = keep(verified(pairs, classes, percent), "ngram-links")
     roots = components(links, "ngram-roots")
 
-    # what is left: lists with several components
-    owned = classes.join(roots, classes["class"] == roots["v"], "left").withColumn("root", F.coalesce("root", "class")).select("class", "n", "root", "first")
+    # what is left: classes of lists with several components, and the other components that they meet there
+    owned = classes.select("class", "n").join(roots, F.col("class") == roots["v"], "left").withColumn("root", F.coalesce("root", "class")).select("class", "n", "root")
     owned = keep(owned, "ngram-owned")
-    named = owned.select("class", "n", "root", "first", F.explode("first").alias("token"))
+    named = entries.select("class", "token").join(owned.select("class", "root"), "class")
     held = named.groupBy("token", "root").agg(F.count("*").alias("size"))
-    mixed = held.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("size", "root"))["root"].alias("most")).filter("roots > 1").select("token", "most")
-    inside = named.join(mixed, "token")
-    few = inside.filter("root != most").select("token", "most", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "root", "first")])
-    unmet = few.join(inside.drop("most"), "token").filter(
-        (F.col("root") != F.col("root_"))
-        & ((F.col("root") == F.col("most")) | (F.col("class_") < F.col("class")))
-        & _sizes_fit(F.col("n"), F.col("n_"), percent)
-        & (F.get(F.array_intersect("first_", "first"), F.lit(0)) == F.col("token"))
-    )
-    late = keep(verified(unmet.select(*_ordered("class", "class_")).distinct(), classes, percent), "ngram-links")
-    return components(links.unionByName(late), "ngram-roots")
+    mixed = keep(held.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("size", "root"))["root"].alias("most")).filter("roots > 1"), "ngram-lists")
+    clusters = _clusters(named.join(mixed.filter(F.col("roots") > CROWDED).select("token"), "token"))
+    within_blocks = keep(_block_links(classes, owned, clusters, percent), "ngram-links")
+
+    few = named.join(mixed.filter(F.col("roots") <= CROWDED), "token").filter("root != most").select("token", "most", "class", F.col("root").alias("own"))
+    with_most = few.select("class", F.col("most").alias("root"))
+    # of the smaller components of a list, sets of bounded size meet each class; a class unites them before they are rows
+    small = few.select("token", "own").distinct()
+    parts = small.groupBy("token").agg(F.count("*").alias("own_count")).filter("own_count > 1").select("token", F.ceil(F.col("own_count") / PARTNERS).alias("parts"))
+    sets = small.join(parts, "token").groupBy("token", F.pmod(F.xxhash64("own"), F.col("parts"))).agg(F.collect_set("own").alias("roots")).select("token", "roots")
+    united = few.join(sets, "token").groupBy("class", "own").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
+    with_small = united.select("class", "own", F.explode("roots").alias("root")).filter("root > own").select("class", "root")
+    meet = with_most.unionByName(with_small).distinct()
+    light = owned.join(classes.select("class", "first", "second", "third"), "class").join(clusters, "class", "left")
+    x = meet.join(light.select("class", *[F.col(c).alias(f"x_{c}") for c in ("n", "first", "second", "third", "cluster")]), "class")
+    apart = ~F.coalesce(F.col("x_cluster") == F.col("cluster"), F.lit(False))  # a cluster's classes have met in blocks
+    shares = [F.arrays_overlap(f"x_{c}", c) for c in ("first", "second", "third")]
+    unmet = x.withColumnRenamed("class", "x").join(light, "root").filter(apart & _sizes_fit(F.col("n"), F.col("x_n"), percent) & shares[0] & shares[1] & shares[2])
+    rest = keep(unmet.select(*_ordered("x", "class")).distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+    late = keep(verified(rest, classes, percent), "ngram-links")
+    return components(links.unionByName(within_blocks).unionByName(late), "ngram-roots")
+
+
+def _incidence(rows: list[np.ndarray], names: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 over the values ``names`` (ascending)."""
+    out = np.zeros((len(rows), len(names)), np.float32)
+    for i, row in enumerate(rows):
+        at = np.minimum(np.searchsorted(names, row), len(names) - 1)
+        out[i, at[names[at] == row]] = 1
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of each row on the left with each on the right, by products of incidence matrices."""
+    names = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(names), 8192):
+        part = names[at : at + 8192]
+        out += _incidence(left, part) @ _incidence(right, part).T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(percent: int):
+    """Rows come sorted by unit: all of one or two blocks of classes; gives links that join different components."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        lo, hi = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == lo]
+        right = left if lo == hi else [r for r in rows if r[3] == hi]
+        if not left or not right:
+            return []
+        arrays = lambda side, k: [np.asarray(r[k]) for r in side]
+        root = [np.array([r[6] for r in side]) for side in (left, right)]
+        n = [np.array([r[5] for r in side]) for side in (left, right)]
+        wanted = root[0][:, None] != root[1][None, :]
+        for k in (8, 9, 10):  # the prefix filters of all orders, intersected
+            wanted &= _common(arrays(left, k), arrays(right, k)) > 0
+            if not wanted.any():
+                return []
+        tokens = [[np.frombuffer(r[7], np.uint64) for r in side] for side in (left, right)]
+        common = _common(*tokens)
+        i, j = np.nonzero(wanted & (100 * common >= percent * (n[0][:, None] + n[1][None, :] - common)))
+        found, parent = [], {}
+
+        def top(v: int) -> int:
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = top(int(root[0][x])), top(int(root[1][y]))
+            if p != q:  # one link for each two components that meet is enough
+                parent[max(p, q)] = min(p, q)
+                found.append((left[x][4], right[y][4]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            found = links(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for i in range(len(batch)):
+                row = tuple(c[i].as_py() for c in batch.columns)
+                if held and row[:3] != held[0][:3]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return run
+
+
+def _clusters(entries: DataFrame) -> DataFrame:
+    """``(class, cluster)``: classes that the lists of ``entries`` (class, token) connect."""
+    heads = entries.groupBy("token").agg(F.min("class").alias("b"))
+    edges = entries.join(heads, "token").select(F.col("class").alias("a"), "b").filter("a != b").distinct()
+    return components(edges, "ngram-clusters").toDF("class", "cluster")
+
+
+def _block_links(classes: DataFrame, owned: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes of a cluster, without a row a pair.
+
+    A cluster is cut into blocks of about ``PARTNERS`` classes, and every two blocks are compared as matrices by a task of
+    their own.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
+    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
+    rows = units.join(owned, "class").join(classes.select("class", "tokens", "first", "second", "third"), "class").select("cluster", "lo", "hi", "block", "class", "n", "root", "tokens", "first", "second", "third")
+    dealt = rows.repartition(shuffle_partitions(classes.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "class")
+    return dealt.mapInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -39,9 +39,12 @@ def test_whole_table(documents, width, percent):
     assert sorted(map(tuple, ngram_join.groups(documents, width, percent).collect())) == brute([(r.doc_id, r.text) for r in documents.collect()], width, percent)
 
 
-def test_hot_group_with_links_on_the_edge(make, monkeypatch):
+@pytest.mark.parametrize("crowded, partners", [(2, 20), (10, 256), (1000, 16)])
+def test_hot_group_with_links_on_the_edge(make, monkeypatch, crowded, partners):
     """Near copies of which some pairs link and some just don't, in lists that nearly all of them share."""
     monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_join, "PARTNERS", partners)
     r = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     texts = []
