@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a language (``und`` or a score under MIN_SCORE); ``lang`` becomes the predicted one."""
     columns = _columns(docs)
     docs = docs.select(*columns)
-    found = language_id.predict(docs, language_id.fit(docs), F.struct(*columns))
+    found = language_id.label(docs, language_id.fit(docs))
     known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return known.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row_key.{c}").alias(c) for c in columns])
+    return known.select(*[F.col("lang_pred").alias("lang") if c == "lang" else c for c in columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = docs.select(*columns)
     groups = keep(ngram_join.groups(docs, 5, 80), "pipeline-groups")
     gone = groups.filter("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = left.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    single = left.join(again, "doc_id", "left_anti")
-    first = left.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1")
-    return single.select(*columns).unionByName(first.select(*columns))
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+    return left.filter("nth = 1 or doc_id is null").select(*columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +64,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their byte ends, and whether decoding them gives the text back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = docs.select(F.struct("doc_id", "lang", "source", "text").alias("doc"), "text")
-    done = byte_bpe.decode(byte_bpe.encode(rows, path, id_col="doc"), path)
-    whole = F.col("decoded") == F.coalesce(F.col("doc_id.text"), F.lit("")).cast("binary")
-    return done.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", "n_tokens", "ids", "ends", whole.alias("round_trip"))
+    rows = docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text")
+    done = byte_bpe.encode(rows, path, verify=True, id_col="doc")
+    return done.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", "n_tokens", "ids", "ends", "round_trip")
 
 
 STAGES = [
