@@ -28,7 +28,7 @@ from strandline.llm.scratch import keep
 from strandline.llm.tokens import span_hashes, utf8, word_spans
 
 SEQUENCE = 24
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 CACHE_WORDS = 300_000
 BROADCAST_LANGS = 10_000
 _ASCII_LETTER = np.zeros(256, bool)
@@ -231,12 +231,12 @@ def _has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(shared):
+def _label(shared, position: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = _Words(model)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(position))
             row = 0
             while row < len(batch):
                 stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
@@ -253,23 +253,20 @@ def _predict(shared):
                     best[full], score[full] = pooled.argmax(axis=1), np.clip(pooled.max(axis=1), 0, 1)
                 named = [model.langs[b] if k and model.langs else "und" for k, b in zip(known.tolist(), best.tolist())]
                 score[[x == "und" for x in named]] = 0
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, stop - row).columns[:1], pa.array(named, pa.string()), pa.array(score)], names=["row_key", "lang_pred", "score"])
+                rows = batch.slice(row, stop - row)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(named, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
                 row = stop
 
     return run
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def predict(docs: DataFrame, model: Model, key: Column, text_col: str = "text") -> DataFrame:
-    """``(row_key, lang_pred, score)`` of each row, reading whole texts; ``key`` is passed through as it is."""
-    rows = docs.select(key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
+def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, reading whole texts."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred KB at most: 256 bytes x gates
-    return rows.mapInArrow(_predict(shared), f"{_schema(rows.select('row_key'))}, lang_pred string, score double")
+    return docs.mapInArrow(_label(shared, docs.columns.index(text_col)), f"{columns}, lang_pred string, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = predict(docs, fit(docs), F.col("doc_id"))
-    return out.select(F.col("row_key").alias("doc_id"), is_held_out(F.col("row_key")).alias("held_out"), "lang_pred", "score")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return label(rows, fit(docs)).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

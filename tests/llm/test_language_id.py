@@ -34,10 +34,10 @@ def test_edges(spark, make, prose, documents):
     model = lid.fit(documents)
     texts = [*prose, "123 !?", "中文", "a" * 5000]
     docs = make(texts)
-    got = {r["row_key"]: r for r in lid.predict(docs, model, docs["doc_id"]).collect()}
+    got = {r["doc_id"]: r for r in lid.label(docs, model).collect()}
     for i, text in enumerate(texts):
         assert (got[i]["lang_pred"] == "und") == (not any(map(str.isalpha, text or "")))
-    assert got[3]["score"] == got[60]["score"]
+    assert got[3]["score"] == got[60]["score"] and got[0]["key"] == "k"
     nothing = spark.createDataFrame([(1, "words here", None), (None, "more words", "en")], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"], r["held_out"]) for r in lid.digest(nothing).collect()] == [("und", 0.0, False)] * 2
     assert lid.digest(nothing.limit(0)).collect() == []
