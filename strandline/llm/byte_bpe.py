@@ -33,7 +33,7 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Merged pieces that one worker remembers; beyond that it starts again.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: UTF-8 bytes of texts whose boundaries are found together (a longer text alone).
 SLICE_BYTES = 1 << 20
 _BLOCK = 64
@@ -219,7 +219,7 @@ def split_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.n
     return [raw[a:b] for a, b in zip(stops, stops[1:])], np.searchsorted(begin, offsets)
 
 
-def _encode(shared, with_ends: bool):
+def _encode(shared, with_ends: bool, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of, vocabulary = _tables(shared.value)
         lengths = np.array([len(v) for v in vocabulary], np.int64)
@@ -233,7 +233,11 @@ def _encode(shared, with_ends: bool):
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if with_ends:
                     columns.append(pa.array([np.cumsum(lengths[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "ends"][: len(columns)])
+                if verify:
+                    raw = data[offsets[a] : offsets[b]].tobytes()
+                    at = (offsets[a : b + 1] - offsets[a]).tolist()
+                    columns.append(pa.array([b"".join(map(vocabulary.__getitem__, np.frombuffer(x, "<u4").tolist())) == raw[i:j] for x, i, j in zip(ids, at, at[1:])], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"] + ["ends"] * with_ends + ["round_trip"] * verify)
 
     return run
 
@@ -259,11 +263,14 @@ def _spec(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast((path, f.read()))
 
 
-def encode(docs: DataFrame, path: str, with_ends: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids, ends)`` of each row; ``path`` names a rank file of base64 tokens and ranks."""
+def encode(docs: DataFrame, path: str, with_ends: bool = True, verify: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids, ends)`` of each row; ``path`` names a rank file of base64 tokens and ranks.
+
+    ``verify`` decodes the ids on the spot and adds ``round_trip``: they give the text back.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encode(_spec(docs, path), with_ends), f"doc_id {kind}, n_tokens long, ids binary" + ", ends binary" * with_ends)
+    return rows.mapInArrow(_encode(_spec(docs, path), with_ends, verify), f"doc_id {kind}, n_tokens long, ids binary" + ", ends binary" * with_ends + ", round_trip boolean" * verify)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 
 KINDS = ("email", "card", "phone", "ip", "date", "ssn", "secret")
 ROUNDS = 10
+SLICE_ROWS = 256
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 _SPOT = re.compile(r"[+(0-9]")
@@ -249,15 +250,17 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind"
 def _run(position: int, key: bytes, check: bool, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = [], []
-            for text in batch.column(position).to_pylist():
-                new, found = (None, []) if text is None else replace(text, key, check)
-                texts.append(new)
-                if with_spans:
-                    spans.append([dict(zip(("begin", "end", "kind"), s)) for s in found])
-            columns = list(batch.columns)
-            columns[position] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(spans, _SPANS)] * with_spans, names=[*batch.schema.names] + ["pii_spans"] * with_spans)
+            for at in range(0, len(batch), SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                texts, spans = [], []
+                for text in rows.column(position).to_pylist():
+                    new, found = (None, []) if text is None else replace(text, key, check)
+                    texts.append(new)
+                    if with_spans:
+                        spans.append([dict(zip(("begin", "end", "kind"), s)) for s in found])
+                columns = list(rows.columns)
+                columns[position] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(spans, _SPANS)] * with_spans, names=[*batch.schema.names] + ["pii_spans"] * with_spans)
 
     return run
 

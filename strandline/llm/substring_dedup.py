@@ -133,10 +133,10 @@ def _hash_blocks(width: int, buckets: int, parts: int):
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each key; the rows come sorted by key."""
+    """Rows of each key; the rows come sorted by key. Only one key's rows are copied out of Arrow at a time."""
     key, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
             if row["key"] != key and rows:
                 yield key, rows
                 rows = []
