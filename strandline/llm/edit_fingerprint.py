@@ -10,6 +10,11 @@ the steps they share.
 
 Texts of a batch walk together, longest first; when few are left, each finishes on its own. Whole texts are walked.
 
+Near copies: fingerprints that agree on a band (8 of their digits, drawn over the whole sample; 24 bands a level) are
+compared, and those of likeness 0.8 or more are linked. A class is what links connect; ``near_class`` is its smallest
+``doc_id`` and ``near_rows`` its rows. A pair of likeness 0.8 shares a band with chance 0.98 or more; a class then holds every two
+alike fingerprints that share one.
+
 Defined results: a null text is empty and has the fingerprint ``0:``; two empty texts are alike (1), an empty and another
 are not (0); equal texts have equal fingerprints. Rows are ordered by ``doc_id`` (null last), then by their text; so
 repeated ids have a next document too, and the last row's is the first. A single row is its own next document.
@@ -19,19 +24,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import shuffle_partitions
+from strandline.llm.ngram_join import components
+from strandline.llm.scratch import keep, release, shuffle_partitions
 from strandline.llm.tokens import U64, mix
 
 #: Sampled steps of a text, about: half as many to as many (all of a shorter text).
 SAMPLES = 512
 BANDS, BAND_DIGITS = 24, 8
+#: Fingerprints of fewer digits also have bands of SHORT_DIGITS.
+SHORT, SHORT_DIGITS = 40, 3
+#: Least digits at the next level with which a text can be like one of that level, which has 256 there, give or take 17.
+REACH = 120
+#: Likeness of a link; members of a band whose pairs are all rows; members of a block in larger bands.
+LEAST, CROWDED, BLOCK = 0.8, 32, 256
 _SEED = U64(0x5DEECE66D)
 _FEW = 24
 _BATCH_CHARS = 4_000_000
@@ -241,7 +253,19 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return next_to_each_other(docs).mapInArrow(_with_next, _OUT)
+    """Fingerprints and likenesses of each row, the smallest ``doc_id`` of its near-copy class and the class's rows."""
+    spark = docs.sparkSession
+    rows = keep(next_to_each_other(docs).mapInArrow(_with_next, _OUT), "edit-rows")
+    release(spark)
+    marks = keep(rows.groupBy(F.xxhash64("fingerprint").alias("id")).agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "edit-marks")
+    roots = components(_links(marks.select("id", "fingerprint"), LEAST), "edit-roots")
+    release(spark)
+    named = marks.join(roots, F.col("id") == F.col("v"), "left").filter("v is not null or n > 1").select("id", "least", "n", F.coalesce("root", "id").alias("root"))
+    best = named.groupBy("root").agg(F.min("least").alias("near_class"), F.sum("n").alias("near_rows"))
+    shared = named.join(best, "root").select("id", "near_class", "near_rows")
+    done = rows.withColumn("id", F.xxhash64("fingerprint")).join(shared, "id", "left")
+    single = F.col("near_rows").isNull()
+    return done.select(*rows.columns, F.when(single, F.col("doc_id")).otherwise(F.col("near_class")).alias("near_class"), F.coalesce("near_rows", F.lit(1)).cast("long").alias("near_rows"))
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,33 +278,175 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_fingerprint, "doc_id long, fingerprint string")
 
 
+@lru_cache(maxsize=4096)
+def _picks(n: int, width: int) -> np.ndarray:
+    """(BANDS, width): places of each band's digits among ``n``, those of least rank.
+
+    A band ranks all places once, for every ``n``; so two rows of ``x <= y`` digits, ``k`` of them equal, have a band in
+    common with chance C(k, width) / C(y, width), wherever the others lie.
+    """
+    ranks = mix((np.arange(BANDS, dtype=np.uint64)[:, None] << U64(40)) + np.arange(n, dtype=np.uint64)[None, :] + (U64(width) << U64(50)) + U64(11))
+    return np.sort(np.argsort(ranks, axis=1, kind="stable")[:, :width], axis=1)
+
+
+def band_keys(mark: str) -> np.ndarray:
+    """The bands of a fingerprint: level, band, width and digits packed into one number each."""
+    own, out = int(mark.split(":")[0]), []
+    for level in (own, own + 1):  # a text just below the next level meets those just above it
+        digits = at_level(mark, level)
+        n = len(digits)
+        if n < (1 if level == own else REACH):
+            continue
+        values = np.where(digits > 57, digits - 86, digits - 47).astype(np.int64)  # 1-16
+        for width in (BAND_DIGITS, SHORT_DIGITS) if n < SHORT else (BAND_DIGITS,):
+            picks = _picks(n, width)
+            packed = values[picks] @ (17 ** np.arange(picks.shape[1], dtype=np.int64))
+            out.append(((level * BANDS + np.arange(BANDS)) * 2 + (width == SHORT_DIGITS) << 33) + packed)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    picks = np.random.default_rng(29).integers(0, SAMPLES // 2 - 56, (BANDS, BAND_DIGITS))
     for batch in batches:
-        out = []
-        for mark in batch.column(0).to_pylist():
-            own = int(mark.split(":")[0])
-            for level in (own, own + 1):  # a text just below the next level meets those just above it
-                digits = at_level(mark, level)
-                if len(digits):
-                    row = np.where(picks < len(digits), digits[np.minimum(picks, len(digits) - 1)], ord("-")).astype(np.uint8)
-                    out += [(mark, f"{level}/{b}/{r.tobytes().decode()}") for b, r in enumerate(row)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ([], []))], names=["fingerprint", "band"])
+        ids = batch.column(0).to_numpy()
+        for at in range(0, len(ids), 2048):
+            keys = [band_keys(m) for m in batch.column(1).slice(at, 2048).to_pylist()]
+            owners = np.repeat(ids[at : at + 2048], [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners)], names=["band", "id"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by band: all pairs of a band of up to CROWDED members, the pairs with its first of a larger one."""
+
+    def met(bands: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.append(True, bands[1:] != bands[:-1])) if len(bands) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(cuts, len(bands)))
+        out: list[tuple] = []
+        for b, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            i, j = np.triu_indices(n, 1) if n <= CROWDED else (np.zeros(n - 1, np.int64), np.arange(1, n))
+            out.append((np.full(len(i), bands[b]), ids[b + i], ids[b + j], np.full(len(i), n > CROWDED)))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "a", "b", "crowded"])
+
+    bands, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        bands, ids = np.append(bands, batch.column(0).to_numpy()), np.append(ids, batch.column(1).to_numpy())
+        whole = int(np.searchsorted(bands, bands[-1])) if len(bands) else 0
+        if whole:
+            yield met(bands[:whole], ids[:whole])
+            bands, ids = bands[whole:], ids[whole:]
+    yield met(bands, ids)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([likeness(x, y) for x, y in zip(a, b)], pa.float64())], names=["a", "b", "likeness"])
+        found = [likeness(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "likeness"])
+
+
+def _likenesses(left: list[str], right: list[str]) -> np.ndarray:
+    """``likeness`` of each fingerprint on the left with each on the right."""
+    owns = [np.array([int(m.split(":")[0]) for m in side]) for side in (left, right)]
+    level_by = np.maximum(owns[0][:, None], owns[1][None, :])
+    out = np.zeros(level_by.shape)
+    for level in np.unique(level_by).tolist():
+        at = [np.flatnonzero(o <= level) for o in owns]
+        rows = [[at_level(side[i], level) for i in a.tolist()] for side, a in zip((left, right), at)]
+        sizes = [np.array([len(r) for r in side]) for side in rows]
+        width = int(max(s.max() for s in sizes))
+        tables = [np.full((len(side), width), pad, np.uint8) for side, pad in zip(rows, (0, 1))]
+        for table, side in zip(tables, rows):
+            for i, r in enumerate(side):
+                table[i, : len(r)] = r
+        for i, row in enumerate(tables[0]):
+            same = np.count_nonzero(tables[1] == row, axis=1) / np.maximum(np.maximum(sizes[1], sizes[0][i]), 1)
+            here = level_by[at[0][i], at[1]] == level
+            out[at[0][i], at[1][here]] = same[here]
+    return out
 
 
-def near_links(marks: DataFrame, least: float = 0.8) -> DataFrame:
+def _compare(least: float):
+    """Rows come sorted by unit: all of one or two blocks of a band; a link for each two components that meet."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int, float]]:
+        left = [r for r in rows if r[3] == rows[0][1]]
+        right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == rows[0][2]]
+        if not left or not right:
+            return []
+        roots = [np.array([r[5] for r in side]) for side in (left, right)]
+        share = _likenesses(*[[r[6] for r in side] for side in (left, right)])
+        found, parent = [], {}
+
+        def top(v: int) -> int:
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero((share >= least) & (roots[0][:, None] != roots[1][None, :])))):
+            p, q = top(int(roots[0][i])), top(int(roots[1][j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((left[i][4], right[j][4], float(share[i, j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            found = links(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return run
+
+
+def _second_round(crowded: DataFrame, roots: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Links between members of crowded bands that the first round left in different components, all of them compared.
+
+    A band's largest component needs no look inside; the other members meet it and one another, block by block.
+    """
+    members = crowded.select("band", F.col("b").alias("id")).unionByName(crowded.select("band", F.col("a").alias("id")).distinct())
+    named = members.join(roots, F.col("id") == F.col("v"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    held = named.groupBy("band", "root").agg(F.count("*").alias("size"))
+    mixed = held.groupBy("band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    blocks = mixed.select("band", F.col("most.root").alias("most"), F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("others"), F.ceil(F.col("most.size") / BLOCK).alias("mosts"))
+    own = F.when(F.col("root") == F.col("most"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("mosts"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
+    placed = named.join(blocks, "band").withColumn("block", own)
+    met = F.when(F.col("root") == F.col("most"), F.col("others")).otherwise(F.col("others") + F.col("mosts"))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1))).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root")
+    dealt = units.join(marks, "id").select("band", "lo", "hi", "block", "id", "root", "fingerprint")
+    return dealt.repartition(shuffle_partitions(marks.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id").mapInArrow(_compare(least), "a long, b long, likeness double")
+
+
+def _links(marks: DataFrame, least: float) -> DataFrame:
+    """``(a, b, likeness)`` of ids of ``marks`` (id, fingerprint), whose fingerprints are distinct."""
+    spark = marks.sparkSession
+    banded = marks.select("id", "fingerprint").mapInArrow(_bands, "band long, id long")
+    dealt = banded.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band", "id")
+    meetings = keep(dealt.mapInArrow(_meetings, "band long, a long, b long, crowded boolean"), "edit-bands")
+    release(spark)
+    side = lambda name: marks.select(F.col("id").alias(name), F.col("fingerprint").alias(f"{name}_mark"))
+    pairs = meetings.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_mark", "b_mark")
+    links = keep(pairs.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least), "edit-links")
+    crowded = meetings.filter("crowded")
+    if not crowded.limit(1).count():
+        return links
+    return links.unionByName(keep(_second_round(crowded, components(links, "edit-roots"), marks, least), "edit-links"))
+
+
+def near_links(marks: DataFrame, least: float = LEAST) -> DataFrame:
     """``(a, b, likeness)``: verified links of distinct fingerprints, by bit-sampled banding.
 
-    Equal fingerprints collapse first. Within a band every fingerprint is compared with the band's smallest, so a band
-    of any size gives as many candidates as it has members.
+    Equal fingerprints collapse first. In a band of up to CROWDED members every two are compared. In a larger one each is
+    compared with the first, and then with every member in another component; links within a component are left out
+    there, so any two alike fingerprints that share a band are connected, and no pair list is quadratic.
     """
-    banded = marks.select("fingerprint").distinct().mapInArrow(_bands, "fingerprint string, band string")
-    heads = banded.groupBy("band").agg(F.min("fingerprint").alias("a"))
-    pairs = banded.join(heads, "band").filter("a < fingerprint").select("a", F.col("fingerprint").alias("b")).distinct()
-    return pairs.mapInArrow(_alike, "a string, b string, likeness double").filter(F.col("likeness") >= least)
+    named = keep(marks.select("fingerprint").distinct().select(F.xxhash64("fingerprint").alias("id"), "fingerprint"), "edit-marks")
+    links = _links(named, least)
+    return links.toDF("x", "y", "likeness").join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")

@@ -67,3 +67,61 @@ def test_banding_finds_near_copies(make):
     links = ef.near_links(ef.fingerprint(make(texts + near + [None, ""]))).collect()
     pairs = {frozenset((r["a"], r["b"])) for r in links}
     assert sum(frozenset((walk(a), walk(b))) in pairs for a, b in zip(texts, near)) >= 7
+
+
+def reaching(mark, others, links):
+    """All fingerprints that links connect with ``mark``."""
+    seen, left = {mark}, [mark]
+    while left:
+        x = left.pop()
+        for a, b in links:
+            y = b if a == x else a if b == x else None
+            if y is not None and y not in seen:
+                seen.add(y)
+                left.append(y)
+    return seen
+
+
+def test_bands_cover_the_whole_sample():
+    r = np.random.default_rng(5)
+    for n in (24, 60, 300, 500):
+        for where in (slice(0, None), slice(None, None, -1)):  # all differences at the start, or all at the end
+            met = 0
+            for _ in range(100):
+                digits = r.integers(0, 16, n)
+                other = digits.copy()
+                at = np.arange(n)[where][: n // 5]
+                other[at] = (digits[at] + 1 + r.integers(0, 15, len(at))) % 16
+                a, b = ("0:" + "".join("0123456789abcdef"[d] for d in row) for row in (digits, other))
+                assert ef.likeness(a, b) >= 0.8
+                met += bool(set(ef.band_keys(a).tolist()) & set(ef.band_keys(b).tolist()))
+            assert met >= 93
+
+
+def test_crowded_bands_are_compared_beyond_their_first(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    text = lambda row: "0:" + "".join("0123456789abcdef"[d] for d in row)
+    monkeypatch.setattr(ef, "CROWDED", 4)
+    monkeypatch.setattr(ef, "BLOCK", 8)
+    stem = r.integers(0, 16, 170)  # hot boilerplate: half of every text
+    pairs = []
+    for _ in range(40):
+        a = np.concatenate([stem, r.integers(0, 16, 170)])
+        b = a.copy()
+        b[r.integers(0, 340, 20)] ^= 1
+        pairs.append((text(a), text(b)))
+    marks = [m for p in pairs for m in p]
+    found = [(x["a"], x["b"]) for x in ef.near_links(spark.createDataFrame([(m,) for m in marks], "fingerprint string")).collect()]
+    want = {frozenset((x, y)) for i, x in enumerate(marks) for y in marks[:i] if ef.likeness(x, y) >= 0.8}
+    assert want and all(y in reaching(x, marks, found) for x, y in map(tuple, want))
+    assert np.allclose(ef._likenesses(marks[:9], ["1:" + m[2::2] for m in marks[:9]] + marks[9:20]), [[ef.likeness(x, y) for y in ["1:" + m[2::2] for m in marks[:9]] + marks[9:20]] for x in marks[:9]])
+
+
+def test_near_classes_of_the_query(make):
+    r = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(map(chr, r.integers(97, 123, 5))) for _ in range(n))
+    base = [words(80) for _ in range(12)]
+    texts = base + [t[:200] + "#" + t[201:] for t in base] + [base[0], "", None]
+    got = {x["doc_id"]: (x["near_class"], x["near_rows"]) for x in ef.digest(make(texts)).collect()}
+    assert got[0] == got[12] == got[24] == (0, 3) and got[25] == got[26] == (25, 2)
+    assert sum(got[i] == got[12 + i] == (i, 2) for i in range(1, 12)) >= 10
