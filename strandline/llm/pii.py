@@ -9,11 +9,11 @@ format never collide, so links between documents survive. Without the key they c
 Kinds, and what validates them:
 
 * ``email``: one ``@`` between a local part and a host of two labels or more; the last two labels stay;
-* ``card``: 13-19 digits, in one run or in groups; its Luhn digit must hold (unless ``check`` is off) and
-  holds again in the pseudonym;
+* ``card``: 13-19 digits, in one run or in groups, the longest such beginning of a longer row of groups whose Luhn digit
+  holds (unless ``check`` is off); it holds again in the pseudonym;
 * ``phone``: ten digits in the usual groups, with or without a country code;
 * ``ip``: four octets of 0-255;
-* ``date``: a real day of 1900-2099 as year-month-day, or day and month (either order) before the year;
+* ``date``: a real day of 1900-2099 as year-month-day, or day and month (either order) before the year; ``T`` and a time may follow;
 * ``ssn``: 3-2-4 digits whose groups are not all zero;
 * ``secret``: 16 or more letters and digits after ``token``, ``secret``, ``password`` or ``key`` and ``=`` or ``:``.
 
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "card", "phone", "ip", "date", "ssn", "secret")
 ROUNDS = 10
 SLICE_ROWS = 256
+PIECE = 4096
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 _SPOT = re.compile(r"[+(0-9]")
@@ -47,9 +48,10 @@ _IP = re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0
 _DATE = re.compile(r"(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _PHONE = re.compile(r"(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}")
+_TIME = re.compile(r"T[0-9]{2}(?![0-9])|T[0-9]{4}(?![0-9])|T[0-9]{6}(?![0-9])")
 _KEYWORD = re.compile(r"(?:token|secret|password|passwd|key)[\"']?\s{0,3}$", re.IGNORECASE)
-_SECRET = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,256})")
+_SECRET = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,})")
 
 
 def luhn_digit(digits: list[int]) -> int:
@@ -81,7 +83,7 @@ def permute(values: list[int], radices: list[int], key: bytes, kind: str) -> lis
     width = max(s.bit_length() for s in sizes) // 8 + 9
     for turn in range(ROUNDS):
         to, by = turn % 2, 1 - turn % 2
-        text = f"{kind}|{turn}|{sizes[0]}|{sizes[1]}|{halves[by]}".encode()
+        text = "|".join([kind, str(turn), *map(_spelled, (sizes[0], sizes[1], halves[by]))]).encode()
         halves[to] = (halves[to] + int.from_bytes(_stretch(key, text, width), "big")) % sizes[to]
     out: list[int] = []
     for number, side in zip(halves, sides):
@@ -93,6 +95,11 @@ def permute(values: list[int], radices: list[int], key: bytes, kind: str) -> lis
     return out
 
 
+def _spelled(n: int) -> str:
+    """Decimal digits; hexadecimal ones where Python refuses or is slow to write decimals."""
+    return str(n) if n.bit_length() < 14_000 else hex(n)
+
+
 def _stretch(key: bytes, text: bytes, width: int) -> bytes:
     if width <= 64:
         return hashlib.blake2b(text, key=key, digest_size=width).digest()
@@ -168,7 +175,9 @@ def _date(text: str, key: bytes) -> str:
 
 
 def _secret(text: str, key: bytes) -> str:
-    return _hex(text, key) if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else _letters(text, key, "secret")
+    """Pieces of a very long secret are permuted one by one: the arithmetic of one number grows with its square."""
+    one = _hex if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else lambda t, k: _letters(t, k, "secret")
+    return "".join(one(text[i : i + PIECE], key) if any(c.isalnum() for c in text[i : i + PIECE]) else text[i : i + PIECE] for i in range(0, len(text), PIECE))
 
 
 def _phone_skip(text: str) -> int:
@@ -196,6 +205,15 @@ def pseudonym(kind: str, text: str, key: bytes) -> str:
     return _MAKE[kind](text, key)
 
 
+def _card_end(text: str, hit: re.Match, check: bool) -> int:
+    """Where the longest card in a match ends that no digit or letter follows and whose Luhn digit holds; -1 if none."""
+    digits = [i for i in range(hit.start(), hit.end()) if text[i] not in " -"]
+    for last in reversed(digits[12:]):
+        if not text[last + 1 : last + 2].isalnum() and (not check or _luhn_holds(text[hit.start() : last + 1])):
+            return last + 1
+    return -1
+
+
 def find(text: str, check: bool = True) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of all findings, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -212,9 +230,13 @@ def find(text: str, check: bool = True) -> list[tuple[int, int, str]]:
         if i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_" or text[i - 1] in ".-" and i > 1 and text[i - 2].isdigit()):
             for kind, pattern in (("ip", _IP), ("date", _DATE), ("ssn", _SSN), ("phone", _PHONE), ("card", _CARD)):
                 hit = pattern.match(text, i)
-                if hit and not text[hit.end() : hit.end() + 1].isalnum() and (kind != "date" or _as_date(hit)) and (kind != "card" or not check or _luhn_holds(hit[0])):
-                    found.append((i, hit.end(), kind))
-                    at = hit.end()
+                if not hit:
+                    continue
+                end = _card_end(text, hit, check) if kind == "card" else hit.end()
+                ends = not text[end : end + 1].isalnum() or kind == "date" and _TIME.match(text, end)
+                if end >= 0 and ends and (kind != "date" or _as_date(hit)):
+                    found.append((i, end, kind))
+                    at = end
                     break
         m = _SPOT.search(text, at)
     for m in _GIVEN.finditer(text):

@@ -58,3 +58,24 @@ def test_query(make, prose):
     assert [s["kind"] for s in got[len(prose)]["pii_spans"]] == ["phone", "email"]
     assert got[len(prose) + 1]["text"] in got[len(prose)]["text"]
     assert got[0]["key"] == "k" and pii.pseudonymise(make([]).limit(0), KEY).collect() == []
+
+
+@pytest.mark.parametrize("after", [" 12/25", " 123", " 12 34", "-99", " 4111 1111 1111 1111"])
+def test_cards_before_more_digits(after):
+    new, spans = pii.replace(f"pay 4111 1111 1111 1111{after}.", KEY)
+    assert spans[0] == (4, 23, "card") and "4111 1111 1111 1111" not in new and pii.find(new)[0] == (4, 23, "card")
+
+
+def test_dates_with_a_time():
+    for after in ("T10:00:00Z", "T10:00", "T1000", "T100000Z", " 10:00:00"):
+        new, spans = pii.replace(f"at 2024-02-29{after} and on", KEY)
+        assert spans == [(3, 13, "date")] and "2024-02-29" not in new and new.endswith(f"{after} and on")
+    assert pii.find("2024-02-29Tue") == pii.find("2024-02-29X10:00") == pii.find("2024-02-29T123") == []
+
+
+@pytest.mark.parametrize("n", [16, 256, 257, 1000, 20_000])
+def test_secrets_of_any_length(n):
+    value = ("aB3" * n)[:n]
+    new, spans = pii.replace(f"key={value}!", KEY)
+    assert spans == [(4, 4 + n, "secret")] and len(new) == n + 5 and value[-16:] != new[-17:-1]
+    assert pii.find("key=" + "a" * 15) == []
