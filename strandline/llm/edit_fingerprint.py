@@ -8,7 +8,8 @@ text is sampled at the steps of its own level and above, the level growing with
 characters stay. Each sampled character is stored as four hashed bits. Fingerprints of different levels are compared at
 the steps they share.
 
-Texts of a batch walk together, longest first; when few are left, each finishes on its own. Whole texts are walked.
+Texts of a batch walk together, longest first; when few are left, each finishes on its own. A walk ends with its text or
+after three steps a character, counted from the start, in either way.
 
 Near copies: fingerprints that agree on a band (8 of their digits, drawn over the whole sample; 24 bands a level) are
 compared, and those of likeness 0.8 or more are linked. A class is what links connect; ``near_class`` is its smallest
@@ -80,9 +81,9 @@ def level_of(n_chars: int) -> int:
     return level
 
 
-def _alone(moves: np.ndarray, codes: np.ndarray, at: int, stop: int, level: int, step: int) -> bytearray:
-    """The rest of one walk, a stretch of steps at a time."""
-    out, limit = bytearray(), step + 3 * (stop - at)
+def _alone(moves: np.ndarray, codes: np.ndarray, at: int, stop: int, level: int, step: int, limit: int) -> bytearray:
+    """The rest of one walk, a stretch of steps at a time, up to step ``limit``."""
+    out = bytearray()
     while at < stop and step < limit:
         n = min(4096, limit - step)
         bits, levels = _step_moves(step, n).ravel().tolist(), _step_levels(step, n).tolist()
@@ -115,14 +116,18 @@ def _walk(texts: list[str]) -> list[bytes]:
 
     level = np.array([level_of(n) for n in sizes[order].tolist()])
     rows = [bytearray() for _ in order]
-    live, at, stop, lev = np.arange(len(order)), begin[order].copy(), ends[order], level
-    # rows come longest first, so their levels fall: those that sample a step of level l are the last ones
+    live, at, stop, lev, limit = np.arange(len(order)), begin[order].copy(), ends[order], level, 3 * sizes[order]
+    # rows come longest first, so their levels and limits fall: those that sample a step of level l, or have had all their
+    # steps, are the last ones
     step, shown = 0, 64
     while len(live) > _FEW:
         bits, levels = _step_moves(step, shown), _step_levels(step, shown)
         begins = np.searchsorted(-lev, -np.minimum(levels, lev[0]), side="left").tolist()
+        due = np.searchsorted(-limit, -np.arange(step, step + shown), side="left").tolist()
         seen: list[tuple[int, np.ndarray]] = []
         for j in range(shown):
+            if due[j] < len(at):
+                at[due[j] :] = stop[due[j] :]
             if begins[j] < len(at):
                 seen.append((begins[j], codes[at[begins[j] :]]))
             at += bits[j][moves[at]]
@@ -134,9 +139,9 @@ def _walk(texts: list[str]) -> list[bytes]:
         step += shown
         shown = min(2 * shown, 4096)
         held = at < stop
-        live, at, stop, lev = live[held], at[held], stop[held], lev[held]
-    for k, i, e, l in zip(live.tolist(), at.tolist(), stop.tolist(), lev.tolist()):
-        rows[k] += _alone(moves, codes, i, e, l, step)
+        live, at, stop, lev, limit = live[held], at[held], stop[held], lev[held], limit[held]
+    for k, i, e, l, m in zip(live.tolist(), at.tolist(), stop.tolist(), lev.tolist(), limit.tolist()):
+        rows[k] += _alone(moves, codes, i, e, l, step, m)
     for k, i in enumerate(order.tolist()):
         # drop the steps of other levels and those after the end; a walk lasts three steps a character at most
         sampled = rows[k].translate(None, b"\xff")
@@ -163,17 +168,21 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 
 @cache
-def _sample_levels(level: int) -> np.ndarray:
-    """Levels of the steps that a text of this level samples, in order."""
-    levels = _step_levels(0, (4 * SAMPLES) << level) if level < 12 else _step_levels(0, 1 << 23)
-    return levels[levels >= level][: 4 * SAMPLES]
+def _sample_levels(level: int, count: int) -> np.ndarray:
+    """Levels of the first ``count`` steps that a text of this level samples, in order."""
+    found, first, missing = [], 0, count
+    while missing > 0:
+        levels = _step_levels(first, 1 << 20)
+        found.append(levels[levels >= level])
+        first, missing = first + len(levels), missing - len(found[-1])
+    return np.concatenate(found or [np.zeros(0, np.int64)])[:count]
 
 
 def at_level(fingerprint: str, level: int) -> np.ndarray:
     """Digits at the steps of ``level`` and above; ``level`` is the fingerprint's own or a higher one."""
     own, digits = fingerprint.split(":")
     row = np.frombuffer(digits.encode(), np.uint8)
-    return row if int(own) == level else row[_sample_levels(int(own))[: len(row)] >= level]
+    return row if int(own) == level else row[_sample_levels(int(own), -(-len(row) // SAMPLES) * SAMPLES)[: len(row)] >= level]
 
 
 def likeness(a: str, b: str) -> float:

@@ -125,3 +125,31 @@ def test_near_classes_of_the_query(make):
     got = {x["doc_id"]: (x["near_class"], x["near_rows"]) for x in ef.digest(make(texts)).collect()}
     assert got[0] == got[12] == got[24] == (0, 3) and got[25] == got[26] == (25, 2)
     assert sum(got[i] == got[12 + i] == (i, 2) for i in range(1, 12)) >= 10
+
+
+def test_walks_do_not_depend_on_the_batch(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = [chr(c) for c in range(33, 900)] + ["".join(map(chr, r.integers(97, 123, n))) for n in range(2, 80) for _ in range(4)]
+    want = [walk(t) for t in texts]
+    assert ef.fingerprints(texts) == want and [ef.fingerprints([t])[0] for t in texts] == want
+    monkeypatch.setattr(ef, "_FEW", 0)
+    assert ef.fingerprints(texts) == want
+
+
+def test_levels_of_long_samples():
+    for level in (0, 3, 14, 15):
+        assert len(ef._sample_levels(level, 768)) == 768 and (ef._sample_levels(level, 768) >= level).all()
+    assert (ef._sample_levels(3, 1024)[:512] == ef._sample_levels(3, 512)).all()
+
+
+def test_text_of_ten_million_characters():
+    text = np.random.default_rng(4).integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    mark = ef.fingerprints([text])[0]
+    own = int(mark.split(":")[0])
+    assert own == ef.level_of(len(text)) == 16 and 200 < len(mark) < 400
+    higher = ef.at_level(mark, own + 1)
+    # the walk of the same text, sampled at the next level
+    moves, codes = ef._codes(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    moves, codes = np.append(moves, np.uint8(63)), np.append(codes, np.uint8(ef._END))
+    sampled = ef._alone(moves, codes, 0, len(text), own + 1, 0, 3 * len(text))
+    assert higher.tobytes().decode() == "".join("0123456789abcdef"[c] for c in sampled)
