@@ -17,12 +17,12 @@ def sniffed_text(b: Column) -> Column:
     return F.when(wide, F.decode(b, "UTF-16LE")).when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
 
 
-def printable_runs(b: Column, least: int = 6, most: int = 1000) -> Column:
+def printable_runs(b: Column, least: int = 6) -> Column:
     """Distinct runs of printable characters, of one byte each or of two with a zero byte."""
     text = F.decode(b, "ISO-8859-1")
     narrow = F.regexp_extract_all(text, F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0))
     wide = F.transform(F.regexp_extract_all(text, F.lit(rf"(?:[\x20-\x7e]\x00){{{least},}}"), F.lit(0)), lambda v: F.replace(v, F.lit("\0"), F.lit("")))
-    return F.slice(F.array_distinct(F.concat(narrow, wide)), 1, most)
+    return F.array_distinct(F.concat(narrow, wide))
 
 
 def token_hash(tokens: Column, sort: bool = False) -> Column:

@@ -355,7 +355,7 @@ def indicator_emails(spark, d):
 o AS (SELECT *, split_part(value, '.', 1)::INT AS a, split_part(value, '.', 2)::INT AS b FROM v)
 SELECT value, count(*) AS hits FROM o WHERE NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)) GROUP BY 1""")
 def indicator_addresses(spark, d):
-    family = (("IP", tx.IPV4, "low", 400),)
+    family = (("IP", tx.IPV4, "low"),)
     found = indicators.indicators(table(spark, d, "documents"), "doc_id", "text", family)
     return indicators.roll_up(found).select("value", "hits")
 

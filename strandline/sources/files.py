@@ -38,7 +38,7 @@ def sqlite_table(files: DataFrame, table: str, schema: str) -> DataFrame:
     return files.select("content").mapInPandas(run, schema)
 
 
-def archive_entries(files: DataFrame, most: int = 50_000) -> DataFrame:
+def archive_entries(files: DataFrame) -> DataFrame:
     """``(path, entry, size, warning)`` of ZIP and TAR archives; warnings: traversal and double extension."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,11 +46,11 @@ def archive_entries(files: DataFrame, most: int = 50_000) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 data = io.BytesIO(content)
                 if zipfile.is_zipfile(data):
-                    rows = [(path, i.filename, i.file_size) for i in zipfile.ZipFile(data).infolist()[:most]]
+                    rows = [(path, i.filename, i.file_size) for i in zipfile.ZipFile(data).infolist()]
                 else:
                     data.seek(0)
                     try:
-                        rows = [(path, m.name, m.size) for m, _ in zip(tarfile.open(fileobj=data), range(most))]
+                        rows = [(path, m.name, m.size) for m in tarfile.open(fileobj=data)]
                     except tarfile.TarError:
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", "entry", "size"])

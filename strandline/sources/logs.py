@@ -78,11 +78,11 @@ def apache_error(lines: DataFrame) -> DataFrame:
 
 
 def timed_log(lines: DataFrame, most: int = 8) -> DataFrame:
-    """Logs that begin with a time: the time, then fields split at runs of spaces outside quotes."""
+    """Logs that begin with a time: the time, then fields split at runs of spaces outside quotes, those after the first ``most`` in ``rest``."""
     pattern = r"^\[?(\d{4}-\d{2}-\d{2}(?:[ T]|--)\d{2}[:-]\d{2}[:-]\d{2}(?:[.,]\d+)?(?:Z|\s?[+-]\d{2}:?\d{2})?)\]?\s+(.*)$"
     parts = F.regexp_extract_all(F.regexp_extract("value", pattern, 2), F.lit(r'"([^"]*)"|(\S+)'), F.lit(0))
     kept = lines.filter(F.col("value").rlike(pattern))
-    return kept.select(F.regexp_extract("value", pattern, 1).alias("time"), *[F.coalesce(F.trim(F.get(parts, F.lit(i)), F.lit('"')), F.lit("")).alias(f"field_{i + 2}") for i in range(most)])
+    return kept.select(F.regexp_extract("value", pattern, 1).alias("time"), *[F.coalesce(F.trim(F.get(parts, F.lit(i)), F.lit('"')), F.lit("")).alias(f"field_{i + 2}") for i in range(most)], F.array_join(F.slice(parts, most + 1, F.greatest(F.size(parts), F.lit(1))), " ").alias("rest"))
 
 
 def _locked(maps: DataFrame, first: list[str], fixed: list[str] = ()) -> DataFrame:

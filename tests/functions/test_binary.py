@@ -39,3 +39,8 @@ def test_firefox_and_downloads(spark):
     assert rows[2]["referrer"] == "http://a/" and rows[2]["address"] == "" and rows[2]["time"] is None and str(rows[1]["time"]).startswith("2023-11-14")
     downloads = spark.createDataFrame([(9, 13_350_000_000_000_000, "/home/u/f.zip", 77)], "id long, start_time long, target string, total_bytes long")
     assert [(r["type"], r["title"], r["total_bytes"]) for r in joins.with_downloads(history, downloads).filter("id = 9").collect()] == [("download", "f.zip", 77)]
+
+
+def test_all_printable_runs(spark):
+    data = b"\x01".join(b"run %06d" % i for i in range(1500))
+    assert len(spark.createDataFrame([(bytearray(data),)], "b binary").select(binary.printable_runs(F.col("b"))).first()[0]) == 1500

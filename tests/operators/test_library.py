@@ -128,3 +128,31 @@ def test_rollups(spark):
     assert detect.risk(found).first()[0] == "high" and detect.risk(found.limit(0)).first()[0] == "info" and detect.risk(found.limit(1)).first()[0] == "medium"
     mails = spark.createDataFrame([("PayPal Support", "a@evil.ru"), ("PayPal", "x@mail.paypal.com"), ("bank.com", "a@other.org"), ("Bob", "b@c.d")], "n string, a string")
     assert [r[0] for r in mails.select(detect.sender_spoof(F.col("n"), F.col("a"), {"PayPal": ["paypal.com"]})).collect()] == ["high", "none", "medium", "none"]
+
+
+def test_no_cap_on_indicators(spark):
+    import re
+
+    addresses = [f"8.{i // 250}.{i % 250}.7" for i in range(900)]
+    mails = [f"u{i}@mail.org" for i in range(500)]
+    keys = [f"AKIA{i:016d}" for i in range(40)]
+    long = "http://a.example/" + "p" * 600
+    text = " ".join([*addresses, *mails, *keys, long])
+    df = spark.createDataFrame([(1, text), (2, text), (3, addresses[-1])], "id int, t string")
+    got = {(r["id"], r["type"], r["value"]): r["offset"] for r in indicators.indicators(df, "id", "t").collect()}
+    want = {}
+    for i, t in ((1, text), (2, text), (3, addresses[-1])):
+        for kind, pattern in (("URL", r"http://\S+"), ("Email", r"\w+@[\w.]+"), ("IP", r"\b\d+\.\d+\.\d+\.\d+\b"), ("AWS key", r"AKIA\d{16}")):
+            want |= {(i, kind, m[0]): m.start() for m in re.finditer(pattern, t)}
+    assert {k: v for k, v in got.items() if k[1] in ("URL", "Email", "IP", "AWS key")} == want
+    hits = {(r["type"], r["value"]): r["hits"] for r in indicators.roll_up(indicators.indicators(df, "id", "t")).collect()}
+    assert hits["IP", addresses[-1]] == 3 and hits["AWS key", keys[-1]] == 2
+
+
+def test_no_cap_on_candidates_and_payloads(spark):
+    import gzip
+
+    text = " ".join("%41%42%43%" + f"{i:04x}"[:2] + "%" + f"{i:04x}"[2:] for i in range(300))
+    assert decode.candidates(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").count() == 300
+    packed = gzip.compress(b"ab" * 3_000_000)
+    assert spark.createDataFrame([(bytearray(packed),)], "b binary").select(F.length(decode.inflate("b"))).first()[0] == 6_000_000

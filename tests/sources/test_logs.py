@@ -120,3 +120,8 @@ def test_containers(spark, tmp_path):
     (tmp_path / "z.zip").write_bytes(b"not an archive")
     entries = files.archive_entries(files.read_files(spark, str(tmp_path), "*.{zip,tar}"))
     assert sorted((r["entry"], r["size"], r["warning"]) for r in entries.collect()) == [("../up.txt", 1, "traversal"), ("cv.pdf.exe", 2, "double extension"), ("ok/file.txt", 3, "")]
+
+
+def test_timed_logs_keep_later_words(spark):
+    df = spark.createDataFrame([("2024-01-02 03:04:05 a b c d e f g h i \"j k\" l",), ("2024-01-02 03:04:05 a",)], "value string")
+    assert [(r["field_9"], r["rest"]) for r in logs.timed_log(df).collect()] == [("h", 'i "j k" l'), ("", "")]
