@@ -13,7 +13,7 @@ after three steps a character, counted from the start, in either way.
 
 Near copies: fingerprints that agree on a band (8 of their digits, drawn over the whole sample; 24 bands a level) are
 compared, and those of likeness 0.8 or more are linked. A class is what links connect; ``near_class`` is its smallest
-``doc_id`` and ``near_rows`` its rows. A pair of likeness 0.8 shares a band with chance 0.98 or more; a class then holds every two
+``doc_id`` and ``near_rows`` its rows. A pair of likeness 0.8 shares a band with chance 0.97 or more; a class then holds every two
 alike fingerprints that share one.
 
 Defined results: a null text is empty and has the fingerprint ``0:``; two empty texts are alike (1), an empty and another
