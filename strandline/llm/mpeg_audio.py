@@ -1,8 +1,9 @@
 """Media columns: MPEG audio streams, written to carry bytes and parsed for tags, frames, checksums and seek tables.
 
-The parser reads any MPEG-1/2/2.5 stream of layers I-III: ID3v2 and ID3v1 tags, Xing/Info and VBRI tables, and frame
-headers, resynchronising after damage on the next header that another header (or the end) follows. Durations are exact:
-samples over the sampling rate. The writer stores bytes losslessly as the bodies of layer III frames with checksums,
+The parser reads any MPEG-1/2/2.5 stream of layers I-III: ID3v2 and ID3v1 tags, Xing/Info and VBRI tables with their seek
+points, and frame headers, resynchronising after damage on the next header that another header (or the end) follows. The
+checksums of all three layers are verified. The last 128 bytes are an ID3v1 tag only where no frame goes through
+them that the end of the stream, or a further header, follows. Durations are exact: samples over the sampling rate. The writer stores bytes losslessly as the bodies of layer III frames with checksums,
 with a variable bitrate: full frames at 320 kbit/s and one smaller frame for the rest, behind an ID3v2 tag that holds
 the length and a Xing frame with the counts and the seek table.
 
@@ -38,6 +39,14 @@ BITRATES = {
 }
 #: Sampling rates of MPEG-1; MPEG-2 has half, MPEG-2.5 a quarter.
 RATES = (44100, 48000, 32000)
+#: Fixed values of layer II: (subbands, bits of their allocation fields) runs of the five allocation tables.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
 RATE, PADDED = 48000, 64
 
 
@@ -50,6 +59,9 @@ class Header:
     side: int  # bytes of side information that a checksum covers (layer III)
     crc: bool
     layer: int
+    channels: int
+    bound: int  # the first subband that both channels share (layers I and II)
+    table: str  # of ALLOCATION (layer II)
 
 
 @lru_cache(maxsize=4096)
@@ -66,7 +78,11 @@ def frame_header(four: bytes) -> Header | None:
     samples = {1: 384, 2: 1152, 3: 1152 if version == 1 else 576}[layer]
     size = (12 * kbps * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + pad
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(size, samples, hertz, kbps, side, not four[1] & 1, layer)
+    channels, joint = 1 if mono else 2, four[3] >> 6 == 1
+    bound = 4 * (four[3] >> 4 & 3) + 4 if joint else 32
+    each = kbps // channels
+    table = "lsf" if version != 1 else ("d" if hertz == 32000 else "c") if each <= 48 else "a" if hertz == 48000 or each <= 80 else "b"
+    return Header(size, samples, hertz, kbps, side, not four[1] & 1, layer, channels, bound, table)
 
 
 @cache
@@ -89,6 +105,35 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _crc_bits(bits: str) -> int:
+    """The same checksum over a number of bits that need not fill bytes."""
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 ^ 0x8005 * ((crc >> 15) ^ int(bit))) & 0xFFFF
+    return crc
+
+
+def checksum(data: bytes, at: int, h: Header) -> int:
+    """What the checksum of the frame at ``at`` should be: of the last two header bytes and the fields that it protects."""
+    body = at + 6
+    if h.layer == 3:
+        return crc16(data[at + 2 : at + 4] + data[body : body + h.side])
+    raw = data[body : at + h.size][:128]
+    bits = "".join(f"{b:08b}" for b in raw)
+    if h.layer == 1:
+        used = 4 * (32 * h.channels if h.channels == 1 else 32 + h.bound)
+    else:
+        used, chosen = 0, 0
+        widths = [w for n, w in ALLOCATION[h.table] for _ in range(n)]
+        for band, width in enumerate(widths):
+            shared = h.channels == 2 and band >= h.bound
+            for _ in range(1 if shared else h.channels):
+                chosen += ("1" in bits[used : used + width]) * (h.channels if shared else 1)
+                used += width
+        used += 2 * chosen  # the scale factor selection of each allocated subband and channel
+    return _crc_bits("".join(f"{b:08b}" for b in data[at + 2 : at + 4]) + bits[:used])
+
+
 @dataclass
 class Stream:
     offsets: list[int] = field(default_factory=list)  # where each frame begins: the exact seek table
@@ -133,7 +178,10 @@ def _rate_table(data: bytes, at: int, h: Header) -> dict:
                 out["seek"] = list(data[q : q + 100])
             return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+        total, frames, entries, scale, wide, step = struct.unpack(">IIHHHH", data[at + 46 : at + 62].ljust(16, b"\0"))
+        raw = [data[at + 62 + wide * i : at + 62 + wide * (i + 1)] for i in range(entries)]
+        seek = [scale * int.from_bytes(x, "big") for x in raw if len(x) == wide]
+        return {"kind": "VBRI", "bytes": total, "frames": frames, "seek": seek, "step": step}
     return {}
 
 
@@ -149,17 +197,20 @@ def _resync(data: bytes, at: int, end: int) -> int:
 
 def parse(data: bytes, with_bodies: bool = False) -> Stream:
     out, at, end = Stream(), 0, len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["id3v1_title"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    tail = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end  # an ID3v1 tag, unless a frame goes through it
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _id3v2(data, at, out.tags)
     first = True
     while at + 4 <= end:
+        if at == tail < end:
+            out.tags["id3v1_title"] = data[tail + 3 : tail + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         h = frame_header(data[at : at + 4])
-        if h is None or at + h.size > end:
-            to = _resync(data, at + 1, end) if at + 1 < end - 3 else end
-            out.resyncs += to < end
+        stop = tail if at < tail else end
+        goes_on = h and (at + h.size == end or at + h.size + 4 <= end and frame_header(data[at + h.size : at + h.size + 4]))
+        if h is None or at + h.size > stop and not goes_on:
+            to = _resync(data, at + 1, stop) if at + 1 < stop - 3 else stop
+            out.resyncs += to < stop
             at = to
             continue
         if first:
@@ -171,9 +222,8 @@ def parse(data: bytes, with_bodies: bool = False) -> Stream:
         body = at + 4
         if h.crc:
             body += 2
-            if h.layer == 3:
-                out.checked += 1
-                out.broken += crc16(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.checked += 1
+            out.broken += checksum(data, at, h) != int.from_bytes(data[at + 4 : at + 6], "big")
         out.offsets.append(at)
         out.sizes.append(h.size)
         out.samples += h.samples
