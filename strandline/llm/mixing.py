@@ -1,15 +1,18 @@
 """Mixing sources to target weights: a low-discrepancy schedule of equal-word blocks, with DataFrame functions only.
 
-The schedule has one slot a block. Slot ``j`` takes the point ``frac(j * golden ratio)`` (computed exactly in integers
-modulo 2**32), which falls into the interval of one source among the cumulative targets; the slots of a source are
-ranked, and its rank ``q`` takes block ``q`` of that source's shuffled word stream. The stream holds every document once
-an epoch, in an order of its own for each epoch, so that no document is used more often than there are epochs.
+The mix is a schedule of slots, one block each. Slot ``j`` takes the point ``frac(j * golden ratio)`` (computed exactly in
+integers modulo 2**32), which falls into the interval of one source among the cumulative targets; the slots of a source
+are ranked, and its rank ``q`` takes block ``q`` of that source's shuffled word stream. The stream holds every document
+once an epoch, in an order of its own for each epoch, so that no document is used more often than there are epochs.
 
-A source gets exactly ``ceil(target / block_words)`` blocks, the last of them cut to the target: points beyond that are
-dropped, and the few that the sequence's discrepancy leaves short follow at the end of the schedule.
+The number of slots is that of all targets' blocks; how many of them a source gets, and where, is up to the points. The
+sequence's discrepancy (a few slots at any length) is how far a source's words may be from its target, besides what a
+slot beyond the end of a stream leaves out, where the target is all of it. Blocks have ``block_words`` words, or fewer in
+a small mix, so that there are about ``MIN_SLOTS`` slots or more.
 
 Nothing meets in one task that grows with a source: word offsets and slot ranks are two-level prefix sums over
-(source, hash chunk) and (source, slot chunk); cumulative targets are joined by equal cells of the unit interval.
+(source, hash chunk) and (source, slot chunk); cumulative targets are joined by equal cells of the unit interval. Only
+``sources``, a few numbers each, pass through windows without partitions (millions of sources are too many).
 
 Defined results: a null or empty text has size 0 and is never taken; the null source is a source of its own, after all
 others; rows that repeat a ``doc_id`` are documents of their own; an empty table gives an empty mix.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ _GOLDEN = 2654435769  # 2**32 over the golden ratio, rounded
 _CELLS = 4096
 _CHUNK_DOCS = 4096
 _CHUNK_SLOTS = 1 << 13
+MIN_SLOTS = 1 << 16
 
 
 @dataclass
@@ -37,9 +41,10 @@ class Mix:
     """The parts of a mix; every frame is lazy over tables already written to the shared folder."""
 
     documents: DataFrame  # rid, doc_id, source, size
-    sources: DataFrame  # source_no, source, source_size, weight, target, quota (blocks)
+    sources: DataFrame  # source_no, source, source_size, chunks, weight, target
     schedule: DataFrame  # slot, source_no, block
-    pieces: DataFrame  # source_no, block, rid, epoch, words (of this document in this block)
+    pieces: DataFrame  # source_no, block, rid, epoch, taken (words of this document in this block)
+    block_words: int
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -72,19 +77,37 @@ def _chunked_sum(rows: DataFrame, keys: list[str], chunk: str, order: list[Colum
     return rows.withColumn("_inner", inner).join(base, [*keys, chunk]).withColumn("before", F.col("_base") + F.col("_inner")).drop("_v", "_inner", "_base")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 256, seed: int = 17, carry: tuple[str, ...] = ()) -> Mix:
+def points(spark: SparkSession, slots: int) -> DataFrame:
+    """``(slot, u)``: the golden-ratio sequence in [0, 1)."""
+    u = F.pmod((F.col("slot") % (1 << 31)) * F.lit(_GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", u)
+
+
+def schedule(spark: SparkSession, sources: DataFrame, slots: int, total: float) -> DataFrame:
+    """``(slot, source_no, block)``: each point's source among the cumulative targets, and its rank among that source's."""
+    upto = F.sum("target").over(W.orderBy("source_no"))
+    lines = sources.filter("target > 0").withColumn("hi", upto / F.lit(total)).withColumn("lo", (upto - F.col("target")) / F.lit(total))
+    # a sum of floats may end just under 1: the last interval does not
+    lines = lines.withColumn("hi", F.when(F.lead("source_no").over(W.orderBy("source_no")).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
+    cells = lines.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS)))).select("cell", "lo", "hi", "source_no")
+    hits = points(spark, slots).withColumn("cell", F.floor(F.col("u") * _CELLS)).join(cells, "cell").filter("u >= lo and u < hi").select("slot", "source_no")
+    ranked = _chunked_sum(hits.withColumn("chunk", F.floor(F.col("slot") / _CHUNK_SLOTS)), ["source_no"], "chunk", ["slot"], F.lit(1))
+    return ranked.select("slot", "source_no", F.col("before").alias("block"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, block_words: int = 64, seed: int = 17, carry: tuple[str, ...] = ()) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source); see the module for the method. ``carry`` names columns to keep."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     documents = keep(sized.select(F.monotonically_increasing_id().alias("rid"), "*"), "mix-documents")
-    b = F.lit(block_words)
-    sources = keep(
-        _targets(documents, weights, share, float(epochs)).withColumn("words", F.round("target").cast("long")).withColumn("quota", F.ceil(F.col("words") / b).cast("long")), "mix-sources"
-    )
+    sources = keep(_targets(documents, weights, share, float(epochs)), "mix-sources")
+    total = float(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+    size = max(1, min(block_words, int(total) // MIN_SLOTS))
+    slots, b = round(total / size), F.lit(size)
 
     # streams: every document once an epoch, by hash within the source
     owner = documents.select("rid", "doc_id", "source", "size").filter("size > 0")
-    owner = owner.join(sources.select("source_no", "source", "source_size", "chunks", "words"), owner["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    owner = owner.join(sources.select("source_no", "source", "source_size", "chunks", "target"), owner["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = (
         owner.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("key", F.xxhash64("doc_id", "epoch", F.lit(seed)))
@@ -92,38 +115,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
     placed = _chunked_sum(placed, ["source_no", "epoch"], "chunk", ["key", "doc_id", "size", "rid"], F.col("size"))
     begin = F.col("epoch") * F.col("source_size") + F.col("before")
-    placed = placed.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("words"))).filter("begin < end")
+    # blocks far beyond a target meet no slot: a source has no more than its share of all slots and the discrepancy
+    reach = F.col("target") + F.lit(1024) * b
+    placed = placed.withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size")).filter(F.col("begin") < reach)
     pieces = (
         placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("end") - 1) / b))))
         .withColumn("taken", F.least("end", (F.col("block") + 1) * b) - F.greatest("begin", F.col("block") * b))
         .select("source_no", "block", "rid", "epoch", "taken")
     )
+    return Mix(documents, sources, schedule(spark, sources, slots, total), pieces, size)
 
-    # schedule: points through cumulative targets, by cells of the unit interval
-    slots = int(sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0])
-    upto = F.sum("quota").over(W.orderBy("source_no"))
-    lines = sources.filter("quota > 0").withColumn("hi", upto / F.lit(float(max(slots, 1)))).withColumn("lo", (upto - F.col("quota")) / F.lit(float(max(slots, 1))))
-    cells = lines.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS)))).select("cell", "lo", "hi", "source_no", "quota")
-    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", F.pmod((F.col("slot") % (1 << 31)) * F.lit(_GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32)))
-    hits = points.withColumn("cell", F.floor(F.col("u") * _CELLS)).join(cells, "cell").filter("u >= lo and u < hi").select("slot", "source_no", "quota")
-    ranked = _chunked_sum(hits.withColumn("chunk", F.floor(F.col("slot") / _CHUNK_SLOTS)), ["source_no"], "chunk", ["slot"], F.lit(1)).withColumnRenamed("before", "block")
-    hit = ranked.filter("block < quota").select("slot", "source_no", "block")
-    had = ranked.groupBy("source_no").agg(F.count("*").alias("had"))
-    late = (
-        sources.filter("quota > 0").join(had, "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0))).filter("had < quota")
-        .withColumn("block", F.explode(F.expr("sequence(had, quota - 1)")))
-        .withColumn("slot", F.lit(slots) + F.col("block") * F.lit(1 << 20) + F.col("source_no"))
-        .select("slot", "source_no", "block")
-    )
-    return Mix(documents, sources, hit.unionByName(late), pieces)
+
+def scheduled(plan: Mix) -> DataFrame:
+    """``(rid, epoch, taken, first_slot)``: the words of each document's copies in scheduled blocks, and where they begin.
+
+    A document's pieces are summed before they are dealt by document, a block of one document being the most a row adds.
+    """
+    return plan.schedule.join(plan.pieces, ["source_no", "block"]).groupBy("rid", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
 
 
 def taken_words(plan: Mix) -> DataFrame:
-    """``(rid, doc_id, source, size, source_size, target, taken)``: the words of each document in the scheduled blocks."""
-    used = plan.schedule.join(plan.pieces, ["source_no", "block"]).groupBy("rid").agg(F.sum("taken").alias("taken"))
+    """``(rid, doc_id, source, size, source_size, target, taken, first_slot)`` of each document (no slot: null)."""
+    used = scheduled(plan).groupBy("rid").agg(F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
     owned = plan.documents.join(plan.sources.select("source", "source_size", "target"), plan.documents["source"].eqNullSafe(plan.sources["source"])).drop(plan.sources["source"])
     return owned.join(used, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return taken_words(mix(docs)).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"), "source")
+    longs = [F.col(c).cast("long").alias(c) for c in ("source_size", "taken")]
+    return taken_words(mix(docs)).select("doc_id", "size", longs[0], F.col("target").cast("double").alias("target"), longs[1], "source", "first_slot")
