@@ -8,32 +8,59 @@ format never collide, so links between documents survive. Without the key they c
 
 Kinds, and what validates them:
 
-* ``email``: one ``@`` between a local part and a host of two labels or more; the last two labels stay;
+* ``email``: one ``@`` between a local part and a host of two labels or more, in letters of any script; the last two
+  labels stay;
 * ``card``: 13-19 digits, in one run or in groups, the longest such beginning of a longer row of groups whose Luhn digit
   holds (unless ``check`` is off); it holds again in the pseudonym;
+* ``iban``: a country of ``IBAN_LENGTHS``, its number of letters and digits, with or without spaces, and a rest of 1
+  modulo 97; the country stays and the rest is 1 again;
 * ``phone``: ten digits in the usual groups, with or without a country code;
 * ``ip``: four octets of 0-255;
-* ``date``: a real day of 1900-2099 as year-month-day, or day and month (either order) before the year; ``T`` and a time may follow;
-* ``ssn``: 3-2-4 digits whose groups are not all zero;
-* ``secret``: 16 or more letters and digits after ``token``, ``secret``, ``password`` or ``key`` and ``=`` or ``:``.
-
-Defined results: null texts stay null; texts without findings stay as they are, byte for byte; longer findings win over
-shorter ones that overlap them, then earlier ones. All columns of the input stay, whatever their names.
+* ``ipv6``: an address in any spelling, with a digit and either three groups or a first group of four digits (so that
+  ``a::b`` of programs stays); the pseudonym is in the short spelling, and an embedded IPv4 address becomes groups;
+* ``date``: a real day of 1900-2099 as year-month-day, or day and month (either order) before the year; ``T`` and a time
+  may follow; a day or month without its leading zero is written without one again;
+* ``ssn``: 3-2-4 digits in the ranges that are given out; the pseudonym is in them too;
+* ``secret``: 16 or more letters and digits after ``token``, ``secret``, ``password`` or ``key`` and ``=`` or ``:``;
+* ``credential``: keys of cloud, repository, chat, payment and web services that begin with one of ``CREDENTIALS``; that
+  beginning stays.
+
+Defined results: null and empty texts stay as they are, and texts without findings byte for byte; longer findings win over
+shorter ones that overlap them, then earlier ones. All columns of the input stay, whatever their names, but for one named
+``pii_spans`` where spans are asked for: the new column takes its place. Texts must be valid UTF-8.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-KINDS = ("email", "card", "phone", "ip", "date", "ssn", "secret")
+from pyspark.sql import types as T
+
+KINDS = ("email", "card", "iban", "phone", "ip", "ipv6", "date", "ssn", "secret", "credential")
+#: Length of an account number by its country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: How credentials begin, and what follows.
+CREDENTIALS = {
+    "AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "AGPA": "[A-Z0-9]{16}", "AROA": "[A-Z0-9]{16}", "AIDA": "[A-Z0-9]{16}", "ghp_": "[A-Za-z0-9]{36,}", "gho_": "[A-Za-z0-9]{36,}",
+    "ghu_": "[A-Za-z0-9]{36,}", "ghs_": "[A-Za-z0-9]{36,}", "ghr_": "[A-Za-z0-9]{36,}", "github_pat_": "[A-Za-z0-9_]{22,}", "glpat-": "[A-Za-z0-9_-]{20,}", "xoxa-": "[A-Za-z0-9-]{10,}",
+    "xoxb-": "[A-Za-z0-9-]{10,}", "xoxp-": "[A-Za-z0-9-]{10,}", "xoxr-": "[A-Za-z0-9-]{10,}", "xoxs-": "[A-Za-z0-9-]{10,}", "sk_live_": "[A-Za-z0-9]{16,}", "rk_live_": "[A-Za-z0-9]{16,}",
+    "AIza": "[A-Za-z0-9_-]{35}",
+}
 ROUNDS = 10
 SLICE_ROWS = 256
 PIECE = 4096
@@ -42,8 +69,12 @@ _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 _SPOT = re.compile(r"[+(0-9]")
 _RUN = re.compile(r"[+(]*[0-9]*")
 _GIVEN = re.compile(r"[=:]")
-_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
-_HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_LOCAL = re.compile(r"[^\W_](?:[\w.%+-]*[^\W_])?$")
+_HOST = re.compile(r"(?:[^\W_](?:[^\W_]|-(?=[\w-]{0,62}[^\W_]\.)){0,62}\.)+[^\W\d_]{2,24}(?![^\W_])")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}")
+_PAIR = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_LEFT, _RIGHT = re.compile(r"[0-9A-Fa-f:]*$"), re.compile(r"[0-9A-Fa-f:.]*")
+_CREDENTIAL = re.compile("|".join(f"{begin}{rest}" for begin, rest in CREDENTIALS.items()))
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")
 _DATE = re.compile(r"(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
@@ -121,15 +152,23 @@ def _digits(text: str, key: bytes, kind: str, skip: int = 0, luhn: bool = False)
     return "".join(out)
 
 
+@cache
+def _alphabet(char: str) -> str:
+    """The letters that may take the place of ``char``: 26, or those of its block of 64 code points and its case."""
+    if char.isascii():
+        return "abcdefghijklmnopqrstuvwxyz"
+    first = ord(char) & ~63
+    return "".join(c for c in map(chr, range(first, first + 64)) if c.isalpha() and not c.isascii() and c.isupper() == char.isupper())
+
+
 def _letters(text: str, key: bytes, kind: str) -> str:
-    """ASCII letters and digits of ``text`` permuted within their classes; case stays where it was."""
-    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-    radices = [10 if text[i].isdigit() else 26 for i in at]
-    old = [int(text[i]) if r == 10 else ord(text[i].lower()) - 97 for i, r in zip(at, radices)]
+    """Letters and digits of ``text`` permuted within their classes; the case of ASCII letters stays where it was."""
+    at = [i for i, c in enumerate(text) if c.isalpha() or "0" <= c <= "9"]
+    classes = ["0123456789" if text[i].isdigit() else _alphabet(text[i]) for i in at]
+    old = [a.index(text[i].lower() if text[i].isascii() else text[i]) for i, a in zip(at, classes)]
     out = list(text)
-    for i, v, r in zip(at, permute(old, radices, key, kind), radices):
-        c = str(v) if r == 10 else chr(97 + v)
-        out[i] = c.upper() if text[i].isupper() else c
+    for i, v, a in zip(at, permute(old, [len(a) for a in classes], key, kind), classes):
+        out[i] = a[v].upper() if text[i].isascii() and text[i].isupper() else a[v]
     return "".join(out)
 
 
@@ -151,6 +190,39 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(map(str, permute([int(x) for x in text.split(".")], [256] * 4, key, "ip")))
 
 
+def _ipv6(text: str, key: bytes) -> str:
+    groups = ipaddress.IPv6Address(text).packed
+    new = permute([groups[i] << 8 | groups[i + 1] for i in range(0, 16, 2)], [65536] * 8, key, "ipv6")
+    out = str(ipaddress.IPv6Address(b"".join(v.to_bytes(2, "big") for v in new)))
+    return out.upper() if any(c.isupper() for c in text) else out
+
+
+def _rest_97(country: str, body: str) -> int:
+    """An account number as a number (letters are 10-35), its beginning moved behind its rest, modulo 97."""
+    return int("".join(str(int(c, 36)) for c in body + country)) % 97
+
+
+def _iban(text: str, key: bytes) -> str:
+    """The part behind the check digits is permuted; then these are set again."""
+    plain = text.replace(" ", "")
+    body = _letters(plain[4:], key, "iban" + plain[:2])
+    new = iter(f"{plain[:2]}{98 - _rest_97(plain[:2] + '00', body):02}{body}")
+    return "".join(c if c == " " else next(new) for c in text)
+
+
+def _credential(text: str, key: bytes) -> str:
+    begin = next(b for b in CREDENTIALS if text.startswith(b))
+    return begin + _secret(text[len(begin) :], key)
+
+
+def _ssn(text: str, key: bytes) -> str:
+    """Walks on through the permutation of all nine digits until the groups are in their ranges: a permutation of these."""
+    while True:
+        text = _digits(text, key, "ssn")
+        if _SSN.fullmatch(text):
+            return text
+
+
 def _as_date(m: re.Match) -> tuple[datetime.date, str] | None:
     """(day, order of its parts) of a match, if it is a real day in range; day before month where both would do."""
     a, b, c = (m[1], m[3], m[4]) if m[1] else (m[5], m[7], m[8])
@@ -170,7 +242,8 @@ def _date(text: str, key: bytes) -> str:
     day, order = _as_date(m)
     new = datetime.date.fromordinal(_FIRST_DAY + permute([day.toordinal() - _FIRST_DAY], [_DAYS], key, "date")[0])
     sep = m[2] or m[6]
-    wide = {"y": 4, "m": 2, "d": 2}
+    short = any(len(p) == 1 for p in text.split(sep))
+    wide = {"y": 4, "m": 1 if short else 2, "d": 1 if short else 2}
     return sep.join(str({"y": new.year, "m": new.month, "d": new.day}[p]).zfill(wide[p]) for p in order)
 
 
@@ -186,9 +259,12 @@ def _phone_skip(text: str) -> int:
 
 _MAKE: dict[str, Callable[[str, bytes], str]] = {
     "email": _email,
+    "iban": _iban,
     "ip": _ip,
+    "ipv6": _ipv6,
     "date": _date,
-    "ssn": lambda t, k: _digits(t, k, "ssn"),
+    "ssn": _ssn,
+    "credential": _credential,
     "phone": lambda t, k: _digits(t, k, "phone", _phone_skip(t)),
     "card": lambda t, k: _digits(t, k, "card", luhn=_luhn_holds(t)),
     "secret": _secret,
@@ -214,6 +290,47 @@ def _card_end(text: str, hit: re.Match, check: bool) -> int:
     return -1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _ACCOUNT.finditer(text):
+        begin, length = m.start(), IBAN_LENGTHS.get(text[m.start() : m.start() + 2])
+        if not length or text[begin - 1 : begin].isalnum():
+            continue
+        end, plain = begin, ""
+        while len(plain) < length and end < len(text):
+            c = text[end]
+            if c != " ":
+                if not (c.isascii() and (c.isdigit() or c.isupper())):
+                    break
+                plain += c
+            elif text[end - 1] == " ":
+                break
+            end += 1
+        if len(plain) == length and not text[end : end + 1].isalnum() and _rest_97(plain[:4], plain[4:]) == 1:
+            yield begin, end, "iban"
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """IPv6 addresses around a colon that a second one follows after four digits at most."""
+    at = text.find(":")
+    while at >= 0:
+        end = at + 1
+        if _PAIR.match(text, at):
+            left = _LEFT.search(text[max(0, at - 46) : at])[0]
+            begin, end = at - len(left), _RIGHT.match(text, at, at + 46).end()
+            value = text[begin:end].rstrip(".")
+            value = value[:-1] if value.endswith(":") and not value.endswith("::") else value
+            before, after = text[begin - 1 : begin] if begin else "", text[begin + len(value) : begin + len(value) + 1]
+            groups = [g for g in value.split(":") if g]
+            wide = len(groups) >= 3 or groups and value.startswith(groups[0]) and len(groups[0]) == 4
+            if wide and not (before.isalnum() or before == "_" or after.isalnum() or after == "_") and any(map(str.isdigit, value)):
+                try:
+                    ipaddress.IPv6Address(value)
+                    yield begin, begin + len(value), "ipv6"
+                except ValueError:
+                    pass
+        at = text.find(":", max(at + 1, end))
+
+
 def find(text: str, check: bool = True) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of all findings, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -242,17 +359,23 @@ def find(text: str, check: bool = True) -> list[tuple[int, int, str]]:
     for m in _GIVEN.finditer(text):
         if _KEYWORD.search(text[max(0, m.start() - 14) : m.start()]) and (hit := _SECRET.match(text, m.end())):
             found.append((hit.start(1), hit.end(1), "secret"))
-    if len(found) > 1:
-        kept: list[tuple[int, int, str]] = []
-        for span in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
-            if all(span[1] <= a or span[0] >= b for a, b, _ in _near(kept, span)):
-                kept.append(span)
-        found = sorted(kept)
-    return found
+    found += _ibans(text)
+    found += _addresses(text)
+    if any(begin in text for begin in CREDENTIALS):
+        found += [(m.start(), m.end(), "credential") for m in _CREDENTIAL.finditer(text) if not (text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum())]
+    return _apart(found)
 
 
-def _near(kept: list[tuple[int, int, str]], span: tuple[int, int, str]) -> list[tuple[int, int, str]]:
-    return [k for k in kept if k[0] < span[1] and span[0] < k[1]]
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The longest, then earliest, of findings that overlap."""
+    if len(found) < 2:
+        return found
+    kept: list[tuple[int, int, str]] = []
+    for span in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
+        i = bisect(kept, span)  # those kept are apart: only its neighbours can overlap it
+        if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or kept[i][0] >= span[1]):
+            kept.insert(i, span)
+    return kept
 
 
 def replace(text: str, key: bytes, check: bool = True) -> tuple[str, list[tuple[int, int, str]]]:
@@ -289,6 +412,6 @@ def _run(position: int, key: bytes, check: bool, with_spans: bool):
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", check: bool = True, with_spans: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; with ``pii_spans`` (begin, end, kind in the old text) if asked for."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    spans = ", pii_spans array<struct<begin: int, end: int, kind: string>>" * with_spans
-    return docs.mapInArrow(_run(docs.columns.index(text_col), key, check, with_spans), columns + spans)
+    rows = docs.drop("pii_spans") if with_spans else docs
+    spans = [T.StructField("pii_spans", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])))]
+    return rows.mapInArrow(_run(rows.columns.index(text_col), key, check, with_spans), T.StructType(rows.schema.fields + spans * with_spans))
