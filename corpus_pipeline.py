@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, language_id, mixing, ngram_join, pii
-from strandline.llm.queries import PII_KEY
+from strandline.llm.queries import pii_key
 from strandline.llm.scratch import keep, shuffle_partitions
 
 #: Documents with a lower pooled probability have no language; an even guess among four has 0.25.
@@ -48,7 +48,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates, addresses and keys become pseudonyms; ``n_chars`` follows the text."""
     columns = _columns(docs)
-    done = pii.pseudonymise(docs.select(*columns), PII_KEY)
+    done = pii.pseudonymise(docs.select(*columns), pii_key(spark))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else done
 
 
