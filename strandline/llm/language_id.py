@@ -1,16 +1,17 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained here by backpropagation through time.
 
-Sequences are words (cut after ``SEQUENCE`` bytes); the state starts anew with each. The network labels every byte
-position from a forward and a backward pass, and a document's probabilities are the mean over all its positions. As a
-word's labels depend on its bytes alone, each task runs the network once for each distinct word of a slice of text and
-keeps a bounded cache of earlier ones.
+The network reads a text's bytes forwards and backwards and labels every position; a document's probabilities are the
+mean over all its positions. Texts are read in windows of ``WINDOW`` bytes, whatever words they cut: the forward state
+comes from ``HALO`` bytes before the window and the backward state from ``HALO`` bytes behind it, as far as the text has
+them; so every byte is labelled once, in its context, and windows of many texts run side by side, one byte a step.
 
 Training uses a bounded sample of labelled rows: ``per_lang`` documents a language, chosen by a hash of their id, and
 ``sample_chars`` characters of each from a hashed position. Counts of labels, which set the sampling rates, cover all
 rows. Prediction reads whole texts.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when nothing could be learned; rows
-with a null id are never learned from nor held out; equal texts get equal predictions.
+with a null id are never learned from nor held out; equal texts get equal predictions (scores are rounded to six
+digits); columns of the input named ``lang_pred`` or ``score`` give way to the new ones. Texts must be valid UTF-8.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm.scratch import keep
-from strandline.llm.tokens import span_hashes, utf8, word_spans
+from strandline.llm.tokens import utf8
 
-SEQUENCE = 24
+WINDOW, HALO = 192, 32
+#: Windows that run side by side; fewer are filled up to a multiple of LANES, so that sums do not depend on their number.
+BATCH, LANES = 1024, 64
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 300_000
 BROADCAST_LANGS = 10_000
+#: Bytes of a training sequence.
+SEQUENCE = 96
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -52,103 +57,97 @@ class Model:
         return [*self.inputs, *self.recurrent, self.out, self.bias]
 
 
-def _sequences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes in rows, lengths, word of each row); rows hold at most SEQUENCE bytes, and long words take several."""
-    pieces = -(-(ends - starts) // SEQUENCE)
-    word = np.repeat(np.arange(len(starts)), pieces)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = starts[word] + nth * SEQUENCE
-    length = np.minimum(ends[word] - begin, SEQUENCE)
-    at = begin[:, None] + np.arange(SEQUENCE)
-    return data[np.minimum(at, len(data) - 1)], length, word
-
-
-def _states(model: Model, rows: np.ndarray, length: np.ndarray, way: int, tape: list | None = None) -> np.ndarray:
-    """Hidden state after each byte (steps, rows, hidden); rows come longest first. ``way`` 1 reads backwards."""
-    n, h = len(rows), model.recurrent[way].shape[0]
-    steps = int(length[0]) if n else 0
-    out = np.zeros((steps, n, h), np.float32)
-    state = np.zeros((n, h), np.float32)
-    live = np.searchsorted(-length, -np.arange(steps), side="left")  # rows longer than t
-    for t in range(steps):
-        k = live[t]
-        place = np.arange(k), (length[:k] - 1 - t if way else np.full(k, t))
-        gate = model.inputs[way][rows[place]]
-        hidden = state[:k] @ model.recurrent[way]
-        zr = _sigmoid(gate[:, : 2 * h] + hidden[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        new = np.tanh(gate[:, 2 * h :] + r * hidden[:, 2 * h :])
+def _states(model: Model, codes: np.ndarray, length: np.ndarray, way: int, tape: list | None = None) -> np.ndarray:
+    """Hidden state after each byte (steps, hidden, columns) of ``codes`` (steps, columns); ``way`` 1 reads backwards.
+
+    Columns end after ``length`` bytes; reading backwards, the state is zero until there.
+    """
+    steps, n = codes.shape
+    inputs, recurrent = model.inputs[way].T, model.recurrent[way].T
+    h = len(recurrent) // 3
+    state = np.zeros((h, n), inputs.dtype)
+    out = np.zeros((steps, h, n), inputs.dtype)
+    for t in range(steps - 1, -1, -1) if way else range(steps):
+        gate, hidden = inputs[:, codes[t]], recurrent @ state
+        zr = _sigmoid(gate[: 2 * h] + hidden[: 2 * h])
+        new = np.tanh(gate[2 * h :] + zr[h:] * hidden[2 * h :])
         if tape is not None:
-            tape.append((place, state[:k].copy(), z, r, new, hidden[:, 2 * h :]))
-        state[:k] = new + z * (state[:k] - new)
-        out[place[1], place[0]] = state[:k]
+            tape.append((t, state, zr, new, hidden[2 * h :]))
+        state = new + zr[:h] * (state - new)
+        if way:
+            state *= length > t
+        out[t] = state
     return out
 
 
-def position_probabilities(model: Model, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities (steps, rows, langs), mask (steps, rows)) at every position; rows come longest first."""
-    both = np.concatenate([_states(model, rows, length, 0), _states(model, rows, length, 1)], axis=2)
-    score = both @ model.out + model.bias
-    score = np.exp(score - score.max(axis=2, keepdims=True))
-    score /= score.sum(axis=2, keepdims=True)
-    return score, np.arange(len(both))[:, None] < length[None, :]
+def _softmax(score: np.ndarray, axis: int) -> np.ndarray:
+    score = np.exp(score - score.max(axis=axis, keepdims=True))
+    score /= score.sum(axis=axis, keepdims=True)
+    return score
 
 
-def _gradients(model: Model, rows: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
+def position_probabilities(model: Model, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(steps, langs, columns): probabilities at every position of whole texts, column by column."""
+    both = np.concatenate([_states(model, codes, length, way) for way in (0, 1)], axis=1)
+    return _softmax(model.out.T @ both + model.bias[:, None], 1)
+
+
+def _gradients(model: Model, codes: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy over all positions, and its gradient for each of ``model.weights``, back through time."""
-    h = model.recurrent[0].shape[0]
+    h, (steps, n) = model.recurrent[0].shape[0], codes.shape
     tapes: list[list] = [[], []]
-    both = np.concatenate([_states(model, rows, length, way, tapes[way]) for way in (0, 1)], axis=2)
-    score = both @ model.out + model.bias
-    score = np.exp(score - score.max(axis=2, keepdims=True))
-    score /= score.sum(axis=2, keepdims=True)
-    mask = (np.arange(len(both))[:, None] < length[None, :]).astype(np.float32)
+    both = np.concatenate([_states(model, codes, length, way, tapes[way]) for way in (0, 1)], axis=1)
+    score = _softmax(model.out.T @ both + model.bias[:, None], 1)
+    mask = (np.arange(steps)[:, None] < length[None, :]).astype(both.dtype)
     total = mask.sum()
-    columns = np.arange(len(rows))
-    loss = -float((np.log(score[:, columns, label] + 1e-9) * mask).sum() / total)
-    delta = score * mask[:, :, None]
-    delta[:, columns, label] -= mask
+    columns = np.arange(n)
+    loss = -float((np.log(score[:, label, columns] + 1e-9) * mask).sum() / total)
+    delta = score * mask[:, None, :]
+    delta[:, label, columns] -= mask
     delta /= total
     grad = [np.zeros_like(w) for w in model.weights]
-    grad[4] = np.einsum("tnh,tnc->hc", both, delta, optimize=True)
-    grad[5] = delta.sum(axis=(0, 1))
-    above = delta @ model.out.T
+    grad[4] = np.tensordot(both, delta, axes=([0, 2], [0, 2]))
+    grad[5] = delta.sum(axis=(0, 2))
+    above = model.out @ delta
+    flat = codes.ravel()
     for way in (0, 1):
-        carried = np.zeros((len(rows), h), np.float32)
-        for place, state, z, r, new, hidden in reversed(tapes[way]):
-            k = len(state)
-            d = carried[:k] + above[place[1], place[0], way * h : (way + 1) * h]
+        carried = np.zeros((h, n), both.dtype)
+        gates = np.zeros((3 * h, steps, n), both.dtype)
+        for t, state, zr, new, hidden in reversed(tapes[way]):
+            z, r = zr[:h], zr[h:]
+            d = carried + above[t, way * h : (way + 1) * h]
+            if way:
+                d *= length > t
             d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (state - new) * z * (1 - z)
-            d_r = d_new * hidden * r * (1 - r)
-            d_hidden = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            np.add.at(grad[way], rows[place], np.concatenate([d_z, d_r, d_new], axis=1))
-            grad[2 + way] += state.T @ d_hidden
-            carried[:k] = d * z + d_hidden @ model.recurrent[way].T
+            d_hidden = np.concatenate([d * (state - new) * z * (1 - z), d_new * hidden * r * (1 - r), d_new * r])
+            gates[: 2 * h, t], gates[2 * h :, t] = d_hidden[: 2 * h], d_new
+            grad[2 + way] += state @ d_hidden.T
+            carried = d * z + model.recurrent[way] @ d_hidden
+        for k, row in enumerate(gates.reshape(3 * h, -1)):
+            grad[way][:, k] = np.bincount(flat, row, 256)
     return loss, grad
 
 
-def train(texts: list[str], labels: list[str], hidden: int = 12, steps: int = 240, batch: int = 768, seed: int = 3) -> Model:
-    """Adam over random words of the sample, each language as likely as the others."""
+def train(texts: list[str], labels: list[str], hidden: int = 16, steps: int = 240, batch: int = 256, seed: int = 3) -> Model:
+    """Adam over random stretches of the sample, each language as likely as the others."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     small = lambda *shape: rng.normal(0, 0.25, shape).astype(np.float32)
     model = Model(langs, [small(256, 3 * hidden), small(256, 3 * hidden)], [small(hidden, 3 * hidden), small(hidden, 3 * hidden)], small(2 * hidden, len(langs)), np.zeros(len(langs), np.float32))
     data, offsets = utf8(pa.array(texts, pa.large_string()))
-    starts, ends, first = word_spans(data, offsets)
-    if not len(starts):
-        return Model([], [], [], model.out, model.bias)
-    rows, length, word = _sequences(data, starts, ends)
+    sizes = np.diff(offsets)
     of_text = np.array([langs.index(x) for x in labels])
-    label = np.repeat(of_text, np.diff(first))[word]
-    by_lang = [np.flatnonzero(label == i) for i in range(len(langs))]
-    by_lang = [x for x in by_lang if len(x)]
+    by_lang = [x for x in (np.flatnonzero((of_text == i) & (sizes > 0)) for i in range(len(langs))) if len(x)]
+    if not by_lang:
+        return Model([], [], [], model.out, model.bias)
     m = [np.zeros_like(w) for w in model.weights]
     v = [np.zeros_like(w) for w in model.weights]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(x, batch // len(by_lang) + 1) for x in by_lang])
-        pick = pick[np.argsort(-length[pick], kind="stable")]
-        _, grad = _gradients(model, rows[pick], length[pick], label[pick])
+        begin = offsets[pick] + (rng.random(len(pick)) * np.maximum(sizes[pick] - SEQUENCE + 1, 1)).astype(np.int64)
+        length = np.minimum(offsets[pick + 1] - begin, SEQUENCE)
+        codes = data[np.minimum(begin + np.arange(SEQUENCE)[:, None], len(data) - 1)]
+        _, grad = _gradients(model, codes, length, of_text[pick])
         rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
         for w, g, a, b in zip(model.weights, grad, m, v):
             a += 0.1 * (g - a)
@@ -182,44 +181,72 @@ def fit(docs: DataFrame, per_lang: int = 400, sample_chars: int = 1500) -> Model
     return train([r[1] for r in rows], [r[0] for r in rows])
 
 
-class _Words:
-    """Summed position probabilities of words by hash, for words seen lately."""
+class Reader:
+    """A trained network, laid out to run many windows side by side."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.hashes = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, len(model.langs)), np.float32)
-
-    def look_up(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For distinct ascending ``hashes`` of the given words: the sum of probabilities over each word's bytes."""
-        out = np.empty((len(hashes), len(self.model.langs)), np.float32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        out[known] = self.sums[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            out[new] = self._run(data, starts[new], ends[new])
-            if len(self.hashes) + len(new) > CACHE_WORDS:
-                self.hashes, self.sums = hashes[:CACHE_WORDS], out[:CACHE_WORDS]
-            else:
-                both = np.concatenate([self.hashes, hashes[new]])
-                order = np.argsort(both)
-                self.hashes, self.sums = both[order], np.concatenate([self.sums, out[new]])[order]
-        return out
-
-    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(starts), len(self.model.langs)), np.float32)
-        order = np.argsort(starts - ends, kind="stable")
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
-            # words far longer than a sequence are cut into many rows, a bounded number at a time
-            rows, length, word = _sequences(data, starts[part], ends[part])
-            by_length = np.argsort(-length, kind="stable")
-            for j in range(0, len(by_length), 4096):
-                chosen = by_length[j : j + 4096]
-                p, mask = position_probabilities(self.model, rows[chosen], length[chosen])
-                np.add.at(total, part[word[chosen]], np.einsum("tnc,tn->nc", p, mask.astype(np.float32)))
-        return total
+        self.h = h = model.recurrent[0].shape[0]
+        half = np.ones((3 * h, 1), np.float32)
+        half[: 2 * h] = 0.5  # a sigmoid is a halved tangent of half its argument
+        self.inputs = [np.ascontiguousarray(w.T * half) for w in model.inputs]
+        self.recurrent = [np.ascontiguousarray(w.T * half) for w in model.recurrent]
+        self.out = [np.ascontiguousarray(model.out[way * h : (way + 1) * h].T) for way in (0, 1)]
+        self.bias = model.bias[:, None]
+
+    def _step(self, way: int, codes: np.ndarray, state: np.ndarray) -> None:
+        h = self.h
+        gate, hidden = np.take(self.inputs[way], codes, axis=1), self.recurrent[way] @ state
+        zr, new = gate[: 2 * h], gate[2 * h :]
+        zr += hidden[: 2 * h]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        hidden[2 * h :] *= zr[h:]
+        new += hidden[2 * h :]
+        np.tanh(new, out=new)
+        state -= new
+        state *= zr[:h]
+        state += new
+
+    def windows(self, data: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(windows, langs): summed probabilities over the bytes of each window; ``begins`` and ``ends`` are its text's."""
+        n, h = len(starts), self.h
+        room = -(-n // LANES) * LANES
+        fill = lambda x: np.append(x, np.repeat(x[-1:], room - n))
+        starts, begins, ends = fill(starts), fill(begins), fill(ends)
+        steps = np.arange(-HALO, WINDOW + HALO)
+        codes = data[np.clip(starts + steps[:, None], 0, len(data) - 1)]
+        state = np.zeros((h, room), np.float32)
+        ahead = np.empty((WINDOW, h, room), np.float32)
+        for t in range(-HALO, WINDOW):
+            if t == 0:
+                state[:, starts == begins] = 0  # nothing is before a text's first window
+            self._step(0, codes[t + HALO], state)
+            if t >= 0:
+                ahead[t] = state
+        left = ends - starts
+        short = bool((left < WINDOW + HALO).any())
+        state[:] = 0
+        total = np.zeros((len(self.bias), room), np.float32)
+        for t in range(WINDOW + HALO - 1, -1, -1):
+            self._step(1, codes[t + HALO], state)
+            if short:
+                state *= left > t
+            if t < WINDOW:
+                p = _softmax(self.out[0] @ ahead[t] + self.out[1] @ state + self.bias, 0)
+                total += p * (left > t) if short else p
+        return total[:, :n].T
+
+    def texts(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(texts, langs): mean probabilities over all bytes of each text, none of them empty."""
+        count = -(-(ends - begins) // WINDOW)
+        text = np.repeat(np.arange(len(begins)), count)
+        starts = begins[text] + WINDOW * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+        sums = np.zeros((len(begins), len(self.bias)))
+        for at in range(0, len(text), BATCH):
+            part = text[at : at + BATCH]
+            np.add.at(sums, part, self.windows(data, starts[at : at + BATCH], begins[part], ends[part]))
+        return sums / (ends - begins)[:, None]
 
 
 def _has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -234,7 +261,7 @@ def _has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _label(shared, position: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words = _Words(model)
+        reader = Reader(model) if model.langs else None
         for batch in batches:
             data, offsets = utf8(batch.column(position))
             row = 0
@@ -243,14 +270,10 @@ def _label(shared, position: int):
                 part, at = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
                 known = _has_letters(part, at)
                 best, score = np.zeros(stop - row, int), np.zeros(stop - row)
-                if model.langs and known.any():
-                    s, e, first = word_spans(part, at)
-                    hashes, one, inverse = np.unique(span_hashes(part, s, e), return_index=True, return_inverse=True)
-                    sums = words.look_up(hashes, part, s[one], e[one])[inverse]
-                    full = np.flatnonzero(np.diff(first))
-                    pooled = np.add.reduceat(sums, first[full], axis=0, dtype=np.float64)
-                    pooled /= np.add.reduceat(e - s, first[full])[:, None]
-                    best[full], score[full] = pooled.argmax(axis=1), np.clip(pooled.max(axis=1), 0, 1)
+                if reader and known.any():
+                    full = np.flatnonzero(known)
+                    pooled = reader.texts(part, at[full], at[full + 1])
+                    best[full], score[full] = pooled.argmax(axis=1), np.clip(pooled.max(axis=1), 0, 1).round(6)
                 named = [model.langs[b] if k and model.langs else "und" for k, b in zip(known.tolist(), best.tolist())]
                 score[[x == "und" for x in named]] = 0
                 rows = batch.slice(row, stop - row)
@@ -262,9 +285,10 @@ def _label(shared, position: int):
 
 def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, reading whole texts."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred KB at most: 256 bytes x gates
-    return docs.mapInArrow(_label(shared, docs.columns.index(text_col)), f"{columns}, lang_pred string, score double")
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return docs.mapInArrow(_label(shared, docs.columns.index(text_col)), T.StructType(docs.schema.fields + found))
 
 
 def digest(docs: DataFrame) -> DataFrame:
