@@ -16,7 +16,7 @@ from strandline.llm.queries import pii_key
 from strandline.llm.scratch import keep, shuffle_partitions
 
 #: Documents with a lower pooled probability have no language; an even guess among four has 0.25.
-MIN_SCORE = 0.27
+MIN_SCORE = 0.35
 
 
 def _columns(docs: DataFrame) -> list[str]:
