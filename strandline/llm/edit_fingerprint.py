@@ -17,13 +17,15 @@ compared, and those of likeness 0.8 or more are linked. A class is what links co
 alike fingerprints that share one.
 
 Defined results: a null text is empty and has the fingerprint ``0:``; two empty texts are alike (1), an empty and another
-are not (0); equal texts have equal fingerprints. Rows are ordered by ``doc_id`` (null last), then by their text; so
-repeated ids have a next document too, and the last row's is the first. A single row is its own next document.
+are not (0); equal texts have equal fingerprints. Rows are ordered by ``doc_id`` (null last), then by a hash of their text,
+then by the text; so repeated ids have a next document too, and the last row's is the first. A single row is its own next
+document. Texts must be valid UTF-8.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.ngram_join import components
-from strandline.llm.scratch import keep, release, shuffle_partitions
+from strandline.llm.scratch import forget, keep, shuffle_partitions
 from strandline.llm.tokens import U64, mix
 
 #: Sampled steps of a text, about: half as many to as many (all of a shorter text).
@@ -46,6 +48,7 @@ REACH = 120
 #: Likeness of a link; members of a band whose pairs are all rows; members of a block in larger bands.
 LEAST, CROWDED, BLOCK = 0.8, 32, 256
 _SEED = U64(0x5DEECE66D)
+_MOST = (1 << 63) - 1
 _FEW = 24
 _BATCH_CHARS = 4_000_000
 _END = 16  # code of the place after a text's end, where a walk stays
@@ -231,47 +234,55 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def next_to_each_other(docs: DataFrame) -> DataFrame:
-    """``(part, guard, doc_id, text)`` in order within partitions; a part's guards are the first rows of the part after it.
+    """``(part, guard, doc_id, text)`` in order within partitions; a part's guard is the first row of the part after it.
 
     Cut points come from approximate quantiles of the ids; a few numbers a partition reach the driver, and the texts
-    are shuffled once.
+    are shuffled once. An id that is several quantiles, and a null one, has parts of its own, cut by the hash of the text.
     """
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(found))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    found, nulls, total = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    times = Counter(found or [])
+    hot = {c: n for c, n in times.items() if n > 1}
+    cuts = sorted(set(times) | {c + 1 for c in hot if c < _MOST})
+    widths = [1, *(hot.get(c, 1) for c in cuts), 1 + parts * nulls // max(total, 1)]  # parts of each stretch between cuts; nulls last
     size = 1
     while size <= len(cuts):
         size *= 2
     padded = F.array(*[F.lit(c).cast("long") for c in cuts], *[F.lit(None).cast("long")] * (size - len(cuts)))
     strides = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length() - 1))]) if size > 1 else F.array().cast("array<int>")
     search = F.aggregate(strides, F.lit(0), lambda at, by: F.when(F.get(padded, at + by - 1) <= F.col("doc_id"), at + by).otherwise(at))
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(search)
-    firsts = sorted((r["part"], r["least"]) for r in ids.withColumn("part", part).groupBy("part").agg(F.min("doc_id").alias("least")).collect())
-    if not firsts:
-        return rows.select(F.lit(0).alias("part"), F.lit(False).alias("guard"), "doc_id", "text")
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    known = [least for _, least in firsts if least is not None]
-    first = F.when(F.col("doc_id").isNull(), F.lit(True)).otherwise(F.col("doc_id").isin(known) if known else F.lit(False))
-    previous = F.get(F.array(*[F.lit(before.get(p, 0)) for p in range(len(cuts) + 2)]), F.col("part"))
-    places = F.when(first, F.array(F.struct(F.col("part"), F.lit(False).alias("guard")), F.struct(previous.alias("part"), F.lit(True).alias("guard")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("guard"))))
-    dealt = rows.withColumn("part", part).withColumn("place", F.explode(places)).select("place.part", "place.guard", "doc_id", "text")
-    return dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_last(), "text")
+    stretch = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(search)
+    table = lambda values: F.array(*[F.lit(v) for v in values])
+    begins = [sum(widths[:i]) for i in range(len(widths))]
+    share = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-1 << 63)), 33)  # the upper 31 bits, in the order of the hash
+    inner = F.shiftright(share * F.get(table(widths), F.col("stretch")), 31)
+    placed = rows.withColumn("stretch", stretch).withColumn("part", (F.get(table(begins), F.col("stretch")) + inner).cast("int"))
+    # the first row of each part, of which there may be copies, guards the end of the part before it
+    heads = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("head")).select("part", "head.doc_id", "head.h").collect()
+    heads = sorted(tuple(r) for r in heads)
+    known = table([h for _, _, h in heads]).cast("array<bigint>")
+    before = {p: heads[i - 1][0] for i, (p, _, _) in enumerate(heads)}
+    previous = F.get(table([before.get(p, 0) for p in range(sum(widths))]), F.col("part"))
+    first = placed.filter(F.array_contains(known, F.col("h"))).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "text")).alias("r"))
+    heads_of = {p: h for p, _, h in heads}
+    own = F.get(table([heads_of.get(p, 0) for p in range(sum(widths))]).cast("array<bigint>"), F.col("part"))
+    guards = first.filter(F.col("r.h") == own).select(previous.cast("int").alias("part"), F.lit(True).alias("guard"), "r.doc_id", "r.h", "r.text")
+    dealt = placed.select("part", F.lit(False).alias("guard"), "doc_id", "h", "text").unionByName(guards).repartition(shuffle_partitions(spark), "part")
+    return dealt.sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_last(), "h", "text").select("part", "guard", "doc_id", "text")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Fingerprints and likenesses of each row, the smallest ``doc_id`` of its near-copy class and the class's rows."""
-    spark = docs.sparkSession
     rows = keep(next_to_each_other(docs).mapInArrow(_with_next, _OUT), "edit-rows")
-    release(spark)
     marks = keep(rows.groupBy(F.xxhash64("fingerprint").alias("id")).agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "edit-marks")
-    roots = components(_links(marks.select("id", "fingerprint"), LEAST), "edit-roots")
-    release(spark)
+    links = _links(marks.select("id", "fingerprint"), LEAST)
+    roots = components(links, "edit-roots")
     named = marks.join(roots, F.col("id") == F.col("v"), "left").filter("v is not null or n > 1").select("id", "least", "n", F.coalesce("root", "id").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("near_class"), F.sum("n").alias("near_rows"))
-    shared = named.join(best, "root").select("id", "near_class", "near_rows")
+    shared = keep(named.join(best, "root").select("id", "near_class", "near_rows"), "edit-classes")
+    forget(marks, links, roots)
     done = rows.withColumn("id", F.xxhash64("fingerprint")).join(shared, "id", "left")
     single = F.col("near_rows").isNull()
     return done.select(*rows.columns, F.when(single, F.col("doc_id")).otherwise(F.col("near_class")).alias("near_class"), F.coalesce("near_rows", F.lit(1)).cast("long").alias("near_rows"))
@@ -439,14 +450,16 @@ def _links(marks: DataFrame, least: float) -> DataFrame:
     banded = marks.select("id", "fingerprint").mapInArrow(_bands, "band long, id long")
     dealt = banded.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band", "id")
     meetings = keep(dealt.mapInArrow(_meetings, "band long, a long, b long, crowded boolean"), "edit-bands")
-    release(spark)
     side = lambda name: marks.select(F.col("id").alias(name), F.col("fingerprint").alias(f"{name}_mark"))
     pairs = meetings.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_mark", "b_mark")
     links = keep(pairs.mapInArrow(_alike, "a long, b long, likeness double").filter(F.col("likeness") >= least), "edit-links")
     crowded = meetings.filter("crowded")
-    if not crowded.limit(1).count():
-        return links
-    return links.unionByName(keep(_second_round(crowded, components(links, "edit-roots"), marks, least), "edit-links"))
+    if crowded.limit(1).count():
+        roots = components(links, "edit-roots")
+        old, links = links, keep(links.unionByName(_second_round(crowded, roots, marks, least)), "edit-links")
+        forget(old, roots)
+    forget(meetings)
+    return links
 
 
 def near_links(marks: DataFrame, least: float = LEAST) -> DataFrame:

@@ -12,8 +12,8 @@ throughout, named by the hash of the set, so copies cost nothing after the first
    Verification counts common shingles exactly.
 4. Pairs within a list of classes that share a shingle are not all made. First each class meets a few pivots of the
    list; then, of lists that still hold a few components, the classes outside the list's largest component meet the
-   members of the others, and lists that hold many are compared block by block, as products of incidence matrices. Every
-   pair that could link is either verified or already within one component.
+   members of the others, and lists that hold many are compared block by block, as products of incidence matrices, split by
+   set size, beyond which no two link. Every pair that could link is either verified or already within one component.
 
 A shingle is a 56-bit hash and a class a 64-bit one; they are not compared with text.
 
@@ -24,14 +24,17 @@ own; a group's id is its smallest ``doc_id`` (nulls only if all are null). Extra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.llm.scratch import keep, release, shuffle_partitions
+from strandline.llm.scratch import buckets, forget, keep, shuffle_partitions
 from strandline.llm.substring_dedup import _by_key
 from strandline.llm.tokens import Planes, gram_hashes, mix, span_hashes, utf8, word_spans
 
@@ -204,7 +207,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Classes that can have a partner, with their shared shingles and prefixes."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = buckets(docs, "text")
     blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, 2 * parts), _BLOCK)
     shared = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared(parts), _BLOCK)
     return shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), _CLASSES)
@@ -258,33 +261,36 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, label: str) -> DataFrame:
     """``(v, root)`` for every vertex of ``links`` (a, b): the smallest vertex reachable, by hooking and pointer jumps.
 
-    Every round keeps its tables in the shared folder; only counts reach the driver.
+    Every round keeps its tables in the shared folder and empties those before them; only counts reach the driver.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi != lo").distinct(), label)
     roots = None
     while edges.count():
-        jump = edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "v")
+        jump = keep(edges.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "v"), label)
         while True:
-            jump = keep(jump, label)
             far = jump.select(F.col("v").alias("root"), F.col("root").alias("next"))
             moved = jump.join(far, "root", "left")
             if not moved.filter(F.col("next").isNotNull()).limit(1).count():
                 break
-            jump = moved.select("v", F.coalesce("next", "root").alias("root"))
+            old, jump = jump, keep(moved.select("v", F.coalesce("next", "root").alias("root")), label)
+            forget(old)
         if roots is None:
-            roots = jump
+            merged = None
         else:
             step = jump.toDF("root", "next")
-            old = roots.join(step, "root", "left").select("v", F.coalesce("next", "root").alias("root"))
-            roots = keep(old.unionByName(jump.join(roots, "v", "left_anti")), label)
-        hop = lambda side: edges.join(jump.toDF(side, f"{side}_root"), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")  # noqa: B023, E731
-        edges = hop("hi")
-        edges = hop("lo")
-        edges = keep(edges.filter("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), label)
+            moved = roots.join(step, "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+            merged = keep(moved.unionByName(jump.join(roots, "v", "left_anti")), label)
+        hop = lambda side, edges: edges.join(jump.toDF(side, f"{side}_root"), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")  # noqa: B023, E731
+        moved = hop("lo", hop("hi", edges)).filter("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
+        old, edges = edges, keep(moved, label)
+        forget(old, *([] if merged is None else [roots, jump]))
+        roots = jump if merged is None else merged
     if roots is None:
         return links.sparkSession.createDataFrame([], "v long, root long")
     tops = roots.select(F.col("root").alias("v")).distinct().join(roots, "v", "left_anti").select("v", F.col("v").alias("root"))
-    return keep(roots.unionByName(tops), label)
+    out = keep(roots.unionByName(tops), label)
+    forget(edges, roots)
+    return out
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -330,7 +336,9 @@ def class_roots(classes: DataFrame, percent: int) -> DataFrame:
     unmet = x.withColumnRenamed("class", "x").join(light, "root").filter(apart & _sizes_fit(F.col("n"), F.col("x_n"), percent) & shares[0] & shares[1] & shares[2])
     rest = keep(unmet.select(*_ordered("x", "class")).distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
     late = keep(verified(rest, classes, percent), "ngram-links")
-    return components(links.unionByName(within_blocks).unionByName(late), "ngram-roots")
+    done = components(links.unionByName(within_blocks).unionByName(late), "ngram-roots")
+    forget(pairs, links, roots, owned, mixed, within_blocks, rest, late)
+    return done
 
 
 def _incidence(rows: list[np.ndarray], names: np.ndarray) -> np.ndarray:
@@ -415,31 +423,65 @@ def _clusters(entries: DataFrame) -> DataFrame:
 def _block_links(classes: DataFrame, owned: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Links among the classes of a cluster, without a row a pair.
 
-    A cluster is cut into blocks of about ``PARTNERS`` classes, and every two blocks are compared as matrices by a task of
-    their own.
+    A cluster is split by set size into bands, a factor of ``100 / percent`` each, and a band into blocks of about
+    ``PARTNERS`` classes. Only blocks of one band or of two that adjoin can link; a task of its own compares two blocks
+    as matrices.
     """
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
-    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
-    rows = units.join(owned, "class").join(classes.select("class", "tokens", "first", "second", "third"), "class").select("cluster", "lo", "hi", "block", "class", "n", "root", "tokens", "first", "second", "third")
+    unit = F.lit(math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.lit(1e-9)
+    sized = clusters.join(owned, "class").withColumn("band", F.floor(F.log("n") / unit))
+    order = W.partitionBy("cluster").orderBy("band")  # a few dozen bands a cluster
+    bands = sized.groupBy("cluster", "band").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
+    bands = bands.withColumn("begin", F.sum("blocks").over(order) - F.col("blocks"))
+    below = F.when(F.lag("band").over(order) == F.col("band") - 1, F.lag("blocks").over(order)).otherwise(0)
+    above = F.when(F.lead("band").over(order) == F.col("band") + 1, F.lead("blocks").over(order)).otherwise(0)
+    bands = bands.withColumn("least", F.col("begin") - below).withColumn("most", F.col("begin") + F.col("blocks") + above - 1)
+    placed = sized.join(bands, ["cluster", "band"]).withColumn("block", F.col("begin") + F.pmod(F.xxhash64("class"), F.col("blocks")))
+    units = placed.withColumn("other", F.explode(F.sequence("least", "most"))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "n", "root")
+    rows = units.join(classes.select("class", "tokens", "first", "second", "third"), "class").select("cluster", "lo", "hi", "block", "class", "n", "root", "tokens", "first", "second", "third")
     dealt = rows.repartition(shuffle_partitions(classes.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "class")
     return dealt.mapInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row."""
-    spark = docs.sparkSession
     described = keep(describe(docs, width), "ngram-documents")
     classes = keep(candidates(docs, width, percent), "ngram-classes")
-    release(spark)
     roots = class_roots(classes, percent)
-    release(spark)
     least = described.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(roots, least["class"] == roots["v"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(best, "root").select("class", "component_id")
+    final = keep(named.join(best, "root").select("class", "component_id"), "ngram-final")
+    forget(classes, roots)
     return described.join(final, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _describe_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(t), _class_of(t) if len(t) else 0) for t in _sets(batch.column(2), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["row", "doc_id", "n", "class"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but one row of each group that links form: the one of the smallest ``doc_id`` (null last).
+
+    Rows are told apart by a number of their own and not by their ids: a row goes only if its own text is in a group that
+    another row of the group represents. Of rows that repeat the smallest id the one of the least text hash stays. Rows
+    without words stay. Columns of any name stay.
+    """
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType())])
+    rows = keep(given.mapInArrow(_describe_rows(width), schema).withColumn("rid", F.monotonically_increasing_id()), "ngram-rows")
+    classes = keep(candidates(rows.select(F.col("row.text").cast("string").alias("text")), width, percent), "ngram-classes")
+    roots = class_roots(classes, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row.text"), "rid")).alias("first")
+    least = rows.filter("n > 0").groupBy("class").agg(first).join(roots, F.col("class") == F.col("v"), "left").groupBy(F.coalesce("root", "class")).agg(F.min("first")["rid"].alias("rid"))
+    stay = keep(least.select("rid").unionByName(rows.filter("n = 0").select("rid")), "ngram-final")
+    forget(classes, roots)
+    return rows.join(stay, "rid", "left_semi").select("row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return groups(docs, 4, 85)

@@ -4,7 +4,7 @@ Rows travel as packed blocks, never one row per window:
 
 1. each task hashes its windows, keeps for every hash only the earliest occurrence in a bounded block (the map-side
    pre-aggregation: a window that a third of all documents share is one entry a block) and deals the rest by hash
-   bucket;
+   bucket; there are as many buckets as the counted size of the text asks for (``scratch.BUCKET_BYTES``);
 2. each bucket finds the hashes that occur again and sends the later starts back, dealt by document;
 3. the starts of a document merge into maximal intervals, which join the documents once.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import shuffle_partitions
+from strandline.llm.scratch import buckets
 from strandline.llm.tokens import Planes, gram_hashes, mix, span_hashes, utf8, word_spans
 
 #: Windows that one map-side block holds at most (a single longer document makes a block of its own).
@@ -188,10 +188,9 @@ def removal_intervals(docs: DataFrame, width: int = 20, id_col: str = "doc_id",
 
     A null id comes back as 2**63 - 1. Documents without such windows have no row.
     """
-    parts = shuffle_partitions(docs.sparkSession)
-    buckets = groups = parts
-    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_hash_blocks(width, buckets, groups), _BLOCK)
-    found = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeats(groups), _BLOCK)
+    parts = buckets(docs, text_col)
+    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_hash_blocks(width, parts, parts), _BLOCK)
+    found = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeats(parts), _BLOCK)
     return found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_intervals(width), _SPANS)
 
 

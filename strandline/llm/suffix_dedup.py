@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import shuffle_partitions
+from strandline.llm.scratch import buckets
 from strandline.llm.substring_dedup import _BLOCK, _SPANS, NULL_ID, _block, _by_key, _dealt, _flag_rows, _intervals, _kept, _table, _unblock
 from strandline.llm.tokens import Planes, gram_hashes, mix, span_hashes, utf8, word_spans
 
@@ -265,7 +265,7 @@ def _matches(least: int, parts: int):
 
 def removal_intervals(docs: DataFrame, least: int = 50) -> DataFrame:
     """``(doc_id, begins, ends)``: maximal word intervals covered by repeats of at least ``least`` words."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = buckets(docs, "text")
     dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
     rows = _rows(docs)
     suffixes = rows.select("at", "text").mapInArrow(_suffixes(least, parts), _BLOCK)

@@ -153,3 +153,42 @@ def test_text_of_ten_million_characters():
     moves, codes = np.append(moves, np.uint8(63)), np.append(codes, np.uint8(ef._END))
     sampled = ef._alone(moves, codes, 0, len(text), own + 1, 0, 3 * len(text))
     assert higher.tobytes().decode() == "".join("0123456789abcdef"[c] for c in sampled)
+
+
+def test_order_with_hot_and_null_ids(make):
+    """A third of the rows has no id and another third one id; every row meets the row behind it, and no part holds them all."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(map(str, r.integers(0, 50, 12))) for _ in range(90)] + ["same text"] * 9
+    ids = [None] * 30 + [7] * 30 + list(range(100, 130)) + [None] * 3 + [7] * 3 + [500] * 3
+    placed = ef.next_to_each_other(make(texts, ids, 5)).collect()
+    parts = {}
+    for x in placed:
+        parts.setdefault(x["part"], []).append(x)
+    assert sum(not x["guard"] for x in placed) == len(texts) and sum(x["guard"] for x in placed) == len(parts)
+    assert max(len(p) for p in parts.values()) < 30
+    order = sorted(parts)
+    rows = [x for p in order for x in parts[p] if not x["guard"]]
+    named = [(x["doc_id"] is None, x["doc_id"] or 0) for x in rows]
+    assert named == sorted(named) and sorted(x["text"] for x in rows) == sorted(texts)
+    for p, q in zip(order, order[1:] + order[:1]):
+        guard = [x for x in parts[p] if x["guard"]]
+        assert len(guard) == 1 and guard[0]["text"] == [x for x in parts[q] if not x["guard"]][0]["text"]
+    got = ef.digest(make(texts, ids, 5)).collect()
+    assert len(got) == len(texts)
+    want = sorted(hashlib.sha256(ef.edit(a["text"], b["text"]).encode()).hexdigest() for a, b in zip(rows, rows[1:] + rows[:1]))
+    assert sorted(x["edited_sha256"] for x in got) == want
+
+
+def test_recall_of_links_over_a_whole_table(spark):
+    """All pairs of fingerprints by brute force: those of likeness 0.8 or more that lie in one class."""
+    rows = ef.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    of = {x["fingerprint"]: x["near_class"] for x in rows}
+    marks = sorted(m for m in of if len(m) > 2)
+    share = np.zeros((len(marks), len(marks)))
+    for at in range(0, len(marks), 64):
+        share[at : at + 64] = ef._likenesses(marks[at : at + 64], marks)
+    pairs = [(marks[i], marks[j]) for i, j in zip(*np.nonzero(np.triu(share >= ef.LEAST, 1)))]
+    found = sum(of[a] == of[b] for a, b in pairs)
+    assert len(pairs) > 7 and found >= 0.9 * len(pairs)
+    for x in rows:
+        assert x["near_rows"] == sum(y["near_class"] == x["near_class"] for y in rows)

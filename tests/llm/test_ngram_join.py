@@ -63,3 +63,31 @@ def test_edges(make, prose):
     assert ngram_join.digest(make([]).limit(0)).collect() == []
     rows = ngram_join.digest(make(["a b c d e"] * 3 + [None], [None, None, 4, None])).collect()
     assert sorted(map(str, rows)) == sorted(["Row(doc_id=4, n_shingles=2, component_id=4)"] + ["Row(doc_id=None, n_shingles=2, component_id=4)"] * 2 + ["Row(doc_id=None, n_shingles=0, component_id=None)"])
+
+
+def test_crowded_lists_of_many_set_sizes(make, monkeypatch):
+    """Texts of one common stem and of many lengths: links run between neighbouring size bands."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "CROWDED", 2)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in [*range(20, 300, 3)] * 2:
+        words = base[:n]
+        for _ in range(r.randrange(4)):
+            words[r.randrange(n)] = f"z{r.randrange(20)}"
+        texts.append(" ".join(words))
+    for percent in (85,):
+        assert sorted(map(tuple, ngram_join.groups(make(texts, parts=3), 4, percent).collect())) == brute(list(enumerate(texts)), 4, percent)
+
+
+def test_one_row_of_each_group_stays(make):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    texts = [a, a + " x", b, a, b + " y", b, None, "", "one", "one", a + " z"]
+    ids = [5, 9, 5, None, None, None, 3, 3, 8, 8, 5]
+    left = ngram_join.one_of_each(make(texts, ids)).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in left), key=str)
+    assert len(got) == 5 and [t for i, t in got if i == 3].count(None) == 1 and (8, "one") in got and (5, b) in got
+    assert sum(t in (a, a + " z") and i == 5 for i, t in got) == 1 and left[0]["key"] == "k" and left[0].__fields__[0] == "doc_id"
+    assert ngram_join.one_of_each(make([]).limit(0)).collect() == []
