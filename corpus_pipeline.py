@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, language_id, mixing, ngram_join, pii
@@ -24,7 +23,11 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (``und`` or a score under MIN_SCORE); ``lang`` becomes the predicted one."""
+    """Drops documents without a language (``und`` or a score under MIN_SCORE); ``lang`` becomes the predicted one.
+
+    Null and empty texts, and those without letters, are ``und`` and go; rows with a null id are judged but not learned
+    from; repeated rows are judged alike. An empty table, or one without labels, leaves nothing.
+    """
     columns = _columns(docs)
     docs = docs.select(*columns)
     found = language_id.label(docs, language_id.fit(docs))
@@ -33,20 +36,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest ``doc_id`` stays.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row of the smallest ``doc_id`` stays.
 
-    Rows that repeat a ``doc_id`` are one document here, and one of them stays; rows with a null id all stay.
+    Rows that repeat an id, or have none, are documents of their own; those without words all stay.
     """
-    columns = _columns(docs)
-    docs = docs.select(*columns)
-    groups = keep(ngram_join.groups(docs, 5, 80), "pipeline-groups")
-    gone = groups.filter("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    return left.filter("nth = 1 or doc_id is null").select(*columns)
+    return ngram_join.one_of_each(docs.select(*_columns(docs)), 5, 80)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates, addresses and keys become pseudonyms; ``n_chars`` follows the text."""
+    """Personal numbers, dates, addresses and keys become pseudonyms; ``n_chars`` follows the text. Every row stays; a null text stays null."""
     columns = _columns(docs)
     done = pii.pseudonymise(docs.select(*columns), pii_key(spark))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else done
@@ -67,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their byte ends, and whether decoding them gives the text back."""
+    """Token ids of each document, their byte ends, and whether decoding them gives the text back; one row a row, a null text has no ids."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text")
     done = byte_bpe.encode(rows, path, verify=True, id_col="doc")
