@@ -15,10 +15,6 @@ def _millis(ts: Column) -> Column:
     return F.unix_millis(ts).cast("double")
 
 
-def _part(s: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(s, pattern, group).try_cast("int")
-
-
 def _day(y: Column, m: Column, d: Column) -> Column:
     """Milliseconds of a day; days past the month's end roll over, as day counts do."""
     first = F.make_date(y, m, F.lit(1))
@@ -33,33 +29,43 @@ def normalise_zone(s: Column) -> Column:
 
 
 def time_millis(text: Column) -> Column:
-    """The branches are tried in this order; an ISO-shaped text that fails stays null."""
+    """The branches are tried in this order; an ISO-shaped text that fails stays null.
+
+    The shape of a text (its length, and where its digits stop) chooses the few branches that can fit it, so that each
+    text meets two or three patterns and the free-form layouts only where it has letters.
+    """
     s = F.trim(text)
-    double_dash = r"^(\d{4})-(\d{2})-(\d{2})--(\d{2})-(\d{2})-(\d{2})$"
+    number = lambda begin, n: F.substring(s, begin, n).try_cast("int")
+    clock = [number(13, 2), number(16, 2), number(19, 2)]
     dashed = F.when(
-        (_part(s, double_dash, 4) < 24) & (_part(s, double_dash, 5) < 60) & (_part(s, double_dash, 6) < 60),
-        _day(_part(s, double_dash, 1), _part(s, double_dash, 2), _part(s, double_dash, 3)) + _part(s, double_dash, 4) * 3_600_000 + _part(s, double_dash, 5) * 60_000 + _part(s, double_dash, 6) * 1000,
+        s.rlike(r"^\d{4}-\d{2}-\d{2}--\d{2}-\d{2}-\d{2}$") & (clock[0] < 24) & (clock[1] < 60) & (clock[2] < 60),
+        _day(number(1, 4), number(6, 2), number(9, 2)) + clock[0] * 3_600_000 + clock[1] * 60_000 + clock[2] * 1000,
     )
-    date = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})$"
-    month = r"^(\d{4})[-./](\d{2})$"
-    year = r"^(\d{4})\.(\d+)$"
-    fraction = F.regexp_extract(s, year, 2)
-    begin = _day(_part(s, year, 1), F.lit(1), F.lit(1))
-    length = _day(_part(s, year, 1) + 1, F.lit(1), F.lit(1)) - begin
-    decimal = F.when(
-        s.rlike(year),
-        F.coalesce(F.when(F.length(fraction) <= 2, _day(_part(s, year, 1), fraction.try_cast("int"), F.lit(1))), begin + F.concat(F.lit("0."), fraction).try_cast("double") * length),
+    parts = F.split(s, "[-./]")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    begin = _day(part(0), F.lit(1), F.lit(1))
+    fraction = F.get(parts, F.lit(1))
+    decimal = F.coalesce(
+        F.when(F.length(fraction) <= 2, _day(part(0), part(1), F.lit(1))),
+        begin + F.concat(F.lit("0."), fraction).try_cast("double") * (_day(part(0) + 1, F.lit(1), F.lit(1)) - begin),
     )
-    compact = r"^([1-9]\d{3})(\d{2})(\d{2})$"
     clf = r"(?i)^\[?(\d{1,2}/(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)/\d{4}:\d{2}:\d{2}:\d{2})(?:\s+([+-]\d{4}))?\]?$"
     access = F.when(s.rlike(clf), _millis(F.try_to_timestamp(F.concat(F.initcap(F.regexp_extract(s, clf, 1)), F.lit(" "), F.coalesce(F.nullif(F.regexp_extract(s, clf, 2), F.lit("")), F.lit("+0000"))), F.lit("d/MMM/yyyy:HH:mm:ss Z"))))
     no_weekday = F.regexp_replace(s, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+", "")
     other = F.coalesce(*[_millis(F.try_to_timestamp(no_weekday, F.lit(f))) for f in FALLBACK_FORMATS])
+    digits = F.length(F.ltrim(s, F.lit("-0123456789"))) == 0  # nothing but digits and dashes
+    free = F.when(F.contains(s, F.lit("/Date(")), F.regexp_extract(s, r"^/Date\((-?\d+)\)/$", 1).try_cast("double")).when(F.contains(s, F.lit(":")) & s.rlike(r"^\[?\d{1,2}/"), F.coalesce(access, other)).when(F.length(s) >= 8, other)
     return (
-        F.when(s.rlike(r"^-?\d{10}$"), s.try_cast("double") * 1000)
-        .when(s.rlike(r"^-?\d{13}$"), s.try_cast("double"))
-        .when(s.rlike(_ISO), _millis(normalise_zone(s).try_cast("timestamp")))
-        .otherwise(F.coalesce(dashed, F.regexp_extract(s, r"^/Date\((-?\d+)\)/$", 1).try_cast("double"), _day(_part(s, date, 1), _part(s, date, 2), _part(s, date, 3)), _day(_part(s, month, 1), _part(s, month, 2), F.lit(1)), decimal, _day(_part(s, compact, 1), _part(s, compact, 2), _part(s, compact, 3)), _day(F.when(s.rlike(r"^[1-9]\d{3}$"), s.try_cast("int")), F.lit(1), F.lit(1)), access, other))
+        F.when(digits & s.rlike(r"^-?\d{10}$"), s.try_cast("double") * 1000)
+        .when(digits & s.rlike(r"^-?\d{13}$"), s.try_cast("double"))
+        .when(digits & (F.length(s) == 8) & s.rlike(r"^[1-9]\d{7}$"), _day(number(1, 4), number(5, 2), number(7, 2)))
+        .when(digits & (F.length(s) == 4), F.when(s.rlike(r"^[1-9]\d{3}$"), _day(s.try_cast("int"), F.lit(1), F.lit(1))))
+        .when((F.length(s) >= 19) & s.rlike(_ISO), _millis(normalise_zone(s).try_cast("timestamp")))
+        .when((F.length(s) <= 10) & s.rlike(r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}$"), _day(part(0), part(1), part(2)))
+        .when((F.length(s) == 7) & s.rlike(r"^\d{4}[-./]\d{2}$"), F.coalesce(_day(part(0), part(1), F.lit(1)), F.when(F.substring(s, 5, 1) == ".", decimal)))
+        .when(F.substring(s, 5, 1) == ".", F.when(s.rlike(r"^\d{4}\.\d+$"), decimal))
+        .when(F.length(s) == 20, F.coalesce(dashed, free))
+        .otherwise(free)
     )
 
 

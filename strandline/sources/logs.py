@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.text import priority
 from strandline.functions.timeparse import syslog_year
 
+#: Columns that a format without a schema of its own may open at most; the rest goes to ``_extra``.
 MAX_COLUMNS = 256
+#: Header lines of all files that are sent to every task; more are joined by file.
+BROADCAST_HEADERS = 20_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -105,15 +107,17 @@ def _leaf_paths(kind: T.DataType, path: tuple[str, ...] = (), depth: int = 8) ->
     return [path]
 
 
-def json_lines(lines: DataFrame) -> DataFrame:
-    """JSON lines flattened to dotted columns; the first record sets the columns, other top-level keys go to ``_extra``."""
+def json_lines(lines: DataFrame, most: int = MAX_COLUMNS, depth: int = 8) -> DataFrame:
+    """JSON lines flattened to dotted columns; the first record sets the columns, at most ``most`` of them.
+
+    What lies deeper than ``depth`` stays JSON in its column; top-level keys without a column go to ``_extra``."""
     objects = lines.filter(F.col("value").rlike(r"^\s*\{") & F.json_object_keys("value").isNotNull())
     order = [c for c in ("_file", "_line") if c in lines.columns]
     head = (objects.orderBy(*order) if order else objects).select("value").first()
     if head is None:
         return lines.select(F.lit("").alias("_extra")).limit(0)
     kind = T._parse_datatype_string(lines.sparkSession.range(1).select(F.schema_of_json(F.lit(head["value"]))).first()[0])
-    paths = _leaf_paths(kind)[:MAX_COLUMNS]
+    paths = _leaf_paths(kind, (), depth)[:most]
     cell = lambda p: F.get_json_object("value", "$" + "".join(f"['{k}']" for k in p))
     tops = F.array(*[F.lit(n) for n in dict.fromkeys(p[0] for p in paths)])
     others = F.filter(F.json_object_keys("value"), lambda k: ~F.array_contains(tops, k))
@@ -174,29 +178,58 @@ def logfmt(lines: DataFrame) -> DataFrame:
     return _locked(maps, _first_keys(maps))
 
 
-def w3c(lines: DataFrame) -> DataFrame:
+def _under_header(lines: DataFrame, head: Column) -> DataFrame:
+    """``lines`` with ``_head``: the value of ``head`` on the last line at or before each that has one, in its file.
+
+    Header lines are few: each file's are listed once with their places, and every line looks its own up; no window
+    orders a whole file.
+    """
+    marks = lines.select("_file", "_line", head.alias("_h")).filter("_h is not null")
+    listed = marks.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_line", "_h"))).alias("_marks"))
+    side = F.broadcast(listed) if marks.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS else listed
+    before = F.filter("_marks", lambda m: m["_line"] <= F.col("_line"))
+    return lines.join(side, "_file").withColumn("_head", F.try_element_at(before, F.lit(-1))["_h"]).drop("_marks")
+
+
+def w3c(lines: DataFrame, most: int = MAX_COLUMNS) -> DataFrame:
     """W3C extended logs: ``#Fields:`` lines may change the schema within a file, and carry forward to their rows.
 
-    ``-`` is empty and ``+`` a space; ``date`` and ``time`` together give a first column ``Timestamp``.
+    ``-`` is empty and ``+`` a space; ``date`` and ``time`` together give a first column ``Timestamp``. Columns beyond the
+    first ``most`` go to ``_extra`` as JSON.
     """
     header = F.when(F.col("value").startswith("#Fields:"), F.trim(F.regexp_replace("value", r"^#Fields:\s*", "")))
-    carried = lines.withColumn("_header", F.last(header, ignorenulls=True).over(W.partitionBy("_file").orderBy("_line")))
-    names = [n for r in carried.filter(F.col("value").startswith("#Fields:")).select("_header").distinct().collect() for n in r["_header"].split()]
-    names = list(dict.fromkeys(names))[:MAX_COLUMNS]
-    rows = carried.filter(~F.col("value").startswith("#") & F.col("_header").isNotNull()).withColumn("_names", F.split("_header", r"\s+")).withColumn("_cells", F.split("value", r"\t| +"))
+    names = [n for r in lines.select(header.alias("h")).filter("h is not null").distinct().orderBy("h").collect() for n in r["h"].split()]
+    names = list(dict.fromkeys(names))
+    carried = _under_header(lines, header)
+    rows = carried.filter(~F.col("value").startswith("#") & F.col("_head").isNotNull()).withColumn("_names", F.split("_head", r"\s+")).withColumn("_cells", F.split("value", r"\t| +"))
     cell = lambda n: F.get("_cells", F.array_position("_names", n).cast("int") - 1)
-    shown = {n: F.coalesce(F.replace(_dash(F.when(F.array_contains("_names", n), cell(n))), F.lit("+"), F.lit(" ")), F.lit("")) for n in names}
-    time = [F.when((shown["date"] != "") & (shown["time"] != ""), F.concat(shown["date"], F.lit("T"), shown["time"], F.lit("Z"))).otherwise("").alias("Timestamp")] if {"date", "time"} <= set(names) else []
-    return rows.select(*time, *[c.alias(n) for n, c in shown.items()])
+    shown = {n: F.coalesce(F.replace(_dash(F.when(F.array_contains("_names", n), cell(n))), F.lit("+"), F.lit(" ")), F.lit("")) for n in names[:most]}
+    time = [F.when((shown["date"] != "") & (shown["time"] != ""), F.concat(shown["date"], F.lit("T"), shown["time"], F.lit("Z"))).otherwise("").alias("Timestamp")] if {"date", "time"} <= set(shown) else []
+    known = F.array(*map(F.lit, shown)) if shown else F.array().cast("array<string>")
+    pairs = F.map_from_entries(F.filter(F.arrays_zip(F.col("_names").alias("k"), F.slice("_cells", 1, F.size("_names")).alias("v")), lambda p: ~F.array_contains(known, p["k"]) & p["v"].isNotNull()))
+    extra = [F.when(F.size(pairs) > 0, F.to_json(pairs)).otherwise("").alias("_extra")] if len(names) > most else []
+    return rows.select(*time, *[c.alias(n) for n, c in shown.items()], *extra)
 
 
 def zeek(lines: DataFrame) -> DataFrame:
-    """Zeek TSV: columns of ``#fields``, unset and empty marks as empty text."""
-    heads = {r["k"]: r["v"] for r in lines.filter(F.col("value").rlike(r"^#(fields|path|unset_field|empty_field)\s")).select(F.regexp_extract("value", r"^#(\w+)", 1).alias("k"), F.regexp_extract("value", r"^#\w+\s+(.*)$", 1).alias("v")).distinct().collect()}
-    blank = [heads.get("unset_field", "-"), heads.get("empty_field", "(empty)")]
-    cells = F.split("value", "\t")
-    names = heads.get("fields", "").split("\t")
-    return lines.filter(~F.col("value").startswith("#")).select(*[F.when(F.get(cells, F.lit(i)).isin(*blank), "").otherwise(F.coalesce(F.get(cells, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)])
+    """Zeek TSV: columns of the ``#fields`` line above each row in its own file, unset and empty marks as empty text.
+
+    A folder of several logs has all their columns, empty where a log lacks one, and a first column ``_path`` with the
+    log's name.
+    """
+    word = F.regexp_extract("value", r"^#(fields|path|unset_field|empty_field)\t", 1)
+    rest = F.regexp_extract("value", r"^#\w+\t(.*)$", 1)
+    marked = lines.withColumn("_k", word)
+    heads = marked.filter("_k != ''").select("_k", rest.alias("_v")).distinct().orderBy("_k", "_v").collect()
+    names = list(dict.fromkeys(n for r in heads if r["_k"] == "fields" for n in r["_v"].split("\t")))
+    several = len({r["_v"] for r in heads if r["_k"] == "path"}) > 1
+    # of each file its marks and path; of each row the fields above it
+    files = marked.filter("_k != ''").groupBy("_file").agg(*[F.coalesce(F.max(F.when(F.col("_k") == k, rest)), F.lit(d)).alias(n) for k, n, d in (("unset_field", "_unset", "-"), ("empty_field", "_empty", "(empty)"), ("path", "_path", ""))])
+    rows = _under_header(lines, F.when(lines["value"].startswith("#fields\t"), F.regexp_extract("value", r"^#fields\t(.*)$", 1))).filter(~F.col("value").startswith("#") & F.col("_head").isNotNull()).join(files, "_file")
+    rows = rows.withColumn("_names", F.split("_head", "\t")).withColumn("_cells", F.split("value", "\t"))
+    cell = lambda n: F.when(F.array_contains("_names", n), F.get("_cells", F.array_position("_names", n).cast("int") - 1))
+    shown = [F.coalesce(F.when((cell(n) != F.col("_unset")) & (cell(n) != F.col("_empty")), cell(n)), F.lit("")).alias(n) for n in names]
+    return rows.select(*(["_path"] if several else []), *shown)
 
 
 FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {"access": access_log, "syslog3164": syslog_3164, "syslog5424": syslog_5424, "apache_error": apache_error, "jsonl": json_lines, "cloudtrail": cloudtrail, "cef": cef, "leef": leef, "logfmt": logfmt, "w3c": w3c, "zeek": zeek, "timed": timed_log}

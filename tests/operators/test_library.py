@@ -156,3 +156,54 @@ def test_no_cap_on_candidates_and_payloads(spark):
     assert decode.candidates(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").count() == 300
     packed = gzip.compress(b"ab" * 3_000_000)
     assert spark.createDataFrame([(bytearray(packed),)], "b binary").select(F.length(decode.inflate("b"))).first()[0] == 6_000_000
+
+
+def test_asof_joins_of_one_hot_key_make_no_pairs(spark):
+    """200 000 rows of one key inside one bin, with ties; and random rows against brute force."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    hot = spark.range(n).select(F.lit("u").alias("k"), (F.col("id") * 7 % 5000).cast("double").alias("t"), "id", F.lit("").alias("a"))
+    began = time.time()
+    got = joins.forward_asof(hot, hot, ["k"], "t", 86_400_000.0, ["id"])
+    assert got.count() == n - n // 5000 and got.filter("matched_time <> t + 1").count() == 0
+    assert joins.failed_then_successful(hot, hot, "k", "a", "t").count() == 4999
+    assert joins.beacons(hot, ["k"], "t", least=1, mean_over=0, variation_under=1e9).first()["hits"] == n
+    assert time.time() - began < 60
+
+    r = random.Random(3)
+    draw = lambda m: [(r.choice("xyz"), float(r.randrange(400)), i, r.choice(["", "p", "q"])) for i in range(m)]
+    left, right = draw(300), draw(300)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, t double, id long, a string").repartition(3)
+    got = sorted((x["k"], x["t"], x["id"], x["matched_time"], x["matched_id"]) for x in joins.forward_asof(frame(left), frame(right), ["k"], "t", 30, ["id"]).collect())
+    want = []
+    for k, t, i, _ in left:
+        near = [(s, j) for q, s, j, _ in right if q == k and t < s <= t + 30]
+        if near:
+            want.append((k, t, i, *min(near)))
+    assert got == sorted(want) and len(want) > 100
+    first = {}
+    for k, t, _, a in left:
+        near = [s for q, s, _, b in right if q == k and t < s <= t + 30 and (a == b or not a or not b)]
+        if near:
+            first[k, min(near)] = min(t, first.get((k, min(near)), t))
+    got = {(x["user"], x["succeeded_at"]): x["failed_at"] for x in joins.failed_then_successful(frame(left), frame(right), "k", "a", "t", 30).collect()}
+    assert got == first
+
+
+def test_beacons_against_brute_force(spark):
+    import random
+    import statistics
+
+    r = random.Random(4)
+    rows = [(k, float(t)) for k in "abcd" for t in [r.randrange(40_000_000) for _ in range(60)]] + [("e", 10_000.0 * i) for i in range(900)] + [("f", 1.0)]
+    got = {x["k"]: x for x in joins.beacons(spark.createDataFrame(rows, "k string, t double").repartition(4), ["k"], "t", least=2, mean_over=-1, variation_under=1e9).collect()}
+    for k in "abcde":
+        times = sorted(t for q, t in rows if q == k)
+        gaps = [b - a for a, b in zip(times, times[1:])]
+        assert got[k]["hits"] == len(times) and abs(got[k]["mean_gap"] - statistics.mean(gaps)) < 1e-6
+        assert abs(got[k]["variation"] - statistics.pstdev(gaps) / statistics.mean(gaps)) < 1e-7
+    assert "f" not in got

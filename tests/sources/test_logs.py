@@ -80,6 +80,27 @@ def test_zeek(lines):
     assert [tuple(r) for r in df.collect()] == [("1.5", "1.2.3.4", ""), ("2.5", "", "x")]
 
 
+def test_zeek_folder_of_two_logs(spark, tmp_path):
+    (tmp_path / "conn.log").write_text("#separator \\x09\n#unset_field\t-\n#path\tconn\n#fields\tts\tid.orig_h\n1.5\t1.2.3.4\n2.5\t-\n")
+    (tmp_path / "dns.log").write_text("#separator \\x09\n#unset_field\t?\n#path\tdns\n#fields\tts\tquery\n3.5\ta.b\n4.5\t?\n5.5\t-\n#fields\tquery\tts\nc.d\t6.5\n")
+    df = logs.zeek(logs.read_lines(spark, str(tmp_path)))
+    assert df.columns == ["_path", "query", "ts", "id.orig_h"]  # of the distinct headers, in text order
+    assert sorted((r["_path"], r["ts"], r["id.orig_h"], r["query"]) for r in df.collect()) == [("conn", "1.5", "1.2.3.4", ""), ("conn", "2.5", "", ""), ("dns", "3.5", "", "a.b"), ("dns", "4.5", "", ""), ("dns", "5.5", "", "-"), ("dns", "6.5", "", "c.d")]
+
+
+def test_w3c_columns_beyond_the_most(lines):
+    df = logs.w3c(lines("#Fields: a b c d", "1 2 3 4", "5 6"), most=2)
+    assert [tuple(r) for r in df.collect()] == [("1", "2", '{"c":"3","d":"4"}'), ("5", "6", "")]
+
+
+def test_headers_of_many_files_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "BROADCAST_HEADERS", 1)
+    for i in range(4):
+        (tmp_path / f"{i}.log").write_text(f"#Fields: a b{i}\n{i} x\n#Fields: b{i} a\ny {i}\n")
+    got = logs.w3c(logs.read_lines(spark, str(tmp_path)))
+    assert sorted((r["a"], *(r[f"b{i}"] for i in range(4))) for r in got.collect()) == sorted((str(i), *(v if k == i else "" for k in range(4))) for i in range(4) for v in "xy")
+
+
 def test_timed(lines):
     df = logs.timed_log(lines('2024-01-02 03:04:05,123 INFO "two words" x', "2024-01-02--03-04-05 y", "no time"))
     assert rows(df, "time", "field_2", "field_3", "field_4") == [("2024-01-02 03:04:05,123", "INFO", "two words", "x"), ("2024-01-02--03-04-05", "y", "", "")]
