@@ -22,7 +22,7 @@ MAX_COLUMNS = 256
 BROADCAST_HEADERS = 20_000
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(value, _file, _time, _line)`` of each line; ``_line`` only orders lines of a file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_line"))
     return lines.withColumn("value", F.regexp_replace("value", "^﻿|\r$", "")).filter(F.trim("value") != "")
@@ -238,7 +238,7 @@ FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {"access": access_log, "s
 PROBES = (
     ("w3c", r"^#(?:Fields|Software|Version):"), ("zeek", r"^#(?:separator|fields|path)\s"), ("cef", r"CEF:\s*\d+\|"), ("leef", r"LEEF:\s*[12]"), ("syslog5424", r"^<\d{1,3}>1 \S+ "),
     ("syslog3164", r"^(?:<\d{1,3}>)?[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2} \S+ "), ("apache_error", r"^\[[A-Z][a-z]{2} [A-Z][a-z]{2} +\d"), ("access", r'^\S+ \S+ \S+ \[\d{1,2}/[A-Z][a-z]{2}/\d{4}:'),
-    ("cloudtrail", r'^\s*\{.*"(?:Records|eventSource)"\s*:'), ("jsonl", r"^\s*\{.*\}\s*$"), ("logfmt", r'^(?:[\w.-]+=(?:"[^"]*"|\S*)\s*){2,}$'), ("timed", r"^\[?\d{4}-\d{2}-\d{2}(?:[ T]|--)\d{2}[:-]\d{2}"),
+    ("cloudtrail", r'^\s*\{.*"(?:Records|eventSource)"\s*:'), ("jsonl", r"^\s*\{.*\}\s*$"), ("logfmt", r'^(?:[\w.-]+=(?:"(?:\\.|[^"\\])*"|[^\s"]*)(?:\s+|$)){2,}$'), ("timed", r"^\[?\d{4}-\d{2}-\d{2}(?:[ T]|--)\d{2}[:-]\d{2}"),
 )
 
 

@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.coerce import text_of
+from strandline.functions.text import csv_cell
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """RFC 4180: a header, CRLF, doubled quotes; many files of one folder, written in parallel."""
-    texts = df.select(*[text_of(df, c).alias(c) for c in df.columns])
-    texts.write.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
+    """RFC 4180: a header, CRLF between rows, quotes doubled; many files of one folder, written in parallel.
+
+    Spark's own writer takes one character as the row's end, so the cells are put in a line here; a file's header comes
+    from its task.
+    """
+    cells = [F.coalesce(csv_cell(text_of(df, c)), F.lit("")) for c in df.columns]
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head + "\r"])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines = df.select(F.concat(F.concat_ws(",", *cells), F.lit("\r")).alias("value"))
+    lines.mapInArrow(headed, "value string").write.text(path)
+
+
+RANKS = ("info", "low", "medium", "high", "critical")
 
 
 def indicator_list(iocs: DataFrame) -> DataFrame:
-    """What an analyst exports: no mere patterns, one row a type and value."""
-    return iocs.filter(~F.col("type").isin("Pattern", "Info", "YARA")).select("type", "value", "severity").dropDuplicates(["type", "value"])
+    """What an analyst exports: no mere patterns, one row a type and value (case ignored, its least spelling), worst severity."""
+    rank = F.array_position(F.array(*map(F.lit, RANKS)), F.col("severity"))
+    rows = iocs.filter(~F.col("type").isin("Pattern", "Info", "YARA")).groupBy("type", F.lower("value").alias("_v")).agg(F.min("value").alias("value"), F.max(rank).alias("_r"))
+    return rows.select("type", "value", F.try_element_at(F.array(*map(F.lit, RANKS)), F.nullif(F.col("_r"), F.lit(0)).cast("int")).alias("severity"))
 
 
 #: Pattern templates and attribute types of the exchange formats, by indicator type.
@@ -53,8 +74,27 @@ def misp_attributes(iocs: DataFrame) -> DataFrame:
 
 
 def write_bundle(objects: DataFrame, column: str, path: str, kind: str = "bundle") -> None:
-    """JSON lines of the objects; a bundle of any size never passes through one task."""
-    objects.select(F.col(column).alias("value")).write.text(path)
+    """A STIX ``bundle`` or a MISP ``event`` as one JSON document over the files of a folder, in the order of their names.
+
+    The first file opens the document and the last closes it; all between are objects with a comma before each, so a
+    bundle of any size never passes through one task. ``read_bundle`` reads it back; joined, the files are valid JSON.
+    """
+    spark = objects.sparkSession
+    ident = F.sha1(F.lit(path))
+    uuid = F.concat_ws("-", F.substring(ident, 1, 8), F.substring(ident, 9, 4), F.concat(F.lit("5"), F.substring(ident, 14, 3)), F.concat(F.lit("8"), F.substring(ident, 18, 3)), F.substring(ident, 21, 12))
+    opened = F.concat(F.lit('{"type":"bundle","id":"bundle--'), uuid, F.lit('","objects":[')) if kind == "bundle" else F.concat(F.lit('{"Event":{"uuid":"'), uuid, F.lit('","info":"indicators","Attribute":['))
+    first = objects.select(F.min(column).alias("least")).select(F.concat(opened, F.lit("\n"), F.coalesce("least", F.lit(""))).alias("value"))
+    least = objects.select(F.min(column).alias("_least"))
+    rest = objects.join(F.broadcast(least), F.col(column) > F.col("_least")).select(F.concat(F.lit(","), F.col(column)).alias("value"))
+    first.coalesce(1).write.text(f"{path}/0-begin")
+    rest.write.text(f"{path}/1-objects")
+    spark.range(1).select(F.lit("]}" if kind == "bundle" else "]}}").alias("value")).coalesce(1).write.text(f"{path}/2-end")
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the objects of a document that ``write_bundle`` made, one a row."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_replace("value", "^,", "").alias("value"))
+    return lines.filter(F.col("value").startswith("{") & ~F.col("value").endswith("[") & ~F.col("value").rlike(r"^\]"))
 
 
 def summary(sections: list[tuple[str, DataFrame]], budget: int = 64 << 10) -> str:

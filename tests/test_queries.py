@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from strandline import queries as library
+from strandline import queries, source_queries
+
+QUERIES, SQL = queries.QUERIES | source_queries.QUERIES, queries.SQL | source_queries.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,12 +26,12 @@ def values(rows, columns):
     return sorted(tuple(str(cell(r[i])) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", library.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, sf_dir, base, name):
-    df = library.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
-    if name in library.SQL:
-        answer = base.execute(library.SQL[name])
+    if name in SQL:
+        answer = base.execute(SQL[name])
         columns = [c[0] for c in answer.description]
         assert sorted(df.columns) == sorted(columns)
         assert values(rows, df.columns) == values(answer.fetchall(), columns)
