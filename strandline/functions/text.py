@@ -62,26 +62,39 @@ def url_query(url: Column) -> Column:
 
 def safe_link(url: Column) -> Column:
     """The target of a mail gateway's rewritten link (Microsoft, Proofpoint v1-v3); the URL itself otherwise."""
-    microsoft = F.try_url_decode(F.regexp_extract(url, r"(?i)^https?://[^/]*safelinks\.protection\.outlook\.com/.*?[?&]url=([^&#]+)", 1))
-    v1 = F.try_url_decode(F.regexp_extract(url, r"(?i)^https?://urldefense\.proofpoint\.com/v1/url\?(?:.*&)?u=([^&#]+)", 1))
-    coded = F.regexp_extract(url, r"(?i)^https?://urldefense\.proofpoint\.com/v2/url\?(?:.*&)?u=([^&#]+)", 1)
-    v2 = F.try_url_decode(F.translate(coded, "-_", "%/"))
-    v3 = F.regexp_extract(url, r"(?i)^https?://urldefense\.com/v3/__(.+?)__;", 1)
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (microsoft, v1, v2, v3)], url)
+    decode = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    microsoft = decode(F.regexp_extract(url, r"(?i)^https?://[a-z0-9]+\.safelinks\.protection\.outlook\.com/?\?(?:[^#]*&)?url=([^&#]+)", 1))
+    coded = F.regexp_extract(url, r"(?i)^https?://urldefense\.proofpoint\.com/v[12]/url\?(?:[^#]*&)?u=([^&#]+)", 1)
+    older = decode(F.translate(coded, "-_", "%/"))
+    starred = F.regexp_extract(url, r"(?i)^https?://urldefense\.com/v3/__(.+?)__;", 1)
+    newer = decode(F.regexp_replace(F.replace(starred, F.lit("%"), F.lit("%25")), r"\*([0-9A-Fa-f]{2})", "%$1"))
+    hit = F.coalesce(*[F.nullif(x, F.lit("")) for x in (microsoft, older, newer)], url)
+    return F.when(url.rlike(r"(?i)^https?://(?:urldefense\.|[a-z0-9]+\.safelinks\.)"), hit).otherwise(url)
 
 
 def numeric_host(host: Column) -> Column:
-    """Hosts written as one decimal, hex or octal number as dotted quads; others unchanged."""
-    h = F.lower(host)
-    n = F.when(h.rlike(r"^0x[0-9a-f]{1,8}$"), F.conv(F.substring(h, 3, 8), 16, 10)).when(h.rlike(r"^0[0-7]{1,11}$"), F.conv(h, 8, 10)).when(h.rlike(r"^[1-9]\d{0,9}$"), h).try_cast("long")
-    quad = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
-    return F.when(n.between(0, 4294967295), quad).otherwise(host)
+    """Hosts of one to four decimal, hex or octal numbers as dotted quads, the last number filling the rest; others unchanged."""
+    parts = F.split(F.lower(host), r"\.")
+    number = lambda p: F.when(p.startswith("0x"), F.conv(F.substring(p, 3, 8), 16, 10)).when(p.rlike("^0[0-7]"), F.conv(p, 8, 10)).otherwise(p).try_cast("long")
+    values = F.transform(parts, number)
+    n = F.size(parts)
+    last = F.element_at(values, -1)
+    head = F.slice(values, 1, F.greatest(n - 1, F.lit(0)))
+    front = F.aggregate(head, F.lit(0).cast("long"), lambda a, v: a * 256 + v)
+    room = F.element_at(F.array(*[F.lit(1 << 8 * k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+    whole = front * room + last
+    fits = (n <= 4) & F.forall(head, lambda v: v.between(0, 255)) & last.between(0, room - 1)
+    quad = F.concat_ws(".", *[F.shiftright(whole, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    shaped = host.rlike(r"(?i)^(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9]\d{0,9})(?:\.(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9]\d{0,9})){0,3}$")
+    return F.when(shaped, F.coalesce(F.when(fits, quad), host)).otherwise(host)
 
 
 def decoded_escapes(c: Column) -> Column:
-    r"""Percent triplets, and ``\\xNN`` and ``\\uNNNN`` of ASCII, decoded where that is possible."""
-    text = F.regexp_replace(c, r"\\(?:x|u00)([0-7][0-9a-fA-F])", "%$1")
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), c)
+    r"""Percent triplets, and ``\\xNN``, ``\\uNNNN`` and ``\\u{NN}`` of ASCII, decoded; a malformed triplet stays as it is."""
+    marked = F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\(?:x|u00|u\{0*)([0-7][0-9a-fA-F])(?:(?<=u\{0{0,6}..)\})?", "%$1")).otherwise(c)
+    text = F.replace(marked, F.lit("+"), F.lit("%2B"))
+    alone = F.try_url_decode(F.regexp_replace(text, r"%(?![0-7][0-9A-Fa-f])", "%25"))
+    return F.when(F.contains(marked, F.lit("%")), F.coalesce(F.try_url_decode(text), alone, c)).otherwise(marked)
 
 
 def normal_url(url: Column) -> Column:

@@ -347,15 +347,15 @@ def url_parts(spark, d):
 
 @named(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{tx.EMAIL}'))) AS value FROM documents")
 def indicator_emails(spark, d):
-    family = [f for f in indicators.FAMILIES if f[0] == "Email"]
-    return indicators.indicators(table(spark, d, "documents"), "doc_id", "text", tuple(family)).select("doc_id", "value")
+    family = (indicators.Family("Email", tx.EMAIL, "info", "@"),)
+    return indicators.indicators(table(spark, d, "documents"), "doc_id", "text", family).select("doc_id", "value")
 
 
 @named(f"""WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{tx.IPV4}'))) AS value FROM documents),
 o AS (SELECT *, split_part(value, '.', 1)::INT AS a, split_part(value, '.', 2)::INT AS b FROM v)
 SELECT value, count(*) AS hits FROM o WHERE NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)) GROUP BY 1""")
 def indicator_addresses(spark, d):
-    family = (("IP", tx.IPV4, "low"),)
+    family = (indicators.Family("IP", tx.IPV4, "info", r"~\d\.\d"),)
     found = indicators.indicators(table(spark, d, "documents"), "doc_id", "text", family)
     return indicators.roll_up(found).select("value", "hits")
 
