@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import byte_bpe, language_id, mixing, ngram_join, pii
 from strandline.llm.queries import pii_key
-from strandline.llm.scratch import keep, shuffle_partitions
+from strandline.llm.scratch import keep
 
 #: Documents with a lower pooled probability have no language; an even guess among four has 0.25.
 MIN_SCORE = 0.35
@@ -51,17 +51,16 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies of documents of which the schedule takes half the words or more, in the order of their first slots.
+    """The copies of documents of which the schedule takes half the words or more; each file is in the order of their slots.
 
-    The mix takes a document 0, 1 or 2 times. Rows without words are never taken; rows that repeat an id are documents
+    Documents are dealt by hash, so every file is an even sample of the schedule. The mix takes a document 0, 1 or 2 times. Rows without words are never taken; rows that repeat an id are documents
     of their own.
     """
     columns = _columns(docs)
     plan = mixing.mix(docs.select(*columns), carry=tuple(c for c in columns if c not in ("doc_id", "source")))
     sizes = plan.documents.select("rid", "size")
     copies = keep(mixing.scheduled(plan).join(sizes, "rid").filter("2 * taken >= size").select("rid", "first_slot"), "pipeline-slots")
-    texts = plan.documents.join(copies, "rid")
-    return texts.repartitionByRange(shuffle_partitions(spark), "first_slot").sortWithinPartitions("first_slot", "rid").select(*columns)
+    return plan.documents.join(copies.hint("shuffle_merge"), "rid").sortWithinPartitions("first_slot", "rid").select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

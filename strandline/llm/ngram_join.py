@@ -42,6 +42,8 @@ BLOCK_TOKENS = 750_000
 PIVOTS = 4
 #: Partners that are compared with one copy of a class's shingles.
 PARTNERS = 256
+#: Rows that go which are sent to every task.
+BROADCAST_ROWS = 2_000_000
 #: Components in a list beyond which its classes are compared in blocks.
 CROWDED = 32
 _SALTS = (0x51ED2701, 0x2545F491)
@@ -478,9 +480,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     roots = class_roots(classes, percent)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row.text"), "rid")).alias("first")
     least = rows.filter("n > 0").groupBy("class").agg(first).join(roots, F.col("class") == F.col("v"), "left").groupBy(F.coalesce("root", "class")).agg(F.min("first")["rid"].alias("rid"))
-    stay = keep(least.select("rid").unionByName(rows.filter("n = 0").select("rid")), "ngram-final")
+    gone = keep(rows.filter("n > 0").select("rid").join(least.select("rid"), "rid", "left_anti"), "ngram-gone")
     forget(classes, roots)
-    return rows.join(stay, "rid", "left_semi").select("row.*")
+    # numbers of eight bytes; beyond the bound both sides are shuffled
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(side, "rid", "left_anti").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ def test_crowded_lists_of_many_set_sizes(make, monkeypatch):
         assert sorted(map(tuple, ngram_join.groups(make(texts, parts=3), 4, percent).collect())) == brute(list(enumerate(texts)), 4, percent)
 
 
-def test_one_row_of_each_group_stays(make):
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_one_row_of_each_group_stays(make, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", bound)
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     texts = [a, a + " x", b, a, b + " y", b, None, "", "one", "one", a + " z"]
     ids = [5, 9, 5, None, None, None, 3, 3, 8, 8, 5]

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import tiktoken
 
 import corpus_pipeline as cp
@@ -39,7 +40,7 @@ def test_stages_against_brute_force(spark, documents, tmp_path):
         assert r.text == pii.replace(text, pii_key(spark))[0] and r.n_chars == len(r.text)
     assert any(r.text != before[r.doc_id].text for r in rows["pii"])
 
-    # mixing: each copy has half its words or more in blocks of the schedule; rows come in the order of their slots
+    # mixing: each copy has half its words or more in blocks of the schedule; rows of a file come in the order of their slots
     plan = mixing.mix(spark.read.parquet(str(tmp_path / "pii")))
     pieces = {}
     for p in plan.pieces.collect():
@@ -51,6 +52,13 @@ def test_stages_against_brute_force(spark, documents, tmp_path):
             first.setdefault((p["rid"], p["epoch"]), slot["slot"])
     ids = {r["rid"]: (r["doc_id"], r["size"]) for r in plan.documents.collect()}
     copies = Counter(ids[rid][0] for (rid, _), n in taken.items() if 2 * n >= ids[rid][1])
+    slots = {}
+    for (rid, _), slot in first.items():
+        slots.setdefault(ids[rid][0], []).append(slot)
+    for part in (tmp_path / "source_mixing").glob("part-*.parquet"):
+        before = -1
+        for i in pq.read_table(part)["doc_id"].to_pylist():
+            before = min(s for s in slots[i] if s > before)
     assert Counter(r.doc_id for r in rows["source_mixing"]) == copies and max(copies.values()) == 2
 
     # token ids: as the library has them
