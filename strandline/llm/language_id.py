@@ -31,7 +31,7 @@ from strandline.llm.tokens import utf8
 
 WINDOW, HALO = 192, 32
 #: Windows that run side by side; fewer are filled up to a multiple of LANES, so that sums do not depend on their number.
-BATCH, LANES = 1024, 64
+BATCH, LANES = 2048, 64
 SLICE_BYTES = 2 << 20
 BROADCAST_LANGS = 10_000
 #: Bytes of a training sequence.
@@ -40,8 +40,13 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _squash(x: np.ndarray) -> np.ndarray:
+    """From -1 to 1, of slope ``(1 - |y|)**2`` at its value y; needs no exponential."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (_squash(0.5 * x) + 1)
 
 
 @dataclass
@@ -69,8 +74,8 @@ def _states(model: Model, codes: np.ndarray, length: np.ndarray, way: int, tape:
     out = np.zeros((steps, h, n), inputs.dtype)
     for t in range(steps - 1, -1, -1) if way else range(steps):
         gate, hidden = inputs[:, codes[t]], recurrent @ state
-        zr = _sigmoid(gate[: 2 * h] + hidden[: 2 * h])
-        new = np.tanh(gate[2 * h :] + zr[h:] * hidden[2 * h :])
+        zr = _gate(gate[: 2 * h] + hidden[: 2 * h])
+        new = _squash(gate[2 * h :] + zr[h:] * hidden[2 * h :])
         if tape is not None:
             tape.append((t, state, zr, new, hidden[2 * h :]))
         state = new + zr[:h] * (state - new)
@@ -118,8 +123,9 @@ def _gradients(model: Model, codes: np.ndarray, length: np.ndarray, label: np.nd
             d = carried + above[t, way * h : (way + 1) * h]
             if way:
                 d *= length > t
-            d_new = d * (1 - z) * (1 - new * new)
-            d_hidden = np.concatenate([d * (state - new) * z * (1 - z), d_new * hidden * r * (1 - r), d_new * r])
+            d_new = d * (1 - z) * (1 - np.abs(new)) ** 2
+            slope = (0.5 - np.abs(zr - 0.5)) ** 2
+            d_hidden = np.concatenate([d * (state - new) * slope[:h], d_new * hidden * slope[h:], d_new * r])
             gates[: 2 * h, t], gates[2 * h :, t] = d_hidden[: 2 * h], d_new
             grad[2 + way] += state @ d_hidden.T
             carried = d * z + model.recurrent[way] @ d_hidden
@@ -187,25 +193,31 @@ class Reader:
     def __init__(self, model: Model):
         self.h = h = model.recurrent[0].shape[0]
         half = np.ones((3 * h, 1), np.float32)
-        half[: 2 * h] = 0.5  # a sigmoid is a halved tangent of half its argument
+        half[: 2 * h] = 0.5  # a gate squashes half its argument
         self.inputs = [np.ascontiguousarray(w.T * half) for w in model.inputs]
-        self.recurrent = [np.ascontiguousarray(w.T * half) for w in model.recurrent]
-        self.out = [np.ascontiguousarray(model.out[way * h : (way + 1) * h].T) for way in (0, 1)]
+        self.recurrent = [np.ascontiguousarray(w.T * np.float32(0.5)) for w in model.recurrent]  # the rest: half of the gate in front of it
+        self.out = np.ascontiguousarray(model.out.T)
         self.bias = model.bias[:, None]
 
-    def _step(self, way: int, codes: np.ndarray, state: np.ndarray) -> None:
+    def _step(self, way: int, codes: np.ndarray, state: np.ndarray, gate: np.ndarray, hidden: np.ndarray) -> None:
+        """``state`` after the next bytes; ``gate`` and ``hidden`` are room to work in."""
         h = self.h
-        gate, hidden = np.take(self.inputs[way], codes, axis=1), self.recurrent[way] @ state
-        zr, new = gate[: 2 * h], gate[2 * h :]
-        zr += hidden[: 2 * h]
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
+        np.take(self.inputs[way], codes, axis=1, out=gate, mode="clip")
+        np.matmul(self.recurrent[way], state, out=hidden)
+        zr, new, room = gate[: 2 * h], gate[2 * h :], hidden[: 2 * h]
+        zr += room
+        np.abs(zr, out=room)
+        room += 1
+        zr /= room
+        zr += 1
         hidden[2 * h :] *= zr[h:]
         new += hidden[2 * h :]
-        np.tanh(new, out=new)
+        np.abs(new, out=room[:h])
+        room[:h] += 1
+        new /= room[:h]
         state -= new
         state *= zr[:h]
+        state *= 0.5
         state += new
 
     def windows(self, data: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -215,25 +227,27 @@ class Reader:
         fill = lambda x: np.append(x, np.repeat(x[-1:], room - n))
         starts, begins, ends = fill(starts), fill(begins), fill(ends)
         steps = np.arange(-HALO, WINDOW + HALO)
-        codes = data[np.clip(starts + steps[:, None], 0, len(data) - 1)]
+        codes = data[np.clip(starts + steps[:, None], 0, len(data) - 1)].astype(np.intp)
         state = np.zeros((h, room), np.float32)
-        ahead = np.empty((WINDOW, h, room), np.float32)
+        work = np.empty((3 * h, room), np.float32), np.empty((3 * h, room), np.float32)
+        both = np.empty((WINDOW, 2 * h, room), np.float32)
         for t in range(-HALO, WINDOW):
             if t == 0:
                 state[:, starts == begins] = 0  # nothing is before a text's first window
-            self._step(0, codes[t + HALO], state)
+            self._step(0, codes[t + HALO], state, *work)
             if t >= 0:
-                ahead[t] = state
+                both[t, :h] = state
         left = ends - starts
         short = bool((left < WINDOW + HALO).any())
         state[:] = 0
         total = np.zeros((len(self.bias), room), np.float32)
         for t in range(WINDOW + HALO - 1, -1, -1):
-            self._step(1, codes[t + HALO], state)
+            self._step(1, codes[t + HALO], state, *work)
             if short:
                 state *= left > t
             if t < WINDOW:
-                p = _softmax(self.out[0] @ ahead[t] + self.out[1] @ state + self.bias, 0)
+                both[t, h:] = state
+                p = _softmax(self.out @ both[t] + self.bias, 0)
                 total += p * (left > t) if short else p
         return total[:, :n].T
 
