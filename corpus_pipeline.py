@@ -53,8 +53,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents of which the schedule takes half the words or more; each file is in the order of their slots.
 
-    Documents are dealt by hash, so every file is an even sample of the schedule. The mix takes a document 0, 1 or 2 times. Rows without words are never taken; rows that repeat an id are documents
-    of their own.
+    Documents are dealt by hash, so every file is an even sample of the schedule. The mix takes a document 0, 1 or 2
+    times. Rows without words are never taken; rows that repeat an id are documents of their own.
     """
     columns = _columns(docs)
     plan = mixing.mix(docs.select(*columns), carry=tuple(c for c in columns if c not in ("doc_id", "source")))
