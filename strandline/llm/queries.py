@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, substring_dedup, suffix_dedup, warc
+from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, substring_dedup, suffix_dedup, url_filter, warc
 
 #: The key of pseudonyms where the session names none in ``spark.strandline.pii.key``; real runs set their own secret.
 PII_KEY = b"strandline demonstration key 001"
@@ -65,6 +65,15 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.digest(_documents(spark, sf_dir))
 
 
+#: (host, beginning of the path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -90,6 +99,11 @@ l AS (SELECT x, y FROM c JOIN z a ON x = a.doc_id JOIN z b ON y = b.doc_id WHERE
 r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
 SELECT r.doc_id, coalesce(any_value(z.size), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM r LEFT JOIN z ON r.doc_id = z.doc_id GROUP BY 1"""
 
+_URL_RULES = """WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages), r(h, p, verdict) AS (VALUES {rules}),
+d AS (SELECT DISTINCT host, path FROM p), b AS (SELECT d.host, d.path, max((length(r.h), length(r.p), r.h || r.p, r.verdict)) AS best FROM d JOIN r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p) GROUP BY ALL)
+SELECT page_id, host, path, best[3] AS rule, coalesce(best[4], 'allow') AS verdict FROM p LEFT JOIN b USING (host, path)"""
+
 
 def oracle_sql() -> dict[str, str]:
     words = _WORDS.format(text="text")
@@ -99,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": _WARC,
         "op4_suffix_dedup": _REPEATS.format(words=words, width=50),
         "op7_ngram_join": _LINKS.format(words=lower),
+        "op13_url_filters": _URL_RULES.format(rules=", ".join(map(str, URL_RULES))),
     }
