@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, substring_dedup, suffix_dedup, url_filter, warc
+from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, prefix_trie, substring_dedup, suffix_dedup, url_filter, warc
 
 #: The key of pseudonyms where the session names none in ``spark.strandline.pii.key``; real runs set their own secret.
 PII_KEY = b"strandline demonstration key 001"
@@ -65,6 +65,10 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.digest(_documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 #: (host, beginning of the path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -104,6 +108,20 @@ coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FR
 d AS (SELECT DISTINCT host, path FROM p), b AS (SELECT d.host, d.path, max((length(r.h), length(r.p), r.h || r.p, r.verdict)) AS best FROM d JOIN r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p) GROUP BY ALL)
 SELECT page_id, host, path, best[3] AS rule, coalesce(best[4], 'allow') AS verdict FROM p LEFT JOIN b USING (host, path)"""
 
+#: A path is its turns' MD5 digests, so a node's ancestors are the beginnings of its path; the CRC-32 goes bit by bit.
+_TRIE = """WITH t AS (SELECT conv_id AS c, turn, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, k, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS n FROM t),
+i AS (SELECT DISTINCT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda j: [ascii(substr(c::VARCHAR, j, 1)), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 AS h FROM n),
+m AS (SELECT i.c, n.n AS pos, k, size FROM i JOIN n ON n.c = i.c - i.c % 5 AND n.n <= h UNION ALL SELECT i.c, n.n, k, size FROM i JOIN n ON n.c = i.c AND n.n > h),
+p AS (SELECT c, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path, size FROM m WINDOW w AS (PARTITION BY c ORDER BY pos) UNION ALL SELECT c, 0, '', 0 FROM i),
+e AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(path, depth) AS path FROM p GROUP BY c) GROUP BY path),
+d AS (SELECT path, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved FROM p GROUP BY path),
+k AS (SELECT left(path, (32 * (depth - 1))::BIGINT) AS path, count(*) AS n_children FROM d WHERE depth > 0 GROUP BY 1),
+s AS (SELECT left(d.path, (32 * j)::BIGINT) AS path, sum((n_children IS NULL)::INT) AS n_leaves, sum(saved) AS saved, count(*) AS nodes FROM (d LEFT JOIN k USING (path)) AS d, unnest(range(0, depth + 1)) AS u(j) GROUP BY 1),
+o AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS preorder FROM d)
+SELECT d.conv_id, d.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, d.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256, preorder, preorder + nodes - 1 AS subtree_end
+FROM d JOIN s USING (path) JOIN o USING (path) LEFT JOIN k ON k.path = d.path LEFT JOIN e ON e.path = d.path LEFT JOIN d AS up ON d.depth > 0 AND up.path = left(d.path, (32 * (d.depth - 1))::BIGINT)"""
+
 
 def oracle_sql() -> dict[str, str]:
     words = _WORDS.format(text="text")
@@ -113,5 +131,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": _WARC,
         "op4_suffix_dedup": _REPEATS.format(words=words, width=50),
         "op7_ngram_join": _LINKS.format(words=lower),
+        "op12_prefix_trie": _TRIE,
         "op13_url_filters": _URL_RULES.format(rules=", ".join(map(str, URL_RULES))),
     }
