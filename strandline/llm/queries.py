@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, prefix_trie, substring_dedup, suffix_dedup, url_filter, warc
+from strandline.llm import byte_bpe, edit_fingerprint, language_id, mixing, mpeg_audio, ngram_join, pii, prefix_trie, substring_dedup, suffix_dedup, token_alignment, url_filter, warc
 
 #: The key of pseudonyms where the session names none in ``spark.strandline.pii.key``; real runs set their own secret.
 PII_KEY = b"strandline demonstration key 001"
@@ -65,6 +65,10 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.digest(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
