@@ -73,12 +73,12 @@ class Tokenizers:
         # entry 2 * id inside a group, 2 * id + 1 at its end
         self.a_names, self.b_names = (np.array([f"{i}{c}" for i in range(len(side)) for c in ("," + end)], object) for side, end in ((self.a_bytes, "|"), (self.b_bytes, ";")))
 
-    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
         # the fast library's pattern overflows its stack on very long runs of white space
-        return [np.array(self._slow.encode(t, add_special_tokens=False).ids if _LONG_SPACE.search(t) else self._fast.encode_ordinary(t), np.int64) for t in texts]
+        return [self._slow.encode(t, add_special_tokens=False).ids if _LONG_SPACE.search(t) else self._fast.encode_ordinary(t) for t in texts]
 
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self._b.encode(texts, num_threads=1)]
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        return self._b.encode(texts, num_threads=1)
 
 
 def byte_chars() -> dict[int, str]:
@@ -143,9 +143,9 @@ def _slice(tok: Tokenizers, parts: list[tuple[_Document, bool, str]]) -> None:
     good = []
     for (doc, _, _), text, a, b in zip(parts, wanted, a_all, b_all):
         raw = text.encode()
-        doc.whole = doc.whole and b"".join(map(tok.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(tok.b_bytes.__getitem__, b.tolist()))
+        doc.whole = doc.whole and b"".join(map(tok.a_bytes.__getitem__, a)) == raw == b"".join(map(tok.b_bytes.__getitem__, b))
         if doc.whole:
-            good.append((doc, a, b))
+            good.append((doc, np.array(a, np.int64), np.array(b, np.int64)))
     if not good:
         return
     a_ids, b_ids = np.concatenate([a for _, a, _ in good]), np.concatenate([b for _, _, b in good])

@@ -99,7 +99,7 @@ def test_both_libraries_agree(spell):
     points = [c for c in [*range(0x3000), *range(0xFE00, 0xFF70), *range(0x1F300, 0x1F700)]]
     texts = [f" a{x}b 1{x}2 {x}{x} .{x}. {x}\n{x}'s{x}\n\n {x}  {x}" for x in map(chr, points)]
     slow = [e.ids for e in tok._slow.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in tok.encode_a(texts)] == slow
+    assert tok.encode_a(texts) == slow
 
 
 def test_empty(spark):
