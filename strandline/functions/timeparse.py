@@ -79,7 +79,7 @@ def column_millis(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double") * 86_400_000
     if isinstance(kind, T.StringType):
         return time_millis(c)
-    return c.cast("double")
+    return c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
 
 
 def chrome_time(micros: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.coerce import text_of
 from strandline.functions.timeparse import column_millis, relative_millis
+from strandline.plans.pushdown import window
 
 #: Bucket sizes in milliseconds.
 BUCKETS = {"1s": 1_000, "10s": 10_000, "1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "6h": 21_600_000, "1d": 86_400_000, "1w": 604_800_000}
@@ -49,10 +50,15 @@ def auto_bucket_number(span: float, target: int = TARGET_BUCKETS) -> float:
     return next(n for n in (1, 2, 2.5, 5, 10) if ideal / power <= n) * power
 
 
-def clip(df: DataFrame, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """Rows in the inclusive window; rows without a time go only if a window is set."""
+def clip(df: DataFrame, lo: float | None = None, hi: float | None = None, on: str | None = None) -> DataFrame:
+    """Rows in the inclusive window; rows without a time go only if a window is set.
+
+    ``on`` names the column that ``_t`` was made of; its bounds then reach the scan.
+    """
     if lo is None and hi is None:
         return df
+    raw = window(df, on, lo, hi) if on else None
+    df = df if raw is None else df.filter(raw)
     low, high = F.lit(float("-inf") if lo is None else float(lo)), F.lit(float("inf") if hi is None else float(hi))
     return df.filter(F.col("_t").between(low, high))
 
@@ -104,12 +110,12 @@ def bucket_of(lo: float, hi: float, size: float) -> tuple[Column, int]:
     return F.least(F.floor((F.col("_t") - F.lit(float(lo))) / F.lit(float(size))), F.lit(count - 1)).cast("int"), count
 
 
-def histogram(df: DataFrame, lo: float, hi: float, size: float, stack: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, lo: float, hi: float, size: float, stack: str | None = None, on: str | None = None) -> DataFrame:
     """``(bucket, start, key, n, sus)``, zero-filled over all buckets and stack keys; one shuffle of partial counts."""
     number, count = bucket_of(lo, hi, size)
     key = text_of(df, stack) if stack else F.lit("")
     sus = F.count_if("_sus") if "_sus" in df.columns else F.lit(0)
-    counts = clip(df, lo, hi).select(number.alias("bucket"), key.alias("key"), *(["_sus"] if "_sus" in df.columns else [])).groupBy("bucket", "key").agg(F.count("*").alias("n"), sus.cast("long").alias("sus"))
+    counts = clip(df, lo, hi, on).select(number.alias("bucket"), key.alias("key"), *(["_sus"] if "_sus" in df.columns else [])).groupBy("bucket", "key").agg(F.count("*").alias("n"), sus.cast("long").alias("sus"))
     keys = counts.select("key").distinct() if stack else df.sparkSession.range(1).select(F.lit("").alias("key"))
     spine = keys.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     filled = spine.join(counts, ["bucket", "key"], "left")

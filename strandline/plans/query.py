@@ -376,10 +376,17 @@ class Binder:
 
 
 def compile_query(df: DataFrame, query: str | Node, lenient: bool = False) -> Column:
-    """A never-null Boolean Column. ``lenient``: a query with an error matches everything, as while it is being typed."""
+    """A never-null Boolean Column. ``lenient``: a query with an error matches everything, as while it is being typed.
+
+    What the query implies for raw columns stands beside the comparisons of text forms, so that it reaches the scan.
+    """
+    from strandline.plans.pushdown import implied
+
     try:
         tree = parse(query) if isinstance(query, str) else query
-        return Binder(df).column(tree)
+        binder = Binder(df)
+        exact, raw = binder.column(tree), implied(binder, tree)
+        return exact if raw is None else raw & exact
     except QuerySyntaxError:
         if lenient:
             return F.lit(True)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import text as tx
 from strandline.functions.coerce import leading_number, number
@@ -32,6 +33,9 @@ def named(sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
     times = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
+    if times and spark.conf.get("spark.sql.session.timeZone") == "UTC":
+        # read as instants: no cast stands between a filter and the scan
+        return spark.read.schema(T.StructType([T.StructField(f.name, T.TimestampType() if f.name in times else f.dataType) for f in df.schema])).parquet(f"{d}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else df
 
 
@@ -118,7 +122,7 @@ def filtered_hourly_histogram(spark, d):
     """The flagship: a query, a time axis, and a stacked, zero-filled histogram from the view's own start."""
     kept = q.where(events(spark, d), "event_type IN (error, purchase) AND value>=50")
     lo, hi = timeline.data_range(kept)
-    return timeline.histogram(kept, lo, hi, 3_600_000, "event_type")
+    return timeline.histogram(kept, lo, hi, 3_600_000, "event_type", on="ts")
 
 
 @named(_HIST.format(sus="contains(props, '7')", where="true", size=86400000))
@@ -130,13 +134,13 @@ def histogram_auto_with_sus(spark, d):
 
 @named("SELECT event_id FROM events WHERE (epoch_us(ts) // 1000) BETWEEN 1704672000000 AND 1704758400000")
 def time_window(spark, d):
-    return timeline.clip(events(spark, d), 1704672000000, 1704758400000).select("event_id")
+    return timeline.clip(events(spark, d), 1704672000000, 1704758400000, "ts").select("event_id")
 
 
 @named("SELECT event_id FROM events, (SELECT max((epoch_us(ts) // 1000)) AS hi, min((epoch_us(ts) // 1000)) AS lo FROM events) WHERE (epoch_us(ts) // 1000) >= greatest(lo, hi - 86400000)")
 def preset_last_day(spark, d):
     e = events(spark, d)
-    return timeline.clip(e, *timeline.preset_window(timeline.data_range(e), "24h")).select("event_id")
+    return timeline.clip(e, *timeline.preset_window(timeline.data_range(e), "24h"), on="ts").select("event_id")
 
 
 @named("WITH e AS (SELECT (epoch_us(ts) // 1000)::DOUBLE AS t FROM events), r AS (SELECT min(t) AS lo, max(t) AS hi FROM e) SELECT least(floor((t - lo) / ((hi - lo) / 24)), 23)::INT AS bucket, floor(lo + least(floor((t - lo) / ((hi - lo) / 24)), 23) * ((hi - lo) / 24))::BIGINT AS start, count(*) AS n FROM e, r GROUP BY 1, 2 ORDER BY n DESC, bucket LIMIT 5")

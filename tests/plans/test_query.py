@@ -106,7 +106,7 @@ def test_edits():
     assert q.fields_of(tree) == ["name", "msg"]
 
 
-def test_filter_reaches_the_scan(spark, sf_dir):
+def test_columns_are_pruned(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     plan = q.where(part, "p_brand IN (Brand#1) p_type=ECONOMY").select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_type:string>" in plan
