@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.coerce import text_of
+from strandline.functions.jsonpaths import leaf_paths
 from strandline.functions.text import HOST, URL
 from strandline.plans.query import check_pattern
 
@@ -84,7 +85,7 @@ def propose(df: DataFrame, rows: int = 200, most: int = 12) -> list[Extract]:
             continue
         found: list[Extract] = []
         if json >= max(3, 0.5 * total):
-            keys = cells.select(F.explode(F.json_object_keys("v")).alias("k")).groupBy("k").count().filter(F.col("count") >= max(3, 0.3 * total))
+            keys = cells.select(F.explode(leaf_paths(F.col("v"))).alias("k")).groupBy("k").count().filter(F.col("count") >= max(3, 0.3 * total))
             found += [Extract(name, "json", r["k"], f"{name}.{r['k']}", share=100 * r["count"] / total) for r in keys.collect()]
         elif kv >= max(3, 0.5 * total):
             keys = cells.select(F.explode(F.regexp_extract_all("v", F.lit(r"(?:^| \| )([^=|]{1,59})="), 1)).alias("k")).groupBy("k").count().filter(F.col("count") >= max(3, 0.3 * total))

@@ -51,6 +51,15 @@ def _back(e: DataFrame, line: Column, label: str, reader: Callable[[DataFrame],
     return reader(logs.read_lines(e.sparkSession, path)) if reader else logs.load(e.sparkSession, path)
 
 
+def _back_after_first(e: DataFrame, line: Column, label: str, reader: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """As ``_back``, with the row of the least ``event_id`` in a folder that sorts first, so that it sets the columns."""
+    least, path = e.agg(F.min("event_id")).first()[0], work_path(e.sparkSession, label)
+    for folder, kept in (("0", F.col("event_id") <= least), ("1", F.col("event_id") > least)):
+        e.filter(kept).select(line).write.text(f"{path}/{folder}")
+    paths = [f"{path}/0", f"{path}/1"]
+    return reader(logs.read_lines(e.sparkSession, paths)) if reader else logs.load(e.sparkSession, paths)
+
+
 c = F.col
 
 
@@ -104,10 +113,10 @@ def log_timed(spark, d):
 @named(rf"""WITH {_E} SELECT event_id::VARCHAR AS "id", who AS "user.name", k AS "user.deep.k", event_type AS kind, '["' || k || '",1]' AS tags, CASE WHEN event_id > 0 AND event_id % 2 = 0 THEN '{{"later":"' || k || '"}}' ELSE '' END AS _extra FROM e""")
 def log_json_lines(spark, d):
     """Nested JSON lines, flattened; a key that the first record lacks goes to ``_extra``."""
-    e = _events(spark, d).repartition(1).sortWithinPartitions("event_id")  # the first line of the first file sets the columns
+    e = _events(spark, d)
     later = F.when((c("event_id") > 0) & (c("event_id") % 2 == 0), F.concat(F.lit(',"later":"'), c("k"), F.lit('"'))).otherwise("")
     line = _line('{"id":', c("event_id"), ',"user":{"name":"', c("who"), '","deep":{"k":', c("k"), '}},"kind":"', c("event_type"), '","tags":["', c("k"), '",1]', later, "}")
-    return _back(e, line, "log-jsonl", logs.json_lines)
+    return _back_after_first(e, line, "log-jsonl", logs.json_lines)
 
 
 @named(rf"""WITH {_E} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "eventTime", event_type AS "eventName", ip AS "sourceIPAddress", who AS "userIdentity.userName", '{{"k":' || k || '}}' AS "requestParameters", '' AS "errorCode", event_id::VARCHAR AS "eventID", CASE WHEN event_id % 2 = 0 THEN '{{"more":"' || k || '"}}' ELSE '' END AS _extra FROM e""")
@@ -120,28 +129,28 @@ def log_cloudtrail(spark, d):
 
 @named(rf"""WITH {_E} SELECT '0' AS version, 'Ven|dor' AS vendor, 'Pro\duct' AS product, '1.0' AS device_version, event_id::VARCHAR AS signature, event_type AS name, (event_id % 11)::VARCHAR AS severity, ip AS src, 'two words = ' || k AS msg, CASE WHEN event_id > 0 AND event_id % 2 = 0 THEN '{{"later":"' || k || '"}}' ELSE '' END AS _extra FROM e""")
 def log_cef(spark, d):
-    e = _events(spark, d).repartition(1).sortWithinPartitions("event_id")
+    e = _events(spark, d)
     later = F.when((c("event_id") > 0) & (c("event_id") % 2 == 0), F.concat(F.lit(" later="), c("k"))).otherwise("")
     line = _line(r"CEF:0|Ven\|dor|Pro\\duct|1.0|", c("event_id"), "|", c("event_type"), "|", c("event_id") % 11, "|src=", c("ip"), r" msg=two words \= ", c("k"), later)
-    return _back(e, line, "log-cef", None)
+    return _back_after_first(e, line, "log-cef", None)
 
 
 @named(rf"""WITH {_E} SELECT (1 + event_id % 2)::VARCHAR AS version, 'Vendor' AS vendor, 'Product' AS product, '2.1' AS device_version, event_type AS event_id, ip AS src, 'a=' || k AS msg, CASE WHEN event_id > 0 AND event_id % 2 = 0 THEN '{{"later":"' || k || '"}}' ELSE '' END AS _extra FROM (SELECT *, event_id AS n FROM e) e""".replace("event_id % 2)::VARCHAR", "n % 2)::VARCHAR").replace("event_id > 0 AND event_id % 2 = 0", "n > 0 AND n % 2 = 0"))
 def log_leef(spark, d):
     """Version 1 with tabs, version 2 with a caret that the header names."""
-    e = _events(spark, d).repartition(1).sortWithinPartitions("event_id")
+    e = _events(spark, d)
     even = c("event_id") % 2 == 0
     one = F.concat(F.lit("LEEF:1.0|Vendor|Product|2.1|"), c("event_type"), F.lit("|src="), c("ip"), F.lit("\tmsg=a="), c("k"), F.when(c("event_id") > 0, F.concat(F.lit("\tlater="), c("k"))).otherwise(""))
     two = F.concat(F.lit("LEEF:2.0|Vendor|Product|2.1|"), c("event_type"), F.lit("|x5E|src="), c("ip"), F.lit("^msg=a="), c("k"))
-    return _back(e, F.when(even, one).otherwise(two).alias("value"), "log-leef", None)
+    return _back_after_first(e, F.when(even, one).otherwise(two).alias("value"), "log-leef", None)
 
 
 @named(rf"""WITH {_E} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, event_type AS level, 'said "' || k || '" twice' AS msg, event_id::VARCHAR AS "id", CASE WHEN event_id > 0 AND event_id % 2 = 0 THEN '{{"later":"' || k || '"}}' ELSE '' END AS _extra FROM e""")
 def log_logfmt(spark, d):
-    e = _events(spark, d).repartition(1).sortWithinPartitions("event_id")
+    e = _events(spark, d)
     later = F.when((c("event_id") > 0) & (c("event_id") % 2 == 0), F.concat(F.lit(" later="), c("k"))).otherwise("")
     line = _line("at=", _at("yyyy-MM-dd'T'HH:mm:ss'Z'"), " level=", c("event_type"), r' msg="said \"', c("k"), r'\" twice" id=', c("event_id"), later)
-    return _back(e, line, "log-logfmt", None)
+    return _back_after_first(e, line, "log-logfmt", None)
 
 
 @named(rf"""WITH {_E} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "Timestamp", strftime(ts, '%Y-%m-%d') AS "date", strftime(ts, '%H:%M:%S') AS "time", ip AS "c-ip", event_id::VARCHAR AS "cs-id", CASE WHEN event_id % 5 = 0 THEN '' ELSE 'UA ' || k END AS "cs(User-Agent)" FROM e""")
@@ -214,13 +223,27 @@ def grid_malformed_rows(spark, d):
 
 @named(f"""WITH {_E} SELECT event_id::VARCHAR AS event_id, event_type, '{{"k":"' || k || '"}}' AS props, CASE WHEN event_id % 2 = 0 THEN amount ELSE '' END AS amount FROM e""")
 def grid_json_array(spark, d):
-    """Files that are arrays of objects, one of a hundred rows each."""
+    """Arrays of objects, of a hundred rows each, many to a file."""
     e = _events(spark, d)
     row = F.to_json(F.struct("event_id", "event_type", F.struct("k").alias("props"), F.when(c("event_id") % 2 == 0, c("amount")).alias("amount")))
     whole = e.groupBy(F.floor(c("event_id") / 100).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
-    path = work_path(spark, "grid-json")
-    whole.write.partitionBy("part").text(path) if whole.count() <= 500 else whole.select("value").write.text(path)
-    return documents.read_json_grid(spark, path).drop("part")
+    return documents.read_json_grid(spark, write_lines(whole.select("value"), "grid-json"))
+
+
+@named(f"""WITH {_E}, p AS (SELECT unnest([{{'path': 'id', 'value': event_id::VARCHAR}}, {{'path': 'user.name', 'value': who}}, {{'path': 'user.tags', 'value': '["' || k || '",' || event_id || ']'}}]) AS u FROM e
+UNION ALL SELECT {{'path': 'user.role.kind', 'value': event_type}} FROM e WHERE event_id % 3 = 1 UNION ALL SELECT {{'path': 'user.role', 'value': '{{}}'}} FROM e WHERE event_id % 3 = 2
+UNION ALL SELECT {{'path': 'n' || (event_id % 7) || '.x.y', 'value': '1.50'}} FROM e)
+SELECT u.path AS path, u.value AS value, count(*) AS n FROM p GROUP BY ALL""")
+def json_leaf_pairs(spark, d):
+    """Every (path, value) of nested records that differ from each other, from the columns and ``_extra`` of the reader."""
+    i = c("event_id")
+    role = F.when(i % 3 == 1, F.concat(F.lit(',"role":{"kind":"'), c("event_type"), F.lit('"}'))).when(i % 3 == 2, ',"role":{}').otherwise("")
+    line = _line('{"id":', i, ',"user":{"name":"', c("who"), '","tags":["', c("k"), '",', i, "]", role, '},"n', i % 7, '":{"x":{"y":1.50}}', F.when(i % 5 == 0, ',"gone":null').otherwise(""), "}")
+    df = _back_after_first(_events(spark, d), line, "json-leaves", logs.json_lines)
+    cells = F.create_map(*[x for n in df.columns if n != "_extra" for x in (F.lit(n), c(f"`{n}`"))])  # an empty cell is a null, or no leaf
+    more = F.coalesce(F.from_json("_extra", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    pairs = df.select(F.explode(cells).alias("path", "value")).unionByName(df.select(F.explode(more).alias("path", "value")))
+    return pairs.filter("value != ''").groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
 # ---- exports ----------------------------------------------------------------------------------------------------

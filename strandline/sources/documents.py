@@ -63,10 +63,30 @@ def read_workbooks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row long, cells map<string, string>")
 
 
-def read_json_grid(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects: the union of their keys, every cell text, nested values as JSON."""
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    return df.select(*[text_of(df, c).alias(c) for c in df.columns])
+#: ``]`` and ``[`` with nothing between them, outside strings: one array ends and another begins.
+_SEVERAL = r"\]\s*\["
+
+
+def read_json_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON arrays of objects: the union of their keys, every cell text, nested values as JSON.
+
+    Files whose lines are whole arrays (or objects) are read line by line, in splits. In other files an array runs over
+    lines; such a file is one task and must hold one array, several are an error.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    whole = F.col("value").rlike(r"^\s*[\[{]") & F.col("value").rlike(r"[\]}]\s*,?\s*$") & (F.json_array_length("value").isNotNull() | F.json_object_keys("value").isNotNull())
+    kinds = lines.groupBy("file").agg(F.bool_and(whole & ~F.col("value").rlike(r",\s*$")).alias("by_line"))
+    files = {r["by_line"]: r["files"] for r in kinds.groupBy("by_line").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()}  # names of files, as Spark lists them
+    if False in files:
+        bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*"', "")
+        if not spark.read.text(files[False], wholetext=True).filter(bare.rlike(_SEVERAL)).isEmpty():
+            raise ValueError("a file has several arrays that run over lines; write each array on a line, or in a file, of its own")
+    reader = lambda by_line: spark.read.option("multiLine", not by_line).option("primitivesAsString", True).json(files[by_line])
+    shown = [df.select(*[text_of(df, c).alias(c) for c in df.columns]) for df in map(reader, sorted(files))]
+    if not shown:
+        return spark.createDataFrame([], "_empty string").drop("_empty")
+    both = shown[0] if len(shown) == 1 else shown[0].unionByName(shown[1], allowMissingColumns=True)
+    return both.na.fill("")
 
 
 def malformed(lines: DataFrame, cells: int, sep: str = ",") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.jsonpaths import flat_map
 from strandline.functions.text import priority
 from strandline.functions.timeparse import syslog_year
 
@@ -100,30 +101,14 @@ def _first_keys(maps: DataFrame) -> list[str]:
     return row["k"] if row else []
 
 
-def _leaf_paths(kind: T.DataType, path: tuple[str, ...] = (), depth: int = 8) -> list[tuple[str, ...]]:
-    """Dotted paths to scalars and arrays of an inferred JSON type."""
-    if isinstance(kind, T.StructType) and depth > 0 and kind.fields:
-        return [p for f in kind.fields for p in _leaf_paths(f.dataType, (*path, f.name), depth - 1)]
-    return [path]
-
-
 def json_lines(lines: DataFrame, most: int = MAX_COLUMNS, depth: int = 8) -> DataFrame:
     """JSON lines flattened to dotted columns; the first record sets the columns, at most ``most`` of them.
 
-    What lies deeper than ``depth`` stays JSON in its column; top-level keys without a column go to ``_extra``."""
-    objects = lines.filter(F.col("value").rlike(r"^\s*\{") & F.json_object_keys("value").isNotNull())
-    order = [c for c in ("_file", "_line") if c in lines.columns]
-    head = (objects.orderBy(*order) if order else objects).select("value").first()
-    if head is None:
-        return lines.select(F.lit("").alias("_extra")).limit(0)
-    kind = T._parse_datatype_string(lines.sparkSession.range(1).select(F.schema_of_json(F.lit(head["value"]))).first()[0])
-    paths = _leaf_paths(kind, (), depth)[:most]
-    cell = lambda p: F.get_json_object("value", "$" + "".join(f"['{k}']" for k in p))
-    tops = F.array(*[F.lit(n) for n in dict.fromkeys(p[0] for p in paths)])
-    others = F.filter(F.json_object_keys("value"), lambda k: ~F.array_contains(tops, k))
-    as_map = F.from_json("value", "map<string,string>")
-    extra = F.map_filter(as_map, lambda k, v: ~F.array_contains(tops, k))
-    return objects.select(*[F.coalesce(cell(p), F.lit("")).alias(".".join(p)) for p in paths], F.when(F.size(others) > 0, F.to_json(extra)).otherwise("").alias("_extra"))
+    What lies deeper than ``depth`` stays JSON in its column. Every leaf of a record is in a column or, under its dotted
+    path, in ``_extra``: leaves that the first record lacks, those past ``most``, and those inside its own objects.
+    """
+    maps = lines.withColumn("m", flat_map(F.col("value"), depth)).filter("m is not null")
+    return _locked(maps, _first_keys(maps)[:most])
 
 
 #: The columns of a cloud audit record.
@@ -131,12 +116,11 @@ CLOUDTRAIL = ("eventTime", "eventName", "eventSource", "awsRegion", "sourceIPAdd
 
 
 def cloudtrail(lines: DataFrame) -> DataFrame:
-    """Audit records, one a line or inside ``{"Records": [...]}``."""
+    """Audit records, one a line or inside ``{"Records": [...]}``; leaves without a column go to ``_extra`` by their dotted paths."""
     records = F.from_json(F.get_json_object("value", "$.Records"), "array<string>")
     each = lines.select(F.explode(F.coalesce(records, F.array("value"))).alias("value")).filter(F.json_object_keys("value").isNotNull())
-    tops = F.array(*[F.lit(n) for n in dict.fromkeys(c.split(".")[0] for c in CLOUDTRAIL)])
-    extra = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~F.array_contains(tops, k))
-    return each.select(*[F.coalesce(F.get_json_object("value", f"$.{c}"), F.lit("")).alias(c) for c in CLOUDTRAIL], F.when(F.size(extra) > 0, F.to_json(extra)).otherwise("").alias("_extra"))
+    maps = each.select(flat_map(F.col("value"), whole=("requestParameters", "responseElements")).alias("m")).filter("m is not null")
+    return _locked(maps, list(CLOUDTRAIL))
 
 
 def _pairs(text: Column, pattern: str, clean: Callable[[Column], Column]) -> Column:

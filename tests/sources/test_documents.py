@@ -62,3 +62,20 @@ def test_more_encodings(spark):
     df = spark.createDataFrame([(k, f"x {v} y") for k, v in texts.items()], "k string, t string")
     got = {r["k"]: (r["chain"], r["payload_text"]) for r in decode.decode_layers(df, "k", "t", 1).collect()}
     assert got == {k: ([k], "Hi!!" * (2 if k == "spaced_hex" else 1)) for k in texts}
+
+
+def test_json_grids_of_several_arrays(spark, tmp_path):
+    """An array a line gives all of its rows; a file of several arrays that run over lines is refused."""
+    import pytest
+
+    (tmp_path / "lines.json").write_text('[{"a":1},{"a":2,"t":"x] [y"}]\n\n[{"a":3}]\n{"a":4}\n')
+    (tmp_path / "over.json").write_text('[\n {"a": 5,\n  "b": {"c": [1, 2]}},\n {"t": "] ["}\n]\n')
+    got = documents.read_json_grid(spark, str(tmp_path))
+    assert set(got.columns) == {"a", "b", "t"}
+    assert sorted((r["a"], r["b"], r["t"]) for r in got.collect()) == [("", "", "] ["), ("1", "", ""), ("2", "", "x] [y"), ("3", "", ""), ("4", "", ""), ("5", '{"c":["1","2"]}', "")]
+    (tmp_path / "two.json").write_text('[\n{"a":1}\n]\n[\n{"a":2}\n]')
+    with pytest.raises(ValueError):
+        documents.read_json_grid(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.json").write_text("")
+    assert documents.read_json_grid(spark, str(tmp_path / "none")).count() == 0

@@ -1,6 +1,7 @@
 """One or more lines of each format, and the cells they must give."""
 
 import io
+import json
 import sqlite3
 import tarfile
 import zipfile
@@ -46,13 +47,29 @@ def test_apache_error(lines):
 
 def test_json_lines(lines):
     df = logs.json_lines(lines('{"a":{"b":1,"c":[1,2]},"t":"x","n":null}', "not json", '{"t":"y","a":{"b":"2"},"new":{"k":1}}'))
-    assert df.columns == ["a.b", "a.c", "n", "t", "_extra"]
-    assert [tuple(r) for r in df.collect()] == [("1", "[1,2]", "", "x", ""), ("2", "", "", "y", '{"new":"{\\"k\\":1}"}')]
+    assert df.columns == ["a.b", "a.c", "t", "n", "_extra"]
+    assert [tuple(r) for r in df.collect()] == [("1", "[1,2]", "x", "", ""), ("2", "", "y", "", '{"new.k":"1"}')]
+
+
+def test_json_lines_lose_no_leaf(lines):
+    """Leaves inside a known object, past the most columns, of odd names, and too deep."""
+    df = logs.json_lines(lines('{"user":{"name":"a"}}', '{"user":{"name":"b","role":"admin"},"x.y":1.50,"x":{"y":2,"it\'s?":true},"e":{},"big":123456789012345678901}', '{"user":"plain"}'))
+    assert df.columns == ["user.name", "_extra"]
+    got = [(r["user.name"], json.loads(r["_extra"] or "{}")) for r in df.collect()]
+    assert got == [("a", {}), ("b", {"user.role": "admin", "x.y": "1.50", '["x","y"]': "2", "x.it's?": "true", "e": "{}", "big": "123456789012345678901"}), ("", {"user": "plain"})]
+    few = logs.json_lines(lines('{"u":{"a":1,"b":2,"c":3}}', '{"u":{"c":4}}'), most=2)
+    assert [tuple(r) for r in few.collect()] == [("1", "2", '{"u.c":"3"}'), ("", "", '{"u.c":"4"}')]
+    deep = logs.json_lines(lines('{"a":{"b":{"c":{"d":[{"e":1}]}}}}'), depth=2)
+    assert (deep.columns[0], deep.first()[0]) == ("a.b", '{"c":{"d":[{"e":1}]}}')
+    odd = logs.json_lines(lines('{"a":1,"a":"\\ud800","n":1e5}', '{"a":NaN}', "[1]", ""))
+    assert [tuple(r) for r in odd.collect()] == [("\ufffd", "1e5", "")]
 
 
 def test_cloudtrail(lines):
     df = logs.cloudtrail(lines('{"Records":[{"eventName":"A","userIdentity":{"type":"Root"},"odd":1},{"eventName":"B"}]}', '{"eventName":"C"}'))
     assert rows(df, "eventName", "userIdentity.type", "_extra") == [("A", "Root", '{"odd":"1"}'), ("B", "", ""), ("C", "", "")]
+    df = logs.cloudtrail(lines('{"eventName":"A","userIdentity":{"type":"T","principalId":"P","sessionContext":{"mfa":true}},"requestParameters":{"k":{"z":1}}}'))
+    assert rows(df, "userIdentity.type", "requestParameters", "_extra") == [("T", '{"k":{"z":1}}', '{"userIdentity.principalId":"P","userIdentity.sessionContext.mfa":"true"}')]
 
 
 def test_cef(lines):
