@@ -184,14 +184,14 @@ def grid_csv(spark, d):
     """The grid export and the reader of delimited text: quotes, commas and line breaks in cells, CRLF between rows."""
     path = work_path(spark, "grid-csv")
     sinks.write_csv(_grid(_events(spark, d)), path)
-    return logs.read_csv(spark, path)
+    return logs.read_csv(spark, path).drop("_extra")
 
 
 def _delimited(spark, d, sep: str) -> DataFrame:
     e = _events(spark, d)
     line = _line(c("event_id"), sep, c("event_type"), sep, '"', c("k"), sep, ' x"', sep, c("ip"))
     path = write_lines(e.select(line), "grid-delimited", sep.join(["event_id", "event_type", "said", "ip"]))
-    return logs.read_csv(spark, path)
+    return logs.read_csv(spark, path).drop("_extra")
 
 
 _DELIMITED = "WITH {e} SELECT event_id::VARCHAR AS event_id, event_type, k || '{sep} x' AS said, ip FROM e"
@@ -212,6 +212,35 @@ def grid_bars(spark, d):
     return _delimited(spark, d, "|")
 
 
+@named(f"""WITH {_E} SELECT event_id::VARCHAR AS event_id, k, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS said, CASE WHEN event_id % 5 = 0 THEN '["x,' || k || '","' || event_id || '"]' ELSE '' END AS _extra FROM e""")
+def grid_extra_cells(spark, d):
+    """Rows with too few and too many cells under one header."""
+    e = _events(spark, d)
+    i = c("event_id")
+    said = F.when(i % 3 != 0, F.concat(F.lit(","), c("event_type"))).when(i % 5 == 0, ",").otherwise("")
+    line = _line(i, ",", c("k"), said, F.when(i % 5 == 0, F.concat(F.lit(',"x,'), c("k"), F.lit('",'), i)).otherwise(""))
+    return logs.read_csv(spark, write_lines(e.select(line), "grid-extra", "event_id,k,said"))
+
+
+@named(f"""WITH {_E} SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE event_id::VARCHAR END AS a, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END AS b, 'line ' || k || chr(10) || chr(10) || 'and "' || event_type || '", ' || repeat('long ', (event_id % 40)::INT) AS said, '' AS _extra FROM e""")
+def grid_csv_in_splits(spark, d):
+    """Cells of several lines in files that are read in splits of some kilobytes, under two headers."""
+    e = _events(spark, d)
+    said = F.concat(F.lit('"line '), c("k"), F.lit('\n\nand ""'), c("event_type"), F.lit('"", '), F.expr("repeat('long ', cast(event_id % 40 as int))"), F.lit('"'))
+    one = write_lines(e.filter("event_id % 3 <> 0").select(_line(c("event_id"), ",", said)), "grid-splits", "a,said")
+    two = write_lines(e.filter("event_id % 3 = 0").select(_line(said, ",", c("event_id"))), "grid-splits", "said,b")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for name, value in (("maxPartitionBytes", "64k"), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        path = work_path(spark, "grid-splits-read")
+        logs.read_csv(spark, [one, two], ",").write.parquet(path)
+    finally:
+        for name, value in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{name}", value)
+    return spark.read.parquet(path)
+
+
 @named(f"WITH {_E} SELECT event_id FROM e WHERE event_id % 10 < 2")
 def grid_malformed_rows(spark, d):
     """Rows with a cell too many, or an open quote."""
@@ -260,14 +289,14 @@ def export_histogram(spark, d):
     hist = timeline.histogram(e, lo, (hi // day + 1) * day, day, "event_type")
     path = work_path(spark, "export-histogram")
     sinks.write_csv(timeline.histogram_table(hist, day).drop("bucket").select("begin", "end", "click", "error", "view"), path)
-    return logs.read_csv(spark, path)
+    return logs.read_csv(spark, path).drop("_extra")
 
 
 @named("SELECT event_type AS value, count(*)::VARCHAR AS n FROM events GROUP BY 1")
 def export_top_values(spark, d):
     path = work_path(spark, "export-values")
     sinks.write_csv(stats.top_values(_events(spark, d), "event_type", 500), path)
-    return logs.read_csv(spark, path)
+    return logs.read_csv(spark, path).drop("_extra")
 
 
 _EMAILS = r"""WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,6}'))) AS value FROM documents)"""
@@ -288,7 +317,7 @@ def export_indicators(spark, d):
     """One row a type and value (case ignored), with the highest severity, as CSV."""
     path = work_path(spark, "export-indicators")
     sinks.write_csv(sinks.indicator_list(_addresses(spark, d)), path)
-    return logs.read_csv(spark, path)
+    return logs.read_csv(spark, path).drop("_extra")
 
 
 @named(f"""{_EMAILS}, u AS (SELECT min(value) AS value, {_RANKED} AS severity FROM v GROUP BY lower(value)) SELECT 'indicator' AS type, '2.1' AS spec_version, '[email-addr:value = ' || chr(39) || value || chr(39) || ']' AS pattern, substr(sha1('stix|Email|' || value), 1, 8) AS id_start FROM u""")

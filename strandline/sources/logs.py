@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from strandline.functions.jsonpaths import flat_map
 from strandline.functions.text import priority
 from strandline.functions.timeparse import syslog_year
+from strandline.sources.delimited import read_delimited
 
 #: Columns that a format without a schema of its own may open at most; the rest goes to ``_extra``.
 MAX_COLUMNS = 256
@@ -253,10 +254,13 @@ def delimiter(header: str) -> str:
     return max(",;\t|", key=bare.count)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Delimited text as text columns: quotes may span lines, short rows are padded, empty cells are empty text."""
+def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
+    """Delimited text as text columns: quotes may span lines, short rows are padded, empty cells are empty text.
+
+    Every file has its header; files with different headers give the union of their columns. Cells past the header are in
+    ``_extra`` as a JSON array. Lines without a character are no rows. Files are read in splits, whatever their quotes hold.
+    """
     if sep is None:
         head = spark.read.text(path).limit(1).collect()
         sep = delimiter(head[0]["value"]) if head else ","
-    df = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, enforceSchema=False, inferSchema=False)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in df.columns])
+    return read_delimited(spark, path, sep)

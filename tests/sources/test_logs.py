@@ -135,7 +135,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name;"text; x"\n"multi\nline";"say ""hi"""\nb;\n')
     assert logs.delimiter('a;"b,c,d,e";f') == ";"
     df = logs.read_csv(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["name", "text; x"] and sorted(map(tuple, df.collect())) == [("b", ""), ("multi\nline", 'say "hi"')]
+    assert df.columns == ["name", "text; x", "_extra"] and sorted(map(tuple, df.collect())) == [("b", "", ""), ("multi\nline", 'say "hi"', "")]
     (tmp_path / "b.log").write_text("level=info n=1\r\nlevel=warn n=2\r\n\r\n")
     assert rows(logs.load(spark, str(tmp_path / "b.log")), "level", "n") == [("info", "1"), ("warn", "2")]
 
