@@ -57,6 +57,16 @@ def content_class(df: DataFrame, names: list[str], sample: int = 200) -> dict[st
     return {c: kind(row[f"n{i}"], row[f"a{i}"], row[f"d{i}"]) for i, c in enumerate(names)}
 
 
+def _apart(names: list[str]) -> dict[str, str]:
+    """Names of native columns that differ from canonical ones, and from each other, in more than letter case."""
+    taken, out = {c.lower() for c in CANONICAL}, {}
+    for n in names:
+        base = f"{n} (native)" if n.lower() in {c.lower() for c in CANONICAL} else n
+        out[n] = next(x for x in (base, *(f"{base} ({i})" for i in range(2, len(names) + 3))) if x.lower() not in taken)
+        taken.add(out[n].lower())
+    return out
+
+
 def merge(sources: list[Source], keep_empty: bool = False) -> DataFrame:
     """All rows of all sources: ``__source``, canonical columns, then native ones.
 
@@ -77,11 +87,11 @@ def merge(sources: list[Source], keep_empty: bool = False) -> DataFrame:
         for i in at:
             place[i, c] = c if fused or len(at) == 1 else f"{labels[i]}·{c}"
     used = {n for n in CANONICAL[1:] if keep_empty or len(sources) < 2 or any({c.lower() for c in s.df.columns} & set(ALIASES[n]) for s in sources)}
-    native = list(dict.fromkeys(f"{n}" if n not in CANONICAL else f"{n} (native)" for n in place.values()))
+    shown = _apart(list(dict.fromkeys(place.values())))
     parts = []
     for i, (label, s) in enumerate(zip(labels, sources)):
-        own = {(f"{n} (native)" if n in CANONICAL else n): c for (j, c), n in place.items() if j == i}
-        parts.append(s.df.select(F.lit(label).alias("__source"), *[canonical(s.df, n).alias(n) for n in CANONICAL[1:] if n in used], *[(text_of(s.df, own[n]) if n in own else F.lit("")).alias(n) for n in native]))
+        own = {n: c for (j, c), n in place.items() if j == i}
+        parts.append(s.df.select(F.lit(label).alias("__source"), *[canonical(s.df, n).alias(n) for n in CANONICAL[1:] if n in used], *[(text_of(s.df, own[n]) if n in own else F.lit("")).alias(to) for n, to in shown.items()]))
     return reduce(DataFrame.unionByName, parts)
 
 

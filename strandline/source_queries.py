@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import indicators, stats, timeline
-from strandline.sources import documents, logs, sinks
+from strandline.sources import documents, folders, logs, sinks
 from strandline.sources.folder import work_path, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +275,45 @@ def json_leaf_pairs(spark, d):
     return pairs.filter("value != ''").groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
+@named(f"""WITH {_E} SELECT ['access', 'syslog5424', 'jsonl', 'csv ;', 'csv ,', 'logfmt', 'cef'][event_id % 7 + 1] AS kind, event_id::VARCHAR AS id, who, CASE WHEN event_id % 7 IN (3, 4) AND event_id % 3 = 0 THEN 'two' || chr(10) || 'lines' ELSE event_type END AS what FROM e""")
+def mixed_folder(spark, d):
+    """One folder of files of seven formats, most without a telling name; every row comes back by the reader of its file."""
+    e, i, path = _events(spark, d), c("event_id"), work_path(spark, "mixed")
+    what = F.when(i % 3 == 0, '"two\nlines"').otherwise(c("event_type"))
+    written = {
+        "access": _line(c("ip"), " - ", c("who"), " [", _at("dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /', c("event_type"), ' HTTP/1.1" 200 ', i),
+        "syslog": _line("<13>1 ", _at("yyyy-MM-dd'T'HH:mm:ss'Z'"), " ", c("who"), " ", c("event_type"), " - ID", i, " - said"),
+        "records.jsonl": _line('{"id":', i, ',"user":{"name":"', c("who"), '"},"what":"', c("event_type"), '"}'),
+        "semicolons": _line(i, ";", c("who"), ";", what), "commas.csv": _line(c("who"), ",", i, ",", what),
+        "pairs": _line("id=", i, " who=", c("who"), " what=", c("event_type")), "events.cef": _line("CEF:0|V|P|1|", i, "|", c("event_type"), "|1|suser=", c("who")),
+    }
+    heads = {"semicolons": "id;who;what", "commas.csv": "who,id,what"}
+    for n, (name, line) in enumerate(written.items()):
+        lines = write_lines(e.filter(i % 7 == n).select(line), "mixed-part", heads.get(name))
+        # the ending of a name decides, so it has to be the files' own
+        _renamed(spark, lines, path, name)
+    tables = folders.load_folder(spark, path)
+    shown = {
+        "access": lambda t: t.select("bytes", "user", F.regexp_extract("request", r"/(\w+) ", 1)), "syslog5424": lambda t: t.select(F.substring("message_id", 3, 20), "host", "app"), "jsonl": lambda t: t.select("id", "`user.name`", "what"),
+        "csv ;": lambda t: t.select("id", "who", "what"), "csv ,": lambda t: t.select("id", "who", "what"), "logfmt": lambda t: t.select("id", "who", "what"), "cef": lambda t: t.select("signature", "suser", "name"),
+    }
+    parts = [shown[kind](t).toDF("id", "who", "what").withColumn("kind", F.lit(kind)) for kind, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _renamed(spark: SparkSession, folder: str, to: str, name: str) -> None:
+    """Moves the files of ``folder`` to ``to`` under ``name`` and their number, through the file system that Spark uses."""
+    java = spark._jvm.org.apache.hadoop.fs.Path
+    fs = java(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(java(to))
+    stem, dot, ending = name.partition(".")
+    for i, status in enumerate(sorted(str(s.getPath()) for s in fs.listStatus(java(folder)) if s.getPath().getName().startswith("part-"))):
+        fs.rename(java(status), java(f"{to}/{stem}-{i}{dot}{ending}"))
+
+
 # ---- exports ----------------------------------------------------------------------------------------------------
 
 

@@ -80,6 +80,7 @@ def test_a_cell_that_is_never_closed_and_odd_headers(spark, tmp_path, tiny_split
     with pytest.raises(ValueError):
         logs.read_csv(spark, str(tmp_path / "b.csv"), ",")
     (tmp_path / "c.csv").write_text("\n" * 100)
+    tiny_splits("4m")
     spark.conf.set("spark.sql.files.openCostInBytes", "4m")  # one split
     assert logs.read_csv(spark, str(tmp_path / "c.csv"), ",").count() == 0
 
