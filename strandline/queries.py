@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from strandline.functions import text as tx
 from strandline.functions.coerce import leading_number, number
 from strandline.functions.timeparse import chrome_time, time_millis
-from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, signatures, stats, timeline
+from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, networks, signatures, stats, timeline
 from strandline.plans import query as q
 from strandline.streaming import live
 
@@ -285,6 +285,27 @@ def ip_range_join(spark, d):
     return joins.range_join(points, "ip", ranges, "lo", "hi", 20).select("event_id", "owner")
 
 
+_NUMBER = "({n} * 2654435761) % 4294967296"
+
+
+@named(f"""WITH n AS (SELECT s_name, s_suppkey % 2 AS family, s_suppkey % 25 + 4 AS len, {_NUMBER.format(n="(s_suppkey % 40)")} AS a FROM supplier),
+e AS (SELECT event_id, event_id % 2 AS family, xor({_NUMBER.format(n="(event_id % 40)")}, event_id * 7919 % (1::BIGINT << (event_id % 29)::INT)) AS a FROM events),
+f AS (SELECT DISTINCT e.family, e.a, n.len, n.s_name FROM (SELECT DISTINCT family, a FROM e) e JOIN n ON e.family = n.family AND (e.a >> (32 - n.len)) = (n.a >> (32 - n.len))),
+b AS (SELECT family, a, min(s_name) AS owner FROM f WHERE (family, a, len) IN (SELECT (family, a, max(len)) FROM f GROUP BY family, a) GROUP BY 1, 2)
+SELECT event_id, coalesce(owner, '') AS "ip.owner" FROM e LEFT JOIN b USING (family, a)""")
+def nested_networks(spark, d):
+    """Addresses of both families under networks that lie in each other; the longest decides."""
+    quad = lambda a: F.concat_ws(".", *[F.floor(a / (1 << s)) % 256 for s in (24, 16, 8, 0)])
+    groups = lambda a, more: F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.floor(a / 65536))), F.lit(":"), F.lower(F.hex(a % 65536)), more)
+    number = lambda n: n * F.lit(2654435761) % F.lit(4294967296)
+    i, k = F.col("event_id"), F.col("s_suppkey")
+    a = number(i % 40).bitwiseXOR(i * 7919 % F.call_function("shiftleft", F.lit(1).cast("long"), (i % 29).cast("int")))
+    events = table(spark, d, "events").select("event_id", F.when(i % 2 == 0, quad(a)).otherwise(groups(a, F.concat(F.lit("::"), F.lower(F.hex(i % 65536))))).alias("ip"))
+    size, n = k % 25 + 4, number(k % 40)
+    nets = table(spark, d, "supplier").select(F.when(k % 2 == 0, F.concat(quad(n), F.lit("/"), size)).otherwise(F.concat(groups(n, F.lit("::/")), size + 32)).alias("cidr"), F.col("s_name").alias("owner"))
+    return networks.longest_network(events, "ip", nets, "cidr", "owner").select("event_id", "`ip.owner`")
+
+
 @named("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '(^|\\.)example\\.(com|net)$') AS nice FROM pages""")
 def nicelisted_hosts(spark, d):
     pages = table(spark, d, "pages").select("page_id", tx.url_host(F.col("url")).alias("host"))
