@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.coerce import text_of
 from strandline.functions.timeparse import column_millis, relative_millis
 from strandline.plans.pushdown import window
+from strandline.sources.folder import work_path
 
 #: Bucket sizes in milliseconds.
 BUCKETS = {"1s": 1_000, "10s": 10_000, "1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "6h": 21_600_000, "1d": 86_400_000, "1w": 604_800_000}
@@ -130,12 +135,59 @@ def histogram_table(hist: DataFrame, size: float) -> DataFrame:
     return wide.select("bucket", stamp(F.col("start")).alias("begin"), stamp(F.col("start") + F.lit(int(size))).alias("end"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in wide.columns[2:]])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n, n + batch.num_rows))], names=[*batch.schema.names, "_part", "_at"])
+        n += batch.num_rows
+
+
+def with_position(df: DataFrame, *order: Column | str) -> tuple[DataFrame, int]:
+    """``df`` with ``_pos``, the place of each row from 0 under ``order``, and the number of rows; no window over all rows.
+
+    Rows are dealt by range, numbered where they lie and written once; one count a partition moves the numbers of each.
+    Rows that are equal under ``order`` stand in any order, so end it with a unique column.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "positions")
+    schema = T.StructType([*df.schema, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered, schema).write.parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    offsets, total = [], 0
+    for r in sorted(kept.groupBy("_part").count().collect()):  # one row a partition
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    moved = F.broadcast(spark.createDataFrame(offsets, "_part int, _before long"))
+    return kept.join(moved, "_part").withColumn("_pos", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before"), total
+
+
+def grid_strips(df: DataFrame, order: list[str], buckets: int, stack: str | None = None) -> DataFrame:
+    """``(strip, bucket, key, n, sus)`` for a grid sorted by ``order``: equal shares of its rows (``position``), and equal spans of ``_t`` (``time``).
+
+    Both strips come from one aggregate. Rows without a time are in the first strip alone; buckets without rows are left out.
+    """
+    sus = F.col("_sus") if "_sus" in df.columns else F.lit(False)
+    needed = df.select(*order, F.col("_t") if "_t" in df.columns else F.lit(None).cast("double").alias("_t"), (text_of(df, stack) if stack else F.lit("")).alias("_key"), sus.alias("_sus"))
+    placed, total = with_position(needed, *order)
+    span = data_range(placed) or (0.0, 1.0)
+    by_position = F.struct(F.lit("position").alias("strip"), F.floor(F.col("_pos") * buckets / F.lit(max(total, 1))).cast("int").alias("bucket"))
+    share = F.least(F.floor((F.col("_t") - F.lit(float(span[0]))) * buckets / F.lit(float(span[1] - span[0]))), F.lit(buckets - 1))
+    by_time = F.struct(F.lit("time").alias("strip"), F.when(F.col("_t").isNotNull(), share.cast("int")).alias("bucket"))
+    each = placed.select(F.explode(F.array(by_position, by_time)).alias("s"), "_key", "_sus").filter("s.bucket is not null")
+    return each.groupBy(F.col("s.strip").alias("strip"), F.col("s.bucket").alias("bucket"), F.col("_key").alias("key")).agg(F.count("*").alias("n"), F.count_if("_sus").alias("sus"))
+
+
+def max_total(hist: DataFrame, *within: str) -> DataFrame:
+    """``max_total``: rows of the fullest bucket over all of its stack keys, for each value of ``within``."""
+    return hist.groupBy(*within, "bucket").agg(F.sum("n").alias("n")).groupBy(*within).agg(F.max("n").alias("max_total"))
+
+
 def stack_ranks(df: DataFrame, stack: str) -> DataFrame:
     """``(key, n, rank)`` of stack keys by their count over the unfiltered table, ties in text order."""
-    from pyspark.sql import Window as W
-
     counts = df.groupBy(text_of(df, stack).alias("key")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "key")))
+    placed, _ = with_position(counts, F.desc("n"), F.asc("key"))
+    return placed.select("key", "n", (F.col("_pos") + 1).cast("int").alias("rank"))
 
 
 def clusters(df: DataFrame, buckets: int = 24, top: int = 5) -> DataFrame:

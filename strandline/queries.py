@@ -153,6 +153,23 @@ def nearest_in_time(spark, d):
     return timeline.nearest_row(events(spark, d), 1705000000000, "event_id").select("event_id")
 
 
+_STRIPS = """WITH e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS t, row_number() OVER (ORDER BY value, event_id) - 1 AS pos, count(*) OVER () AS total, contains(props, '7') AS s FROM events), r AS (SELECT min(t)::DOUBLE AS lo, max(t)::DOUBLE AS hi FROM e),
+b AS (SELECT 'position' AS strip, floor(pos * 200 / total)::INT AS bucket, key, s FROM e UNION ALL SELECT 'time', least(floor((t - lo) * 200 / (hi - lo)), 199)::INT, key, s FROM e, r),
+g AS (SELECT strip, bucket, key, count(*) AS n, count(*) FILTER (s) AS sus FROM b GROUP BY ALL) """
+
+
+@named(_STRIPS + "SELECT * FROM g")
+def grid_strips(spark, d):
+    """A grid sorted by value: its strip by position and its strip by time."""
+    e = timeline.with_sus(events(spark, d), [("props", "7")])
+    return timeline.grid_strips(e, ["value", "event_id"], 200, "event_type")
+
+
+@named(_STRIPS + "SELECT strip, max(n)::BIGINT AS max_total FROM (SELECT strip, bucket, sum(n) AS n FROM g GROUP BY ALL) GROUP BY strip")
+def fullest_bucket(spark, d):
+    return timeline.max_total(timeline.grid_strips(events(spark, d), ["value", "event_id"], 200, "event_type"), "strip")
+
+
 @named("SELECT event_type AS key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type)::INT AS rank FROM events GROUP BY 1")
 def stack_ranking(spark, d):
     return timeline.stack_ranks(table(spark, d, "events"), "event_type")

@@ -284,3 +284,15 @@ def test_indicators_against_brute_force(spark, sf_dir):
                 if len(v) >= (1 if f.kind in indicators._MARKS else 4):
                     want.setdefault(i, {}).setdefault(v, (f.kind, f.severity, text.find(v)))
     assert got == want and len({t for x in want.values() for t, _, _ in x.values()}) >= 9
+
+
+def test_positions_without_a_global_window(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 7919 % 50).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("_t")).repartition(6)
+    placed, total = timeline.with_position(df, F.desc("v"), "id")
+    want = sorted(((-(i * 7919 % 50), i) for i in range(5000)))
+    assert total == 5000 and [r["id"] for r in placed.orderBy("_pos").collect()] == [i for _, i in want]
+    assert [r["_pos"] for r in placed.select("_pos").orderBy("_pos").collect()] == list(range(5000))
+    strips = timeline.grid_strips(df, ["v", "id"], 7)
+    assert {r["strip"]: r["n"] for r in strips.groupBy("strip").agg(F.sum("n").alias("n")).collect()} == {"position": 5000, "time": sum(i % 3 > 0 for i in range(5000))}
+    assert "SinglePartition" not in strips._jdf.queryExecution().executedPlan().toString()
+    assert timeline.grid_strips(df.limit(0), ["v", "id"], 7).count() == 0
