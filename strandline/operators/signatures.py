@@ -4,16 +4,32 @@ A rule names strings (text, hex with ``??`` and ``[n-m]`` jumps, or regex, with
 made of Python-side combinators, so a whole rule set is one projection that Catalyst evaluates in one pass:
 
 >>> rule = Rule("dropper", {"a": Text("powershell", nocase=True), "b": Hex("4D 5A ?? 00")}, any_of("a", "b"))
+
+With many rules, ``scan`` first finds literal atoms: each condition says which strings it needs one of, each string has a
+run of plain characters, and one automaton over all atoms reads a text once. Texts with an atom are kept with the numbers
+of its rules, and only rules that are named there become expressions; rules without atoms are tested everywhere.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandline.sources.folder import work_path
+
+#: Rules up to here are tested on every text; more go through the automaton.
+PLAIN_RULES = 16
+#: Shorter runs of characters are no atoms.
+ATOM = 3
+#: Rules in one projection; a larger one is too long for generated code.
+TOGETHER = 48
 
 
 @dataclass(frozen=True)
@@ -29,6 +45,9 @@ class Text:
             body = rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
         return ("(?i)" if self.nocase else "") + body
 
+    def atom(self) -> str:
+        return "".join(c + ("\0" if self.wide else "") for c in self.value)
+
 
 @dataclass(frozen=True)
 class Hex:
@@ -51,6 +70,15 @@ class Hex:
                 out += f"\\x{token}"
         return "(?s)" + out
 
+    def atom(self) -> str:
+        runs, tokens = [""], re.findall(r"\[[^\]]*\]|\([^)]*\)|[0-9A-Fa-f?]{2}", self.value)
+        for token in tokens:
+            if re.fullmatch("[0-9A-Fa-f]{2}", token):
+                runs[-1] += chr(int(token, 16))
+            else:
+                runs.append("")
+        return max(runs, key=len)
+
 
 @dataclass(frozen=True)
 class Regex:
@@ -60,6 +88,40 @@ class Regex:
     def pattern(self) -> str:
         return ("(?i)" if self.nocase else "") + self.value
 
+    def atom(self) -> str:
+        """The longest run of literals outside groups, classes and repeats; none where alternatives or unknown syntax stand."""
+        runs, at, value = [""], 0, re.sub(r"^\(\?[a-z]+\)", "", self.value)
+        if re.search(r"[|]|\\[QE]|\(\?[a-z-]*x", value) or value != self.value and "x" in self.value.split(")")[0]:
+            return ""
+        token = re.compile(r"(\\[^A-Za-z0-9]|[^\\\[\](){}*+?.^$|])|(\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|[.^$])|([*+?{])|(\()", re.DOTALL)
+        while at < len(value):
+            m = token.match(value, at)
+            if not m:
+                return ""
+            if m[1]:
+                runs[-1] += m[1][-1]
+            elif m[2]:
+                runs.append("")
+            elif m[3]:
+                runs[-1] = runs[-1][:-1]  # the repeated character may be missing
+                runs.append("")
+                if m[3] == "{":
+                    end = value.find("}", at)
+                    if end < 0:
+                        return ""
+                    at = end + 1
+                    continue
+            else:  # a group says nothing here
+                deep, at = 1, at + 1
+                while at < len(value) and deep:
+                    inner = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.DOTALL).match(value, at)
+                    deep += (inner[0] == "(") - (inner[0] == ")")
+                    at = inner.end()
+                runs.append("")
+                continue
+            at = m.end()
+        return max(runs, key=len)
+
 
 @dataclass
 class View:
@@ -83,8 +145,18 @@ def _named(view: View, names: tuple[str, ...]) -> list[str]:
     return [s for s in view.strings if not names or any(s == n or n.endswith("*") and s.startswith(n[:-1]) for n in names)]
 
 
+def _needing(condition: Condition, needs: Callable[[list[str]], list[str] | None]) -> Condition:
+    """``needs``: of a rule's string names, those of which one at least must occur; None if the condition can hold without."""
+    condition.needs = needs
+    return condition
+
+
+def _matching(strings: list[str], names: tuple[str, ...]) -> list[str]:
+    return [s for s in strings if not names or any(s == n or n.endswith("*") and s.startswith(n[:-1]) for n in names)]
+
+
 def of(least: int, *names: str) -> Condition:
-    return lambda v: sum((v.has(n).cast("int") for n in _named(v, names)), F.lit(0)) >= least
+    return _needing(lambda v: sum((v.has(n).cast("int") for n in _named(v, names)), F.lit(0)) >= least, lambda s: _matching(s, names) if least > 0 else None)
 
 
 def any_of(*names: str) -> Condition:
@@ -92,41 +164,49 @@ def any_of(*names: str) -> Condition:
 
 
 def all_of(*names: str) -> Condition:
-    return lambda v: of(len(_named(v, names)), *names)(v)
+    return _needing(lambda v: of(len(_named(v, names)), *names)(v), lambda s: _matching(s, names) or None)
 
 
 def count_over(name: str, n: int) -> Condition:
-    return lambda v: v.count(name) > n
+    return _needing(lambda v: v.count(name) > n, lambda s: [name] if n >= 0 else None)
 
 
 def at(name: str, offset: int) -> Condition:
-    return lambda v: F.substring(v.content, offset + 1, 1 << 30).rlike("^(?:" + _lifted(v.strings[name]) + ")")
+    return _needing(lambda v: F.substring(v.content, offset + 1, 1 << 30).rlike("^(?:" + _lifted(v.strings[name]) + ")"), lambda s: [name])
 
 
 def within(name: str, lo: int, hi: int) -> Condition:
-    return lambda v: (F.regexp_instr(F.substring(v.content, lo + 1, 1 << 30), F.lit(v.strings[name])) - 1).between(0, hi - lo)
+    return _needing(lambda v: (F.regexp_instr(F.substring(v.content, lo + 1, 1 << 30), F.lit(v.strings[name])) - 1).between(0, hi - lo), lambda s: [name])
 
 
 def size_under(n: int) -> Condition:
-    return lambda v: F.length(v.content) < n
+    return _needing(lambda v: F.length(v.content) < n, lambda s: None)
 
 
 def uint(offset: int, width: int, value: int, big: bool = False) -> Condition:
     """``width`` bytes at ``offset`` as an unsigned number equal ``value``."""
     wanted = value.to_bytes(width, "big" if big else "little").decode("latin-1")
-    return lambda v: F.substring(v.content, offset + 1, width) == F.lit(wanted)
+    return _needing(lambda v: F.substring(v.content, offset + 1, width) == F.lit(wanted), lambda s: None)
 
 
 def both(*conditions: Condition) -> Condition:
-    return lambda v: F.array_min(F.array(*[c(v) for c in conditions]))
+    def needs(s: list[str]) -> list[str] | None:
+        found = [n for n in (c.needs(s) for c in conditions) if n is not None]
+        return min(found, key=len) if found else None
+
+    return _needing(lambda v: F.array_min(F.array(*[c(v) for c in conditions])), needs)
 
 
 def either(*conditions: Condition) -> Condition:
-    return lambda v: F.array_max(F.array(*[c(v) for c in conditions]))
+    def needs(s: list[str]) -> list[str] | None:
+        found = [c.needs(s) for c in conditions]
+        return None if any(n is None for n in found) else [x for n in found for x in n]
+
+    return _needing(lambda v: F.array_max(F.array(*[c(v) for c in conditions])), needs)
 
 
 def negate(condition: Condition) -> Condition:
-    return lambda v: ~condition(v)
+    return _needing(lambda v: ~condition(v), lambda s: None)
 
 
 def _lifted(pattern: str) -> str:
@@ -146,13 +226,78 @@ class Rule:
         return F.coalesce(self.condition(View(content, {k: s.pattern() for k, s in self.strings.items()})), F.lit(False))
 
 
+    def atoms(self) -> list[str] | None:
+        """Lower-case literals of which one occurs in every text that matches; None if there are none to name."""
+        needed = getattr(self.condition, "needs", lambda s: None)(list(self.strings))
+        if needed is None:
+            return None
+        found = [_lower(self.strings[n].atom()) for n in needed]
+        return None if any(len(a) < ATOM for a in found) else sorted(set(found))
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """A-Z alone, as patterns without letter case mean it."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def latin1(c: Column) -> Column:
     """Binary content with one character a byte."""
     return F.decode(c, "ISO-8859-1")
 
 
+@lru_cache(maxsize=4)
+def _automaton(atoms: tuple[tuple[str, tuple[int, ...]], ...]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for atom, numbers in atoms:
+        out.add_word(atom, numbers)
+    out.make_automaton()
+    return out
+
+
+def _candidates(atoms: tuple[tuple[str, tuple[int, ...]], ...]):
+    """Adds ``_rules``: the numbers of the rules of which an atom occurs in ``_c``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(atoms)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("_c")).to_pylist()
+            rows = [sorted({n for numbers in {numbers for _, numbers in found.iter(_lower(t))} for n in numbers}) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], names=[*batch.schema.names, "_rules"])
+
+    return run
+
+
 def scan(df: DataFrame, key: str, content: Column, rules: list[Rule]) -> DataFrame:
     """``(key, rule, hits)`` of all rules that match; ``hits`` counts matches of all their strings."""
-    found = [F.when(r.column(F.col("_c")), F.struct(F.lit(r.name).alias("rule"), sum((F.regexp_count(F.col("_c"), F.lit(s.pattern())) for s in r.strings.values()), F.lit(0)).cast("long").alias("hits"))) for r in rules]
     rows = df.select(key, F.coalesce(content, F.lit("")).alias("_c"))
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.rule", "r.hits")
+    atoms: dict[str, list[int]] = {}
+    bound = set()
+    if len(rules) > PLAIN_RULES:
+        for i, r in enumerate(rules):
+            for atom in r.atoms() or ():
+                atoms.setdefault(atom, []).append(i)
+                bound.add(i)
+    if not bound:
+        found = [_result(r, F.lit(True)) for r in rules]
+        return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.rule", "r.hits")
+    numbered = tuple((a, tuple(n)) for a, n in sorted(atoms.items()))
+    spark, path = df.sparkSession, work_path(df.sparkSession, "candidates")
+    schema = T.StructType([*rows.schema, T.StructField("_rules", T.ArrayType(T.IntegerType()))])
+    rows.mapInArrow(_candidates(numbered), schema).filter(F.size("_rules") > 0).write.parquet(path)
+    held = spark.read.schema(schema).parquet(path)
+    near = sorted(r["i"] for r in held.select(F.explode("_rules").alias("i")).distinct().collect())  # at most one a rule
+    free = [i for i in range(len(rules)) if i not in bound]
+    parts = [(held, near[i : i + TOGETHER], lambda i: F.array_contains("_rules", i)) for i in range(0, len(near), TOGETHER)]
+    parts += [(rows, free[i : i + TOGETHER], lambda i: F.lit(True)) for i in range(0, len(free), TOGETHER)]
+    tested = [of_rows.select(key, F.explode(F.array_compact(F.array(*[_result(rules[i], when(i)) for i in some]))).alias("r")).select(key, "r.rule", "r.hits") for of_rows, some, when in parts]
+    return reduce(DataFrame.unionByName, tested) if tested else spark.createDataFrame([], T.StructType([rows.schema[key], T.StructField("rule", T.StringType()), T.StructField("hits", T.LongType())]))
+
+
+def _result(r: Rule, when: Column) -> Column:
+    hits = sum((F.regexp_count(F.col("_c"), F.lit(s.pattern())) for s in r.strings.values()), F.lit(0)).cast("long")
+    return F.when(when & r.column(F.col("_c")), F.struct(F.lit(r.name).alias("rule"), hits.alias("hits")))
