@@ -296,3 +296,19 @@ def test_positions_without_a_global_window(spark):
     assert {r["strip"]: r["n"] for r in strips.groupBy("strip").agg(F.sum("n").alias("n")).collect()} == {"position": 5000, "time": sum(i % 3 > 0 for i in range(5000))}
     assert "SinglePartition" not in strips._jdf.queryExecution().executedPlan().toString()
     assert timeline.grid_strips(df.limit(0), ["v", "id"], 7).count() == 0
+
+
+def test_event_indicators_keep_the_first_of_equal_values(spark):
+    from strandline.operators import lookups
+
+    fields = list(lookups.EVENT_FIELDS)
+    a, b = next((x, y) for x in fields for y in fields if lookups.EVENT_FIELDS[x] != lookups.EVENT_FIELDS[y])
+    df = spark.createDataFrame([(1, f"{a}=Same Value | {b}=SAME value | {b}x=other"), (2, f"{b}=SAME value | {a}=Same Value")], "id int, data string").repartition(3)
+    got = {r["id"]: (r["type"], r["value"]) for r in lookups.event_indicators(df, "id", "data").collect()}
+    assert got == {1: (lookups.EVENT_FIELDS[a], "Same Value"), 2: (lookups.EVENT_FIELDS[b], "SAME value")}
+
+
+def test_written_around_indicators_are_medium(spark):
+    df = spark.createDataFrame([(1, "see hxxp://bad[.]com/x and 8.8.8[.]8"), (2, "see http://plain.com")], "id int, t string")
+    got = {(r["id"], r["value"]): r["severity"] for r in indicators.defanged(df, "id", "t").collect()}
+    assert got[1, "http://bad.com/x"] == "medium" and got[1, "8.8.8.8"] == "medium" and not any(i == 2 for i, _ in got)
