@@ -65,3 +65,10 @@ def test_edges(spark):
     for bad in [(None, "/", "block"), ("", "/", "block"), ("a", "/", "deny"), ("a", "/", None)]:
         with pytest.raises(ValueError):
             url_filter.judge(some, spark.createDataFrame([bad], RULES))
+
+
+def test_very_deep_rules_travel(spark):
+    """A trie deeper than a pickle may be: the rules are sent, and each worker builds it."""
+    rules = spark.createDataFrame([("a." * 2000 + "com", "/" + "x/" * 3000, "block")], RULES)
+    urls = spark.createDataFrame([("http://b." + "a." * 2000 + "com/" + "x/" * 3000 + "y",), ("http://" + "a." * 2000 + "com/" + "x/" * 2999,)], "url string")
+    assert [r["verdict"] for r in url_filter.judge(urls, rules).collect()] == ["block", "allow"]
