@@ -19,7 +19,9 @@ Kinds, and what validates them:
 * ``ipv6``: an address in any spelling, with a digit and either three groups or a first group of four digits (so that
   ``a::b`` of programs stays); the pseudonym is in the short spelling, and an embedded IPv4 address becomes groups;
 * ``date``: a real day of 1900-2099 as year-month-day, or day and month (either order) before the year; ``T`` and a time
-  may follow; a day or month without its leading zero is written without one again;
+  may follow; a day or month without its leading zero is written without one again. Where both orders would do, the day
+  comes first; so days up to the 12th of a month are permuted among themselves and later ones, which have one reading,
+  among themselves, and a day has one pseudonym in all orders;
 * ``ssn``: 3-2-4 digits in the ranges that are given out; the pseudonym is in them too;
 * ``secret``: 16 or more letters and digits after ``token``, ``secret``, ``password`` or ``key`` and ``=`` or ``:``;
 * ``credential``: keys of cloud, repository, chat, payment and web services that begin with one of ``CREDENTIALS``; that
@@ -238,9 +240,14 @@ def _as_date(m: re.Match) -> tuple[datetime.date, str] | None:
 
 
 def _date(text: str, key: bytes) -> str:
+    """Walks on through the permutation of all days until the order of the parts can be read back as it is here."""
     m = _DATE.fullmatch(text)
     day, order = _as_date(m)
-    new = datetime.date.fromordinal(_FIRST_DAY + permute([day.toordinal() - _FIRST_DAY], [_DAYS], key, "date")[0])
+    new, late = day, day.day > 12
+    while True:
+        new = datetime.date.fromordinal(_FIRST_DAY + permute([new.toordinal() - _FIRST_DAY], [_DAYS], key, "date")[0])
+        if (new.day > 12) == late:
+            break
     sep = m[2] or m[6]
     short = any(len(p) == 1 for p in text.split(sep))
     wide = {"y": 4, "m": 1 if short else 2, "d": 1 if short else 2}

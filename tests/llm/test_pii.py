@@ -102,6 +102,21 @@ def test_dates_keep_their_zeros():
     assert len({pii.pseudonym("date", x, KEY) for x in padded}) == len(padded)
 
 
+def test_no_two_days_share_a_pseudonym_in_any_order():
+    """All spelled days of 1900-2099: what is read back is a day of its own, and the same one from every order."""
+    first = datetime.date(1900, 1, 1)
+    seen = {}
+    for n in range((datetime.date(2100, 1, 1) - first).days):
+        day = first + datetime.timedelta(n)
+        spelled = [f"{day:%Y-%m-%d}", f"{day:%d/%m/%Y}"] + [f"{day:%m/%d/%Y}"] * (day.day > 12)
+        new = [pii._date(s, KEY) for s in spelled]
+        year, month, of_month = new[0].split("-")
+        assert new[1] == f"{of_month}/{month}/{year}" and new[2:] == [f"{month}/{of_month}/{year}"] * (day.day > 12)
+        assert {pii._as_date(pii._DATE.fullmatch(x))[0].isoformat() for x in new} == {new[0]}
+        for x in new:
+            assert seen.setdefault(x, day) == day
+
+
 def test_account_numbers():
     for value in ("GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR1420041010050500013M02606"):
         new, spans = pii.replace(f"to {value}, now", KEY)
