@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from strandline.functions import text as tx
 from strandline.functions.coerce import leading_number, number
 from strandline.functions.timeparse import chrome_time, time_millis
-from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, networks, signatures, stats, timeline
+from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, networks, reassemble, signatures, stats, timeline
 from strandline.plans import query as q
 from strandline.streaming import live
 
@@ -459,6 +459,38 @@ def decoded_layers(spark, d):
     return found.filter("class = 'text' and payload_text like '% %'").select("n_nationkey", "depth", "payload_text", F.array_join("chain", ">").alias("chain"))
 
 
+def _encoded(spark, d):
+    """Each whole text twice in one line: in base64, and in hex over base64; every second document's parts run something."""
+    code = lambda c: F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", "")
+    runs = F.col("doc_id") % 2 == 0
+    text = F.coalesce("text", F.lit(""))
+    one = code(F.concat(F.when(runs, "powershell -c get https://h").otherwise("the first of the parts, number "), "doc_id", F.lit(".example/x and "), text))
+    two = F.lower(F.hex(code(F.concat(F.when(runs, "cmd.exe /c start the rest ").otherwise("the second of the parts "), text))))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("set a "), one, F.lit(" then "), two, F.lit(" !")).alias("body"))
+
+
+@named("SELECT doc_id, 'set a powershell -c get https://h' || doc_id || '.example/x and ' || coalesce(text, '') || ' then cmd.exe /c start the rest ' || coalesce(text, '') || ' !' AS rebuilt, 2 AS n_spans FROM documents WHERE doc_id % 2 = 0")
+def rebuilt_texts(spark, d):
+    """Whole documents, encoded side by side and in two layers, put together again where they run something."""
+    nodes = reassemble.pruned(reassemble.tree(_encoded(spark, d), "doc_id", "body", 2), reassemble.RUNS)
+    return reassemble.rebuilt(nodes, "doc_id", 2).select("doc_id", "rebuilt", "n_spans")
+
+
+@named("SELECT doc_id, unnest(['', 'base64', 'hex', 'hex>base64']) AS chain, unnest([0, 1, 1, 2]) AS depth FROM documents WHERE doc_id % 2 = 0")
+def pruned_findings(spark, d):
+    """Of the trees of all documents the branches that lead to something that runs; a carrier stays for what it carries."""
+    nodes = reassemble.pruned(reassemble.tree(_encoded(spark, d), "doc_id", "body", 2), reassemble.RUNS)
+    return nodes.select(F.col("_key").alias("doc_id"), F.array_join("chain", ">").alias("chain"), "depth")
+
+
+@named("SELECT doc_id, 'https://h' || doc_id || '.example/x' AS value FROM documents WHERE doc_id % 2 = 0")
+def hidden_urls(spark, d):
+    """URLs that only the rebuilt texts show, but for those of the documents themselves."""
+    nodes = reassemble.pruned(reassemble.tree(_encoded(spark, d), "doc_id", "body", 2), reassemble.RUNS)
+    found = reassemble.hidden_indicators(reassemble.rebuilt(nodes, "doc_id", 2), "doc_id")
+    return found.filter((F.col("type") == "URL") & F.col("value").rlike(r"^https://h\d+\.example/x$")).select("doc_id", "value")
+
+
 RULES = [
     signatures.Rule("license", {"a": signatures.Text("licen", nocase=True), "b": signatures.Text("GNU", fullword=True)}, signatures.any_of()),
     signatures.Rule("token", {"t": signatures.Regex(r"token = .[0-9a-f]{40}")}, signatures.all_of()),
