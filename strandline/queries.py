@@ -13,6 +13,7 @@ from strandline.functions.coerce import leading_number, number
 from strandline.functions.timeparse import chrome_time, time_millis
 from strandline.operators import decode, detect, extract, indicators, joins, lookups, merge, networks, reassemble, signatures, stats, timeline
 from strandline.plans import query as q
+from strandline.sources.folder import work_path
 from strandline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,6 +565,18 @@ def live_hourly_histogram(spark, d):
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "key", "n")
 
 
+@named("""SELECT 'facet' AS kind, 'event_type' AS name, event_type AS value, count(*) AS n, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM events GROUP BY ALL
+UNION ALL SELECT 'time', 'ts', (epoch_us(ts) // 86400000000 * 86400000)::BIGINT::VARCHAR, count(*), min(epoch_us(ts) // 1000), max(epoch_us(ts) // 1000) FROM events GROUP BY ALL""")
+def live_merge_counts(spark, d):
+    """The events as a folder of files that a stream takes a few at a time; each batch adds its counts to those kept."""
+    source, folder, marks = (work_path(spark, n) for n in ("merge-in", "merge-counts", "merge-marks"))
+    table(spark, d, "events").repartition(8, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 3).parquet(source)
+    run = stream.writeStream.foreachBatch(live.keep_counts(folder, ["event_type"], "ts", 86_400_000)).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return live.kept_counts(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
