@@ -89,12 +89,31 @@ def numeric_host(host: Column) -> Column:
     return F.when(shaped, F.coalesce(F.when(fits, quad), host)).otherwise(host)
 
 
+#: Escapes of one code point or more: runs of four-digit units, with surrogates in pairs; braces; two digits.
+_ESCAPES = r"(?:\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})+|\\u\{(?:10[0-9a-fA-F]{4}|0?[1-9a-fA-F][0-9a-fA-F]{4}|0{0,2}(?![dD][89a-fA-F][0-9a-fA-F]{2}\})[0-9a-fA-F]{1,4})\}|\\x[0-9a-fA-F]{2}"
+ESCAPE_PASSES = 3
+
+
+def _unescaped(c: Column) -> Column:
+    """One pass over a text: what stands between escapes, and these decoded."""
+    digits = lambda m, mark: F.unhex(F.replace(m, F.lit(mark), F.lit("")))
+    point = lambda m: F.unhex(F.lpad(F.regexp_extract(m, r"([0-9a-fA-F]+)", 1), 8, "0"))
+    plain = F.transform(
+        F.regexp_extract_all(c, F.lit(_ESCAPES), F.lit(0)),
+        lambda m: F.when(m.startswith("\\x"), F.decode(digits(m, "\\x"), "ISO-8859-1")).when(m.startswith("\\u{"), F.decode(point(m), "UTF-32")).otherwise(F.decode(digits(m, "\\u"), "UTF-16BE")),
+    )
+    return F.array_join(F.zip_with(F.split(c, _ESCAPES, -1), plain, lambda between, m: F.concat(between, F.coalesce(m, F.lit("")))), "")
+
+
 def decoded_escapes(c: Column) -> Column:
-    r"""Percent triplets, and ``\\xNN``, ``\\uNNNN`` and ``\\u{NN}`` of ASCII, decoded; a malformed triplet stays as it is."""
-    marked = F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\(?:x|u00|u\{0*)([0-7][0-9a-fA-F])(?:(?<=u\{0{0,6}..)\})?", "%$1")).otherwise(c)
+    r"""``\\xNN``, ``\\uNNNN`` and ``\\u{N}`` of any code point, escapes of escapes up to three deep, then percent triplets, decoded.
+
+    A malformed triplet, half of a surrogate pair and a number that is no code point stay as they are.
+    """
+    marked = F.when(F.contains(c, F.lit("\\")), F.aggregate(F.sequence(F.lit(1), F.lit(ESCAPE_PASSES)), c, lambda text, _: _unescaped(text))).otherwise(c)
     text = F.replace(marked, F.lit("+"), F.lit("%2B"))
     alone = F.try_url_decode(F.regexp_replace(text, r"%(?![0-7][0-9A-Fa-f])", "%25"))
-    return F.when(F.contains(marked, F.lit("%")), F.coalesce(F.try_url_decode(text), alone, c)).otherwise(marked)
+    return F.when(F.contains(marked, F.lit("%")), F.coalesce(F.try_url_decode(text), alone, marked)).otherwise(marked)
 
 
 def normal_url(url: Column) -> Column:
