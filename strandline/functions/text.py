@@ -74,19 +74,21 @@ def safe_link(url: Column) -> Column:
 
 def numeric_host(host: Column) -> Column:
     """Hosts of one to four decimal, hex or octal numbers as dotted quads, the last number filling the rest; others unchanged."""
-    parts = F.split(F.lower(host), r"\.")
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # a value that is used often is not written out again
     number = lambda p: F.when(p.startswith("0x"), F.conv(F.substring(p, 3, 8), 16, 10)).when(p.rlike("^0[0-7]"), F.conv(p, 8, 10)).otherwise(p).try_cast("long")
-    values = F.transform(parts, number)
-    n = F.size(parts)
-    last = F.element_at(values, -1)
-    head = F.slice(values, 1, F.greatest(n - 1, F.lit(0)))
-    front = F.aggregate(head, F.lit(0).cast("long"), lambda a, v: a * 256 + v)
-    room = F.element_at(F.array(*[F.lit(1 << 8 * k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
-    whole = front * room + last
-    fits = (n <= 4) & F.forall(head, lambda v: v.between(0, 255)) & last.between(0, room - 1)
-    quad = F.concat_ws(".", *[F.shiftright(whole, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    quad = lambda whole: F.concat_ws(".", *[F.shiftright(whole, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+
+    def joined(values: Column) -> Column:
+        n, last = F.size(values), F.element_at(values, -1)
+        head = F.slice(values, 1, n - 1)
+        front = F.aggregate(head, F.lit(0).cast("long"), lambda a, v: a * 256 + v)
+        room = F.element_at(F.array(*[F.lit(1 << 8 * k) for k in (4, 3, 2, 1)]), n)
+        fits = F.forall(head, lambda v: v.between(0, 255)) & last.between(0, room - 1)
+        return F.when(fits, once(front * room + last, quad))
+
     shaped = host.rlike(r"(?i)^(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9]\d{0,9})(?:\.(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9]\d{0,9})){0,3}$")
-    return F.when(shaped, F.coalesce(F.when(fits, quad), host)).otherwise(host)
+    read = once(F.transform(F.split(F.lower(host), r"\."), number), joined)
+    return F.when(shaped, F.coalesce(read, host)).otherwise(host)
 
 
 #: Escapes of one code point or more: runs of four-digit units, with surrogates in pairs; braces; two digits.

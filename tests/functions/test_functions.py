@@ -46,3 +46,17 @@ def test_text(spark, fn, given, wanted):
 def test_sizes_and_entropy(spark):
     assert [r[0] for r in spark.createDataFrame([(512,), (1536,), (3 << 20,)], "n long").select(text.byte_size(F.col("n"))).collect()] == ["512 B", "1.5 KB", "3.0 MB"]
     assert [r[0] for r in spark.createDataFrame([("",), ("aaaa",), ("abcd",)], "v string").select(text.entropy(F.col("v"))).collect()] == [0.0, 0.0, 2.0]
+
+
+def test_numeric_hosts_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.functions import text as tx
+    from strandline.operators.joins import ipv4_number
+
+    hosts = ["2130706433", "0x7f.1", "0177.0.0.01", "1.2.65536", "1.2.3.4.5", "256.1", "08.1", "4294967296", "", None, "a.b"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = [r[0] for r in df.select(tx.numeric_host(F.col("h"))).collect()]
+    assert got == ["127.0.0.1", "127.0.0.1", "127.0.0.1", "1.2.65536", "1.2.3.4.5", "256.1", "08.1", "4294967296", "", None, "a.b"]
+    plan = df.select(tx.numeric_host(F.col("h")).alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
