@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Splits are sent to every task up to so many (some 30 bytes each); more are joined by split.
 BROADCAST_SPLITS = 500_000
+#: Splits that are read by one task hold about so many bytes together, if there are more of them than four a core.
+TASK_BYTES = 64 << 20
 
 
 def ends_inside(line: str, inside: bool, sep: str) -> bool:
@@ -196,6 +198,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str) -> Data
     raw = spark.read.option("lineSep", "\n").text(path)
     meta = F.col("_metadata")
     lines = raw.select(F.xxhash64(meta["file_path"]).alias("_f"), meta["file_block_start"].alias("_b"), meta["file_block_length"].alias("_l"), "value", F.monotonically_increasing_id().alias("_at"))
+    lines = _together(spark, lines)
     states = _kept(split_states(lines, sep))
     if not states.groupBy("_f").agg(F.count("header").alias("n"), F.max("_b").alias("last"), F.bool_or("ends").alias("open")).filter("n = 0 and (last > 0 or open)").isEmpty():
         raise ValueError("a header must end within the first split of its file")
@@ -238,6 +241,14 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str) -> Data
     return rows.select(*shown, extra.alias("_extra"))
 
 
+def _together(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Small splits, many to a task: a task costs more than some kilobytes of text do. The splits stay as they were cut."""
+    cut = lines.rdd.getNumPartitions()
+    size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-cut * size // TASK_BYTES))
+    return lines.coalesce(tasks) if tasks < cut else lines
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """One row a split, written once."""
     from strandline.sources.folder import work_path

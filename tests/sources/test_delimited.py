@@ -102,3 +102,20 @@ def test_other_splits_are_an_error(spark, tmp_path, tiny_splits):
     tiny_splits(130)
     with pytest.raises(Exception, match="other splits"):
         logs.read_csv(spark, str(tmp_path / "a.csv"), ",") and df.select("a", "b").collect()
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    from strandline.sources import delimited, logs
+
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(30_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = spark.read.option("lineSep", "\n").text(str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 80 and delimited._together(spark, lines).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        rows = logs.read_csv(spark, str(tmp_path), ",").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((int(r["a"]), r["b"]) for r in rows) == [(i, f"x\n{i}") for i in range(30_000)]
