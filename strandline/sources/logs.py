@@ -22,6 +22,8 @@ from strandline.sources.delimited import read_delimited
 MAX_COLUMNS = 256
 #: Header lines of all files that are sent to every task; more are joined by file.
 BROADCAST_HEADERS = 20_000
+#: Lines, in order, in which the first record is looked for before all are parsed for it.
+FIRST_LINES = 100
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -97,9 +99,15 @@ def _locked(maps: DataFrame, first: list[str], fixed: list[str] = ()) -> DataFra
     return maps.select(*fixed, *[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit("")).alias(c) for c in names], F.when(F.size(rest) > 0, F.to_json(rest)).otherwise("").alias("_extra"))
 
 
-def _first_keys(maps: DataFrame) -> list[str]:
-    row = maps.orderBy("_file", "_line").select(F.map_keys("m").alias("k")).first() if "_line" in maps.columns else maps.select(F.map_keys("m").alias("k")).first()
-    return row["k"] if row else []
+def _first_keys(lines: DataFrame, read: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """The keys of the first record that ``read`` finds; all lines are parsed for it only if none of the first ones is one."""
+    in_order = lambda rows: rows.orderBy("_file", "_line") if "_line" in lines.columns else rows
+    first = lines.sparkSession.createDataFrame(in_order(lines).limit(FIRST_LINES).collect(), lines.schema)
+    for some in (first.coalesce(1), lines):
+        row = in_order(read(some)).select(F.map_keys("m").alias("k")).first()
+        if row:
+            return row["k"]
+    return []
 
 
 def json_lines(lines: DataFrame, most: int = MAX_COLUMNS, depth: int = 8) -> DataFrame:
@@ -108,8 +116,9 @@ def json_lines(lines: DataFrame, most: int = MAX_COLUMNS, depth: int = 8) -> Dat
     What lies deeper than ``depth`` stays JSON in its column. Every leaf of a record is in a column or, under its dotted
     path, in ``_extra``: leaves that the first record lacks, those past ``most``, and those inside its own objects.
     """
-    maps = lines.withColumn("m", flat_map(F.col("value"), depth)).filter("m is not null")
-    return _locked(maps, _first_keys(maps)[:most])
+    # an explode, as a filter on the map would parse every line twice
+    read = lambda some: some.select("*", F.explode(F.filter(F.array(flat_map(F.col("value"), depth)), F.isnotnull)).alias("m"))
+    return _locked(read(lines), _first_keys(lines, read)[:most])
 
 
 #: The columns of a cloud audit record.
@@ -120,47 +129,66 @@ def cloudtrail(lines: DataFrame) -> DataFrame:
     """Audit records, one a line or inside ``{"Records": [...]}``; leaves without a column go to ``_extra`` by their dotted paths."""
     records = F.from_json(F.get_json_object("value", "$.Records"), "array<string>")
     each = lines.select(F.explode(F.coalesce(records, F.array("value"))).alias("value")).filter(F.json_object_keys("value").isNotNull())
-    maps = each.select(flat_map(F.col("value"), whole=("requestParameters", "responseElements")).alias("m")).filter("m is not null")
+    maps = each.select(F.explode(F.filter(F.array(flat_map(F.col("value"), whole=("requestParameters", "responseElements"))), F.isnotnull)).alias("m"))
     return _locked(maps, list(CLOUDTRAIL))
 
 
 def _pairs(text: Column, pattern: str, clean: Callable[[Column], Column]) -> Column:
     """A map from all (key, value) matches of ``pattern`` (groups 1 and 2); the last of equal keys wins."""
-    keys, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), clean(F.get(F.reverse(values), F.array_position(F.reverse(keys), k).cast("int") - 1)).alias("v")))
-    return F.map_from_entries(last)
+    backwards = lambda group: F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    return _last_of(backwards(1), backwards(2), clean)
 
 
-def cef(lines: DataFrame) -> DataFrame:
-    """Common Event Format: seven header columns, then the keys of the first record, the rest in ``_extra``."""
+def _last_of(keys: Column, values: Column, clean: Callable[[Column], Column] = lambda v: v) -> Column:
+    """A map of keys and values that are listed backwards, so that the last of equal keys wins; keys in their first order.
+
+    Both lists are bound by a lambda: they would be computed anew for every key otherwise.
+    """
+    value = lambda x, k: F.transform(F.array(F.get(x["v"], F.array_position(x["k"], k).cast("int") - 1)), clean)[0]
+    entries = lambda x: F.transform(F.array_distinct(F.reverse(x["k"])), lambda k: F.struct(k.alias("k"), value(x, k).alias("v")))
+    return F.map_from_entries(F.get(F.transform(F.array(F.struct(keys.alias("k"), values.alias("v"))), entries), F.lit(0)))
+
+
+_CEF = ["version", "vendor", "product", "device_version", "signature", "name", "severity", "ext"]
+
+
+def _cef_maps(lines: DataFrame) -> DataFrame:
     field = r"((?:\\.|[^|\\])*)"
     pattern = r"CEF:\s*(\d+)\|" + r"\|".join([field] * 6) + r"\|(.*)$"
-    names = ["version", "vendor", "product", "device_version", "signature", "name", "severity", "ext"]
-    out = _cells(lines, pattern, names)
+    out = _cells(lines, pattern, _CEF)
     plain = lambda c: F.regexp_replace(c, r"\\([|\\=])", "$1")
     value = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([|\\=])", "$1"))
-    maps = out.withColumns({c: plain(F.col(c)) for c in names[:-1]}).withColumn("m", _pairs(F.col("ext"), r"(?:^|\s)([\w.\[\]-]+)=((?:\\.|(?!\s+[\w.\[\]-]+=)[^\\])*)", value))
-    return _locked(maps, _first_keys(maps), names[:-1])
+    return out.withColumns({c: plain(F.col(c)) for c in _CEF[:-1]}).withColumn("m", _pairs(F.col("ext"), r"(?:^|\s)([\w.\[\]-]+)=((?:\\.|(?!\s+[\w.\[\]-]+=)[^\\])*)", value))
 
 
-def leef(lines: DataFrame) -> DataFrame:
-    """LEEF 1.0 and 2.0; version 2 may name its delimiter, as a character or ``x09``."""
+def cef(lines: DataFrame) -> DataFrame:
+    """Common Event Format: seven header columns, then the keys of the first record, the rest in ``_extra``."""
+    return _locked(_cef_maps(lines), _first_keys(lines, _cef_maps), _CEF[:-1])
+
+
+def _leef_maps(lines: DataFrame) -> DataFrame:
     pattern = r"LEEF:\s*([12])(?:\.0)?\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(?:((?:0?[xX][0-9a-fA-F]{1,4}|[^|\t=])?)\|)?(.*)$"
     out = _cells(lines, pattern, ["version", "vendor", "product", "device_version", "event_id", "delimiter", "ext"])
     code = F.conv(F.regexp_extract("delimiter", r"(?i)^0?x([0-9a-f]+)$", 1), 16, 10)
     delimiter = F.when((F.col("version") == "1") | (F.col("delimiter") == ""), "\t").when(code.isNotNull(), F.char(code.try_cast("int"))).otherwise(F.col("delimiter"))
     parts = F.filter(F.split(F.col("ext"), F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E"))), lambda p: p.contains("="))
     keys, values = F.transform(parts, lambda p: F.trim(F.substring_index(p, "=", 1))), F.transform(parts, lambda p: F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1))
-    last = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.get(F.reverse(values), F.array_position(F.reverse(keys), k).cast("int") - 1).alias("v")))
-    maps = out.withColumn("m", F.map_from_entries(last))
-    return _locked(maps, _first_keys(maps), ["version", "vendor", "product", "device_version", "event_id"])
+    return out.withColumn("m", _last_of(F.reverse(keys), F.reverse(values)))
+
+
+def leef(lines: DataFrame) -> DataFrame:
+    """LEEF 1.0 and 2.0; version 2 may name its delimiter, as a character or ``x09``."""
+    return _locked(_leef_maps(lines), _first_keys(lines, _leef_maps), ["version", "vendor", "product", "device_version", "event_id"])
+
+
+def _logfmt_maps(lines: DataFrame) -> DataFrame:
+    unquote = lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(v, r'(?s)^"(.*)"$', 1), r"\\n", "\n"), r"\\t", "\t"), r"\\r", "\r"), r'\\(["\\])', "$1")).otherwise(v)
+    return lines.withColumn("m", _pairs(F.col("value"), r'(?:^|\s)([^\s="]+)(?:=("(?:\\.|[^"\\])*"|[^\s"]*))?', unquote)).filter(F.col("value").rlike(r"(?:^|\s)[^\s=]+="))
 
 
 def logfmt(lines: DataFrame) -> DataFrame:
     """``key=value key="quoted"``; lines without a pair go."""
-    unquote = lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(v, r'(?s)^"(.*)"$', 1), r"\\n", "\n"), r"\\t", "\t"), r"\\r", "\r"), r'\\(["\\])', "$1")).otherwise(v)
-    maps = lines.withColumn("m", _pairs(F.col("value"), r'(?:^|\s)([^\s="]+)(?:=("(?:\\.|[^"\\])*"|[^\s"]*))?', unquote)).filter(F.col("value").rlike(r"(?:^|\s)[^\s=]+="))
-    return _locked(maps, _first_keys(maps))
+    return _locked(_logfmt_maps(lines), _first_keys(lines, _logfmt_maps))
 
 
 def _under_header(lines: DataFrame, head: Column) -> DataFrame:

@@ -163,3 +163,31 @@ def test_containers(spark, tmp_path):
 def test_timed_logs_keep_later_words(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05 a b c d e f g h i \"j k\" l",), ("2024-01-02 03:04:05 a",)], "value string")
     assert [(r["field_9"], r["rest"]) for r in logs.timed_log(df).collect()] == [("h", 'i "j k" l'), ("", "")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_logfmt_finds_pairs_once(lines):
+    df = logs.logfmt(lines('a=1 b="x y" a=2 c', "plain", 'b=2 d="q \\"z\\""'))
+    assert sorted((r["a"], r["b"], r["c"], r["_extra"]) for r in df.collect()) == [("", "2", "", '{"d":"q \\"z\\""}'), ("2", "x y", "", "")]
+    maps = logs._logfmt_maps(lines("a=1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert maps.count("regexp_extract_all") == 2
+
+
+def test_json_lines_are_parsed_once(lines):
+    df = logs.json_lines(lines("no record", '{"a":1}', '{"a":2,"b":3}'))
+    assert [tuple(r) for r in df.collect()] == [("1", ""), ("2", '{"b":"3"}')]
+    assert _plan(df).count("ArrowEvalPython") == 1
+
+
+def test_the_first_record_stands_behind_many_other_lines(lines):
+    df = logs.json_lines(lines(*["no record"] * (logs.FIRST_LINES + 5), '{"z":1}', '{"a":2}'))
+    assert df.columns == ["z", "_extra"] and [tuple(r) for r in df.collect()] == [("1", ""), ("", '{"a":"2"}')]
+
+
+def test_json_leaf_pairs_read_the_files_once(spark, sf_dir):
+    from strandline import source_queries
+
+    assert _plan(source_queries.json_leaf_pairs(spark, sf_dir)).count("FileScan text") == 1
