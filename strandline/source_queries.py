@@ -271,7 +271,7 @@ def json_leaf_pairs(spark, d):
     df = _back_after_first(_events(spark, d), line, "json-leaves", logs.json_lines)
     cells = F.create_map(*[x for n in df.columns if n != "_extra" for x in (F.lit(n), c(f"`{n}`"))])  # an empty cell is a null, or no leaf
     more = F.coalesce(F.from_json("_extra", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    pairs = df.select(F.explode(cells).alias("path", "value")).unionByName(df.select(F.explode(more).alias("path", "value")))
+    pairs = df.select(F.explode(F.concat(F.map_entries(cells), F.map_entries(more))).alias("p")).select("p.key", "p.value").toDF("path", "value")
     return pairs.filter("value != ''").groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
