@@ -44,3 +44,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_shared_addresses_and_letters_beyond_ascii(spark, tmp_path):
+    texts = ["at 100.64.1.2 and é8.8.8.8 or 9.9.9.9ü", "100.127.255.255, x7.7.7.7, 10.1.1.1, 172.16.0.1", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.queries()["indicator_addresses"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(queries.oracle_sql()["indicator_addresses"]).fetchall()) and len(got) == 4
