@@ -6,8 +6,10 @@ made of Python-side combinators, so a whole rule set is one projection that Cata
 >>> rule = Rule("dropper", {"a": Text("powershell", nocase=True), "b": Hex("4D 5A ?? 00")}, any_of("a", "b"))
 
 With many rules, ``scan`` first finds literal atoms: each condition says which strings it needs one of, each string has a
-run of plain characters, and one automaton over all atoms reads a text once. Texts with an atom are kept with the numbers
-of its rules, and only rules that are named there become expressions; rules without atoms are tested everywhere.
+run of plain characters, and one automaton over all atoms reads a text once. It also counts the strings that are plain
+text, so rules of such strings alone, whose conditions only ask how often they occur, are tested on these counts and never
+read a text again. Texts with an atom of another rule are kept with the numbers of its rules, and only rules that are named
+there become expressions; rules without atoms are tested everywhere.
 """
 
 from __future__ import annotations
@@ -137,7 +139,21 @@ class View:
         return F.regexp_count(self.content, F.lit(self.strings[name]))
 
 
-Condition = Callable[[View], Column]
+@dataclass
+class Counts:
+    """Numbers of matches of the rule's strings, in their order; for conditions that ask no more."""
+
+    counts: Column
+    strings: dict[str, int]
+
+    def has(self, name: str) -> Column:
+        return self.count(name) > 0
+
+    def count(self, name: str) -> Column:
+        return F.get(self.counts, self.strings[name])
+
+
+Condition = Callable[[View | Counts], Column]
 
 
 def _named(view: View, names: tuple[str, ...]) -> list[str]:
@@ -145,18 +161,25 @@ def _named(view: View, names: tuple[str, ...]) -> list[str]:
     return [s for s in view.strings if not names or any(s == n or n.endswith("*") and s.startswith(n[:-1]) for n in names)]
 
 
-def _needing(condition: Condition, needs: Callable[[list[str]], list[str] | None]) -> Condition:
-    """``needs``: of a rule's string names, those of which one at least must occur; None if the condition can hold without."""
-    condition.needs = needs
+def _needing(condition: Condition, needs: Callable[[list[str]], list[str] | None], counted: bool = False) -> Condition:
+    """``needs``: of a rule's string names, those of which one at least must occur; None if the condition can hold without.
+
+    ``counted``: the condition asks only how often strings occur.
+    """
+    condition.needs, condition.counted = needs, counted
     return condition
 
 
+def _counted(*conditions: Condition) -> bool:
+    return all(getattr(c, "counted", False) for c in conditions)
+
+
 def _matching(strings: list[str], names: tuple[str, ...]) -> list[str]:
     return [s for s in strings if not names or any(s == n or n.endswith("*") and s.startswith(n[:-1]) for n in names)]
 
 
 def of(least: int, *names: str) -> Condition:
-    return _needing(lambda v: sum((v.has(n).cast("int") for n in _named(v, names)), F.lit(0)) >= least, lambda s: _matching(s, names) if least > 0 else None)
+    return _needing(lambda v: sum((v.has(n).cast("int") for n in _named(v, names)), F.lit(0)) >= least, lambda s: _matching(s, names) if least > 0 else None, True)
 
 
 def any_of(*names: str) -> Condition:
@@ -164,11 +187,11 @@ def any_of(*names: str) -> Condition:
 
 
 def all_of(*names: str) -> Condition:
-    return _needing(lambda v: of(len(_named(v, names)), *names)(v), lambda s: _matching(s, names) or None)
+    return _needing(lambda v: of(len(_named(v, names)), *names)(v), lambda s: _matching(s, names) or None, True)
 
 
 def count_over(name: str, n: int) -> Condition:
-    return _needing(lambda v: v.count(name) > n, lambda s: [name] if n >= 0 else None)
+    return _needing(lambda v: v.count(name) > n, lambda s: [name] if n >= 0 else None, True)
 
 
 def at(name: str, offset: int) -> Condition:
@@ -194,7 +217,7 @@ def both(*conditions: Condition) -> Condition:
         found = [n for n in (c.needs(s) for c in conditions) if n is not None]
         return min(found, key=len) if found else None
 
-    return _needing(lambda v: F.array_min(F.array(*[c(v) for c in conditions])), needs)
+    return _needing(lambda v: F.array_min(F.array(*[c(v) for c in conditions])), needs, _counted(*conditions))
 
 
 def either(*conditions: Condition) -> Condition:
@@ -202,11 +225,11 @@ def either(*conditions: Condition) -> Condition:
         found = [c.needs(s) for c in conditions]
         return None if any(n is None for n in found) else [x for n in found for x in n]
 
-    return _needing(lambda v: F.array_max(F.array(*[c(v) for c in conditions])), needs)
+    return _needing(lambda v: F.array_max(F.array(*[c(v) for c in conditions])), needs, _counted(*conditions))
 
 
 def negate(condition: Condition) -> Condition:
-    return _needing(lambda v: ~condition(v), lambda s: None)
+    return _needing(lambda v: ~condition(v), lambda s: None, _counted(condition))
 
 
 def _lifted(pattern: str) -> str:
@@ -225,7 +248,6 @@ class Rule:
     def column(self, content: Column) -> Column:
         return F.coalesce(self.condition(View(content, {k: s.pattern() for k, s in self.strings.items()})), F.lit(False))
 
-
     def atoms(self) -> list[str] | None:
         """Lower-case literals of which one occurs in every text that matches; None if there are none to name."""
         needed = getattr(self.condition, "needs", lambda s: None)(list(self.strings))
@@ -234,6 +256,10 @@ class Rule:
         found = [_lower(self.strings[n].atom()) for n in needed]
         return None if any(len(a) < ATOM for a in found) else sorted(set(found))
 
+    def counted(self) -> bool:
+        """Whether the numbers of matches of its strings decide the rule, and the automaton can count them all."""
+        return _counted(self.condition) and self.atoms() is not None and all(isinstance(s, Text) and len(s.atom()) >= ATOM for s in self.strings.values())
+
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -249,16 +275,19 @@ def latin1(c: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _automaton(atoms: tuple[tuple[str, tuple[int, ...]], ...]):
+def _automaton(words: tuple[tuple[str, tuple], ...]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for atom, numbers in atoms:
-        out.add_word(atom, numbers)
+    for word, value in words:
+        out.add_word(word, value)
     out.make_automaton()
     return out
 
 
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
 def _candidates(atoms: tuple[tuple[str, tuple[int, ...]], ...]):
     """Adds ``_rules``: the numbers of the rules of which an atom occurs in ``_c``."""
 
@@ -272,29 +301,106 @@ def _candidates(atoms: tuple[tuple[str, tuple[int, ...]], ...]):
     return run
 
 
+def _occurrences(rules: tuple[tuple[Text, ...], ...]):
+    """Replaces ``_c`` by ``_found``: of each rule with a string in it the rule's number and its strings' numbers of matches.
+
+    A string's matches are those of its pattern: from the left, without overlaps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple[bool, str], list[tuple[int, int, bool]]] = {}
+        for i, strings in enumerate(rules):
+            for k, s in enumerate(strings):
+                words.setdefault((s.nocase, _lower(s.atom()) if s.nocase else s.atom()), []).append((i, k, s.fullword))
+        found = {nocase: _automaton(tuple((w, (len(w), tuple(x))) for (n, w), x in words.items() if n == nocase)) for nocase in {n for n, _ in words}}
+
+        width = [len(strings) for strings in rules]
+        kind = pa.struct([("rule", pa.int32()), ("counts", pa.list_(pa.int32()))])
+
+        def counts(text: str) -> dict[int, list[int]]:
+            out: dict[int, list[int]] = {}
+            ends: dict[tuple, int] = {}
+            for nocase, automaton in found.items():
+                for last, (size, named) in automaton.iter(_lower(text) if nocase else text):
+                    begin, end = last + 1 - size, last + 1
+                    for at in named:
+                        i, k, fullword = at
+                        if begin < ends.get(at, 0) or fullword and (begin and text[begin - 1] in _WORD or end < len(text) and text[end] in _WORD):
+                            continue
+                        ends[at] = end
+                        if i not in out:
+                            out[i] = [0] * width[i]
+                        out[i][k] += 1
+            return out
+
+        for batch in batches:
+            offsets, numbers, cuts, flat = [0], [], [0], []
+            for text in batch.column(1).to_pylist():
+                for i, n in counts(text).items():
+                    numbers.append(i)
+                    flat += n
+                    cuts.append(len(flat))
+                offsets.append(len(numbers))
+            each = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)], names=[batch.schema.names[0], "_found"])
+
+    return run
+
+
+def _from_counts(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """``scan`` for rules that the counts of their strings decide: a text is read once, and each rule found in it is a row.
+
+    Rules whose conditions come to the same expression of their counts are tested together.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("counts", T.ArrayType(T.IntegerType()))]))
+    found = rows.mapInArrow(_occurrences(tuple(tuple(r.strings.values()) for r in rules)), T.StructType([rows.schema[key], T.StructField("_found", kind)]))
+    each = found.select(key, F.explode("_found").alias("_f")).select(key, F.col("_f.rule").alias("_i"), F.col("_f.counts").alias("_n"))
+    alike: dict[str, tuple[Column, list[int]]] = {}
+    for i, r in enumerate(rules):
+        holds = r.condition(Counts(F.col("_n"), {name: k for k, name in enumerate(r.strings)}))
+        alike.setdefault(str(holds), (holds, []))[1].append(i)
+    holds = reduce(Column.__or__, (F.col("_i").isin(numbers) & c for c, numbers in alike.values()))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    return each.filter(holds).select(key, F.get(names, F.col("_i")).alias("rule"), F.aggregate("_n", F.lit(0).cast("long"), lambda total, n: total + n).alias("hits"))
+
+
 def scan(df: DataFrame, key: str, content: Column, rules: list[Rule]) -> DataFrame:
     """``(key, rule, hits)`` of all rules that match; ``hits`` counts matches of all their strings."""
     rows = df.select(key, F.coalesce(content, F.lit("")).alias("_c"))
+    if len(rules) <= PLAIN_RULES:
+        return _tested(rows, key, rules, lambda i: F.lit(True))
+    counted = [r for r in rules if r.counted()]
+    rest = [r for r in rules if not r.counted()]
+    if not counted:
+        return _from_texts(rows, key, rest)
+    found = _from_counts(rows, key, counted)
+    return found.unionByName(_from_texts(rows, key, rest)) if rest else found
+
+
+def _tested(rows: DataFrame, key: str, rules: list[Rule], when: Callable[[int], Column]) -> DataFrame:
+    return rows.select(key, F.explode(F.array_compact(F.array(*[_result(r, when(i)) for i, r in enumerate(rules)]))).alias("r")).select(key, "r.rule", "r.hits")
+
+
+def _from_texts(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """``scan`` for other rules: those of which an atom occurs in a text are tested on it, and those without atoms on all."""
     atoms: dict[str, list[int]] = {}
     bound = set()
-    if len(rules) > PLAIN_RULES:
-        for i, r in enumerate(rules):
-            for atom in r.atoms() or ():
-                atoms.setdefault(atom, []).append(i)
-                bound.add(i)
-    if not bound:
-        found = [_result(r, F.lit(True)) for r in rules]
-        return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.rule", "r.hits")
-    numbered = tuple((a, tuple(n)) for a, n in sorted(atoms.items()))
-    spark, path = df.sparkSession, work_path(df.sparkSession, "candidates")
-    schema = T.StructType([*rows.schema, T.StructField("_rules", T.ArrayType(T.IntegerType()))])
-    rows.mapInArrow(_candidates(numbered), schema).filter(F.size("_rules") > 0).write.parquet(path)
-    held = spark.read.schema(schema).parquet(path)
-    near = sorted(r["i"] for r in held.select(F.explode("_rules").alias("i")).distinct().collect())  # at most one a rule
+    for i, r in enumerate(rules):
+        for atom in r.atoms() or ():
+            atoms.setdefault(atom, []).append(i)
+            bound.add(i)
     free = [i for i in range(len(rules)) if i not in bound]
-    parts = [(held, near[i : i + TOGETHER], lambda i: F.array_contains("_rules", i)) for i in range(0, len(near), TOGETHER)]
-    parts += [(rows, free[i : i + TOGETHER], lambda i: F.lit(True)) for i in range(0, len(free), TOGETHER)]
-    tested = [of_rows.select(key, F.explode(F.array_compact(F.array(*[_result(rules[i], when(i)) for i in some]))).alias("r")).select(key, "r.rule", "r.hits") for of_rows, some, when in parts]
+    parts = [(rows, free[i : i + TOGETHER], lambda i: F.lit(True)) for i in range(0, len(free), TOGETHER)]
+    spark = rows.sparkSession
+    if bound:
+        numbered = tuple((a, tuple(n)) for a, n in sorted(atoms.items()))
+        path = work_path(spark, "candidates")
+        schema = T.StructType([*rows.schema, T.StructField("_rules", T.ArrayType(T.IntegerType()))])
+        rows.mapInArrow(_candidates(numbered), schema).filter(F.size("_rules") > 0).write.parquet(path)
+        held = spark.read.schema(schema).parquet(path)
+        near = sorted(r["i"] for r in held.select(F.explode("_rules").alias("i")).distinct().collect())  # at most one a rule
+        parts += [(held, near[i : i + TOGETHER], lambda i: F.array_contains("_rules", i)) for i in range(0, len(near), TOGETHER)]
+    tested = [_tested(of_rows, key, [rules[i] for i in some], lambda k, some=some, when=when: when(some[k])) for of_rows, some, when in parts]
     return reduce(DataFrame.unionByName, tested) if tested else spark.createDataFrame([], T.StructType([rows.schema[key], T.StructField("rule", T.StringType()), T.StructField("hits", T.LongType())]))
 
 

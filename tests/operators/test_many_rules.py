@@ -40,3 +40,20 @@ def test_equals_the_plain_scan(spark, monkeypatch):
     monkeypatch.setattr(sg, "PLAIN_RULES", 10_000)
     slow = sorted(x for i in range(0, 120, 12) for x in map(tuple, sg.scan(df, "id", F.col("t"), rules[i : i + 12]).collect()))
     assert fast == slow and len({x[1] for x in fast}) > 60
+
+
+def test_counts_of_plain_strings_equal_those_of_their_patterns(spark, monkeypatch):
+    """Rules of plain strings alone are decided by counts of one pass over the texts; no text is written or read again."""
+    r = random.Random(12)
+    words = ["aaa", "aba", "abab", "Abab", "b.a", "a a", "éaé", "ab\0", "aB a"]
+    text = lambda: sg.Text(r.choice(words), nocase=r.random() < 0.5, wide=r.random() < 0.1, fullword=r.random() < 0.4)
+    conditions = [sg.any_of, sg.all_of, lambda: sg.of(2), lambda: sg.count_over("s0", 2), lambda: sg.both(sg.any_of("s0"), sg.negate(sg.any_of("s1"))), lambda: sg.either(sg.all_of("s0", "s1"), sg.count_over("s2", 1))]
+    rules = [sg.Rule(f"r{i}", {f"s{k}": text() for k in range(3)}, r.choice(conditions)()) for i in range(90)]
+    texts = [(i // 2, "".join(r.choice(["a", "A", "b", "B", ".", " ", "é", "É", "\0", "𝒳", "ababab", "aaaaa"]) for _ in range(r.randrange(60)))) for i in range(120)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    assert all(rule.counted() for rule in rules)
+    monkeypatch.setattr(sg, "work_path", lambda *_: pytest.fail("texts were written"))
+    fast = sorted(map(tuple, sg.scan(df, "id", F.col("t"), rules).collect()))
+    monkeypatch.setattr(sg, "PLAIN_RULES", 10_000)
+    slow = sorted(x for i in range(0, 90, 15) for x in map(tuple, sg.scan(df, "id", F.col("t"), rules[i : i + 15]).collect()))
+    assert fast == slow and len({x[1] for x in fast}) > 30
