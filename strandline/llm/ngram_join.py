@@ -3,9 +3,11 @@
 Documents are sets of word shingles; two link when ``100 * common >= percent * union``. Equal sets count as one class
 throughout, named by the hash of the set, so copies cost nothing after the first step.
 
-1. Shingle hashes travel as packed blocks by hash bucket; each bucket counts in how many classes a shingle occurs and
-   sends those that occur in two or more back to their classes.
-2. A class whose shared shingles can't reach the threshold has no partner and goes. The others order their shared
+1. Of each class a prefix in the order of the hashes travels first: two linked classes have in common at least as many
+   shingles of their prefixes as these are longer than the part that either may have alone. A class that shares fewer with
+   all others together links with none and goes, before most of its shingles are ever sent.
+2. The shingle hashes of the others travel as packed blocks by hash bucket; each bucket counts in how many classes a shingle
+   occurs and sends those that occur in two or more back to their classes. A class whose shared shingles can't reach the threshold has no partner and goes. The others order their shared
    shingles in three global orders (rare first, and two by hash; unshared ones come before all) and keep of each the
    prefix that any partner must meet.
 3. Candidates share a rare-first prefix shingle; before verification they must also share one in each other order.
@@ -34,15 +36,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.scratch import buckets, forget, keep, shuffle_partitions
+from strandline.llm.scratch import BUCKET_BYTES, buckets, forget, keep, shuffle_partitions
 from strandline.llm.substring_dedup import _by_key
 from strandline.llm.tokens import Planes, gram_hashes, mix, span_hashes, utf8, word_spans
 
 BLOCK_TOKENS = 750_000
 PIVOTS = 4
+#: A prefix is longer by one shingle in so many than the part that a class may have alone.
+PREFIX_SHARE = 8
 #: Partners that are compared with one copy of a class's shingles.
 PARTNERS = 256
-#: Rows that go which are sent to every task.
+#: Rows that go, or stay, which are sent to every task.
 BROADCAST_ROWS = 2_000_000
 #: Components in a list beyond which its classes are compared in blocks.
 CROWDED = 32
@@ -111,18 +115,75 @@ def _dealt(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(held[a]), order[a:b]
 
 
-def _blocks(width: int, parts: int):
+def _in_blocks(sets: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks by hash bucket of (class, size of its set, shingles to send); classes that repeat within a block go once."""
+    held: dict[int, tuple[int, np.ndarray]] = {}
+    count = 0
+
+    def flush() -> pa.RecordBatch:
+        classes = np.array(list(held), np.int64)
+        sizes = np.array([n for n, _ in held.values()], np.int64)
+        tokens, owner = np.concatenate([t for _, t in held.values()]), np.repeat(np.arange(len(held)), [len(t) for _, t in held.values()])
+        bucket = ((tokens >> np.uint64(24)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        return pa.RecordBatch.from_pylist([_pack(key, tokens[at], owner[at], classes, sizes) for key, at in _dealt(bucket)], schema=_SCHEMA)
+
+    for name, n, tokens in sets:
+        if name not in held:
+            held[name] = n, tokens
+            count += len(tokens)
+            if count >= BLOCK_TOKENS:
+                yield flush()
+                held, count = {}, 0
+    if count:
+        yield flush()
+
+
+def _least_common(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` has in common with any that it links with, at least."""
+    return -(-percent * n // 100)
+
+
+def _met(n: int, percent: int) -> int:
+    """Common shingles that the prefix of a set of ``n`` is sure to hold; it never falls as ``n`` grows."""
+    return max(1, min(_least_common(n, percent), 1 + n // PREFIX_SHARE))
+
+
+def _prefix_blocks(width: int, percent: int, parts: int):
+    """Blocks of each set's least hashes: those that it may have alone, and ``_met`` more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        count = 0
+        sets = (t for batch in batches for t in _sets(batch.column(0), width) if len(t))
+        return _in_blocks(((_class_of(t), len(t), t[: len(t) - _least_common(len(t), percent) + _met(len(t), percent)].copy()) for t in sets), parts)
+
+    return run
+
+
+def _likely(percent: int):
+    """Classes of which enough prefix shingles are in other classes' prefixes.
+
+    Linked sets both have their least common shingles in their prefixes, as many as the lesser ``_met`` of the two; the
+    other set has ``_least_common`` shingles at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(batches):
+            _, classes, sizes = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
+            names, first, counts = np.unique(classes, return_index=True, return_counts=True)
+            enough = [m >= _met(_least_common(n, percent), percent) for m, n in zip(counts.tolist(), sizes[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(names[np.array(enough, bool)])], names=["class"])
+
+    return run
+
 
+def _named_sets(width: int):
+    """``(class, tokens)`` of the rows that have words; classes that repeat within a million shingles go once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            classes = np.array(list(held), np.int64)
-            sizes = np.array([len(t) for t in held.values()], np.int64)
-            tokens, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(sizes)), sizes)
-            bucket = ((tokens >> np.uint64(24)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
-            return pa.RecordBatch.from_pylist([_pack(key, tokens[at], owner[at], classes, sizes) for key, at in _dealt(bucket)], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([t.tobytes() for t in held.values()], pa.binary())], names=["class", "tokens"])
 
+        held: dict[int, np.ndarray] = {}
+        count = 0
         for batch in batches:
             for tokens in _sets(batch.column(0), width):
                 if len(tokens) and (name := _class_of(tokens)) not in held:
@@ -131,12 +192,26 @@ def _blocks(width: int, parts: int):
                     if count >= BLOCK_TOKENS:
                         yield flush()
                         held, count = {}, 0
-        if count:
+        if held:
             yield flush()
 
     return run
 
 
+def _blocks(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets() -> Iterator[tuple[int, int, np.ndarray]]:
+            for batch in batches:
+                raw, offsets = utf8(batch.column(1))
+                for i, name in enumerate(batch.column(0).to_pylist()):
+                    tokens = np.frombuffer(raw[offsets[i] : offsets[i + 1]].tobytes(), np.uint64)
+                    yield name, len(tokens), tokens
+
+        return _in_blocks(sets(), parts)
+
+    return run
+
+
 def _shared(parts: int):
     """Of each bucket: the shingles that two or more classes have, with the number of classes, dealt by class."""
 
@@ -187,7 +262,7 @@ def _prefixes(percent: int):
             out = []
             for name, at in _dealt(classes):
                 n = int(sizes[at[0]])
-                extra = len(at) - -(-percent * n // 100) + 1
+                extra = len(at) - _least_common(n, percent) + 1
                 if extra < 1:
                     continue
                 t, df = tokens[at], dfs[at]
@@ -208,11 +283,23 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Classes that can have a partner, with their shared shingles and prefixes."""
-    parts = buckets(docs, "text")
-    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_blocks(width, 2 * parts), _BLOCK)
-    shared = blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared(parts), _BLOCK)
-    return shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), _CLASSES)
+    """Classes that can have a partner, with their shared shingles and prefixes, as a table of the shared folder."""
+    least, parts = shuffle_partitions(docs.sparkSession), buckets(docs, "text")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    by_key = lambda blocks, n: blocks.repartition(n, "key").sortWithinPartitions("key")
+    few = max(least, math.ceil(parts * (1 - percent / 100 + 1 / PREFIX_SHARE)))
+    starts = by_key(texts.mapInArrow(_prefix_blocks(width, percent, 2 * few), _BLOCK), few).mapInArrow(_shared(few), _BLOCK)
+    likely = keep(by_key(starts, few).mapInArrow(_likely(percent), "class long"), "ngram-likely")
+    # numbers of eight bytes; beyond the bound both sides are shuffled
+    side = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
+    # kept, so that no stage has two Python workers a task
+    sets = keep(texts.mapInArrow(_named_sets(width), "class long, tokens binary").join(side, "class", "left_semi"), "ngram-sets")
+    size = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    parts = max(least, -(-size // BUCKET_BYTES))
+    shared = by_key(sets.mapInArrow(_blocks(2 * parts), _BLOCK), parts).mapInArrow(_shared(parts), _BLOCK)
+    out = keep(by_key(shared, parts).mapInArrow(_prefixes(percent), _CLASSES), "ngram-classes")
+    forget(likely, sets)
+    return out
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -447,7 +534,7 @@ def _block_links(classes: DataFrame, owned: DataFrame, clusters: DataFrame, perc
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row."""
     described = keep(describe(docs, width), "ngram-documents")
-    classes = keep(candidates(docs, width, percent), "ngram-classes")
+    classes = candidates(docs, width, percent)
     roots = class_roots(classes, percent)
     least = described.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(roots, least["class"] == roots["v"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
@@ -476,7 +563,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType())])
     rows = keep(given.mapInArrow(_describe_rows(width), schema).withColumn("rid", F.monotonically_increasing_id()), "ngram-rows")
-    classes = keep(candidates(rows.select(F.col("row.text").cast("string").alias("text")), width, percent), "ngram-classes")
+    classes = candidates(rows.select(F.col("row.text").cast("string").alias("text")), width, percent)
     roots = class_roots(classes, percent)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row.text"), "rid")).alias("first")
     least = rows.filter("n > 0").groupBy("class").agg(first).join(roots, F.col("class") == F.col("v"), "left").groupBy(F.coalesce("root", "class")).agg(F.min("first")["rid"].alias("rid"))

@@ -93,3 +93,31 @@ def test_one_row_of_each_group_stays(make, monkeypatch, bound):
     assert len(got) == 5 and [t for i, t in got if i == 3].count(None) == 1 and (8, "one") in got and (5, b) in got
     assert sum(t in (a, a + " z") and i == 5 for i, t in got) == 1 and left[0]["key"] == "k" and left[0].__fields__[0] == "doc_id"
     assert ngram_join.one_of_each(make([]).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (2, 80)])
+def test_only_classes_with_likely_partners_send_all_their_shingles(make, monkeypatch, width, percent):
+    """Near copies, and texts that have a passage in common: their prefixes go through a shuffle, the sets of near copies only."""
+    r = random.Random(21)
+    passage = [f"p{i}" for i in range(20)]
+    near = [[f"n{k}-{i}" for i in range(100)] for k in range(10)]
+    for base in list(near):
+        for _ in range(3):
+            words = list(base)
+            for _ in range(r.randrange(9)):
+                words[r.randrange(100)] = f"z{r.randrange(40)}"
+            near.append(words)
+    alone = [[f"a{k}-{i}" for i in range(60)] + passage + [f"b{k}-{i}" for i in range(60)] for k in range(60)]
+    texts = [" ".join(words) for words in near + alone]
+    sent = []
+    whole = ngram_join.keep
+
+    def keep(df, label):
+        out = whole(df, label)
+        sent.extend([out.count()] if label == "ngram-likely" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", keep)
+    got = sorted(map(tuple, ngram_join.groups(make(texts), width, percent).collect()))
+    assert got == brute(list(enumerate(texts)), width, percent) and len({x[2] for x in got}) < len(texts)
+    assert len(sent) == 1 and sent[0] <= len(near)
