@@ -45,8 +45,8 @@ BANDS, BAND_DIGITS = 24, 8
 SHORT, SHORT_DIGITS = 40, 3
 #: Least digits at the next level with which a text can be like one of that level, which has 256 there, give or take 17.
 REACH = 120
-#: Likeness of a link; members of a band whose pairs are all rows; members of a block in larger bands.
-LEAST, CROWDED, BLOCK = 0.8, 32, 256
+#: Likeness of a link; members of a band whose pairs are all rows, no more rows than members; members of a block in larger bands.
+LEAST, CROWDED, BLOCK = 0.8, 3, 256
 _SEED = U64(0x5DEECE66D)
 _MOST = (1 << 63) - 1
 _FEW = 24

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from strandline.llm import edit_fingerprint as ef
 
@@ -117,6 +119,15 @@ def test_crowded_bands_are_compared_beyond_their_first(spark, monkeypatch):
     assert np.allclose(ef._likenesses(marks[:9], ["1:" + m[2::2] for m in marks[:9]] + marks[9:20]), [[ef.likeness(x, y) for y in ["1:" + m[2::2] for m in marks[:9]] + marks[9:20]] for x in marks[:9]])
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 20, 32, 33, 500])
+def test_bands_of_any_size_make_no_more_rows_than_members(n):
+    bands = pa.RecordBatch.from_arrays([pa.array(np.repeat([5, 9], n)), pa.array(np.arange(2 * n))], names=["band", "id"])
+    rows = [r for b in ef._meetings(iter([bands])) for r in b.to_pylist()]
+    assert len(rows) <= 2 * n
+    for band, first in ((5, 0), (9, n)):  # and every member meets the first one
+        assert {r["b"] for r in rows if r["band"] == band and r["a"] == first} == set(range(first + 1, first + n))
+
+
 def test_near_classes_of_the_query(make):
     r = np.random.default_rng(8)
     words = lambda n: " ".join("".join(map(chr, r.integers(97, 123, 5))) for _ in range(n))
